@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality, simhash, token_counts, token_files
+from . import licenses, line_dedup, mixing, quality, simhash, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -21,6 +21,19 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+#: Rules of the query: host, path, verdict.
+URL_RULES = [
+    ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+]
+
+
+def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    judged = url_filter.url_verdicts(pages, spark.createDataFrame(URL_RULES, url_filter.RULE_COLUMNS))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.read_documents(token_files.write_tokens(docs, token_files.byte_encoder(_tokenizer("byte_bpe_50k.json"))))
@@ -36,11 +49,50 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(docs, token_counts.sentencepiece_counter(_tokenizer("piece_bpe_32k.model")))
 
 
+def op8_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licences(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "licence", F.array_join("licences", ",").alias("licences"), "n_sentences",
+                        F.array_join("sentence_ids", ",").alias("sentence_ids"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", F.size("removed").cast("long").alias("n_removed"), F.array_join("removed", ",").alias("removed"),
+                       F.md5("text").alias("text_md5"))
+
+
+#: The mix of the query and of the pipeline: four domains by the number of the source.
+DOMAIN_WEIGHTS = [("d0", 4), ("d1", 3), ("d2", 2), ("d3", 1)]
+LANG_WEIGHTS = [(d, "en", 3) for d in ("d0", "d1", "d2", "d3")]
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 4, 1
+
+
+def source_domain() -> Column:
+    return F.concat(F.lit("d"), (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 4).cast("string"))
+
+
+def mix_weights(spark: SparkSession) -> dict[str, DataFrame]:
+    return {
+        "domain_weights": spark.createDataFrame(DOMAIN_WEIGHTS, "domain string, weight long"),
+        "lang_weights": spark.createDataFrame(LANG_WEIGHTS, "domain string, lang string, weight long"),
+    }
+
+
+def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source").withColumn("domain", source_domain())
+    chosen = mixing.select_tokens(docs, F.col("tokens") * MIX_SHARE, MIX_EPOCHS, MIX_SEED, **mix_weights(spark))
+    return chosen.select(F.col("_id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_url_filters": op2_url_filters,
     "op5_token_files": op5_token_files,
     "op6_simhash_components": op6_simhash_components,
     "op7_token_counts": op7_token_counts,
+    "op8_licence_scan": op8_licence_scan,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_source_mix": op10_source_mix,
 }
 
 ORACLE_SQL: dict[str, str] = {}
