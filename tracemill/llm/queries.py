@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, line_dedup, mixing, quality, simhash, token_counts, token_files, url_filter
+from . import context_tree, decontaminate, licenses, line_dedup, mixing, quality, simhash, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -34,6 +34,16 @@ def op2_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontaminate.find_items(docs, table(spark, sf_dir, "benchmark"))
+
+
+def op4_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return context_tree.score_texts(docs, context_tree.held_out(F.col("doc_id")))
+
+
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_files.read_documents(token_files.write_tokens(docs, token_files.byte_encoder(_tokenizer("byte_bpe_50k.json"))))
@@ -68,7 +78,7 @@ MIX_SHARE, MIX_EPOCHS, MIX_SEED = 0.8, 4, 1
 
 
 def source_domain() -> Column:
-    return F.concat(F.lit("d"), (F.regexp_extract("source", "([0-9]+)$", 1).cast("int") % 4).cast("string"))
+    return F.concat(F.lit("d"), (F.regexp_extract("source", "([0-9]+)$", 1).try_cast("int") % 4).cast("string"))
 
 
 def mix_weights(spark: SparkSession) -> dict[str, DataFrame]:
@@ -87,6 +97,8 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
+    "op3_decontaminate": op3_decontaminate,
+    "op4_context_tree_score": op4_context_tree_score,
     "op5_token_files": op5_token_files,
     "op6_simhash_components": op6_simhash_components,
     "op7_token_counts": op7_token_counts,
