@@ -35,8 +35,9 @@ SEQUENCE = 2048
 END_ID = 0
 BATCH_SEQUENCES = 64
 MEMO_ENTRIES = 400_000
+LONG_PART = 24
+GROUP_CHARS = 1 << 20
 #: A space between two other characters: no pre-token of the byte-level vocabularies reaches over it.
-_NEAR_SPACE = re.compile(r"\s | \s")
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: Letters below this are letters to every version of the character tables.
 _LETTERS_END = "\u0250"
@@ -88,20 +89,44 @@ class ByteEncoder:
     @staticmethod
     def parts(text: str) -> tuple[str, list[str]]:
         """The first part, and the later ones without the space that each begins with."""
-        if _NEAR_SPACE.search(text) or text[:1] == " " or text[-1:] == " ":
-            first, *rest = _BOUNDARY.split(text)
-        else:
-            first, *rest = text.split(" ")
+        first, *rest = _BOUNDARY.split(text)
         return first, rest
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        firsts, rests = zip(*map(self.parts, texts)) if texts else ((), ())
-        heads = map(self._packed, self._encode(list(firsts)))
-        found = [list(map(self.new.get, rest)) for rest in rests]
-        missing = {p for rest, ids in zip(rests, found) if None in ids for p, v in zip(rest, ids) if v is None}
-        own = self._own(missing) if missing else {}
-        return [head + b"".join([v or own[p] for p, v in zip(rest, ids)] if None in ids else ids)
-                for head, rest, ids in zip(heads, rests, found)]
+        out: list[bytes] = []
+        group: list[str] = []
+        size = 0
+        for t in texts:
+            group.append(t)
+            size += len(t)
+            if size >= GROUP_CHARS:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group) if group else out
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        splits = [t.split(" ") for t in texts]
+        heads = [s.pop(0) for s in splits]
+        missing = set().union(*splits).difference(self.new)
+        # parts at a space that touches other white space are never remembered, so they show up here
+        odd = {p for p in missing if not p or p.strip() != p}
+        mixed = bool(odd) or any(h.rstrip() != h or not h for h in heads)
+        if mixed:
+            for i, (t, h, s) in enumerate(zip(texts, heads, splits)):
+                if not h or h[-1].isspace() or not odd.isdisjoint(s):
+                    heads[i], splits[i] = self.parts(t)
+            missing = set().union(*splits).difference(self.new)
+        own = self._own(missing)
+        self.new.update(own)
+        known = self.new.__getitem__
+        first = map(self._packed, self._encode(heads))
+        out = [h + b"".join(map(known, s)) for h, s in zip(first, splits)]
+        for p in own:
+            if len(p) >= LONG_PART or mixed and p.strip() != p:
+                del self.new[p]
+        if len(self.new) > self.entries:
+            self.old, self.new = self.new, {}
+        return out
 
     def _run(self, model, text: str, sizes: list[int]) -> list[bytes]:
         """Encode many parts at once; ``sizes`` are the bytes of each."""
@@ -114,15 +139,15 @@ class ByteEncoder:
         return out
 
     def _own(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of the missing parts, which are remembered unless they are long."""
+        """Ids of the missing parts."""
         got, words, other, later = {}, [], [], []
         new, old, marks = self.new, self.old, self.marks
         for p in missing:
             if (v := old.get(p)) is not None:
                 got[p] = v
-            elif p.isalpha() and max(p) < _LETTERS_END:
+            elif p.isalpha() and (p.isascii() or max(p) < _LETTERS_END):
                 words.append(p)
-            elif p[-1] in marks and (w := p[:-1]).isalpha() and max(w) < _LETTERS_END:
+            elif p[-1] in marks and (w := p[:-1]).isalpha() and (w.isascii() or max(w) < _LETTERS_END):
                 later.append(p)
                 if w not in new and w not in old and w not in missing:
                     words.append(w)
@@ -138,9 +163,6 @@ class ByteEncoder:
         for p in later:
             w = p[:-1]
             got[p] = (got.get(w) or new.get(w) or old[w]) + marks[p[-1]]
-        if len(new) + len(got) > self.entries:
-            self.old, self.new = new, {}
-        self.new.update((p, v) for p, v in got.items() if len(p) < 24)
         return got
 
 
