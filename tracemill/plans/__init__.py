@@ -1,0 +1,11 @@
+"""The registered queries: name -> (query over (spark, sf_dir), SQL or None)."""
+
+from __future__ import annotations
+
+from . import trace_queries
+
+MODULES = [trace_queries]
+
+
+def all_queries() -> dict:
+    return {name: pair for module in MODULES for name, pair in module.QUERIES.items()}
