@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import trace_queries
+from . import scoring_queries, trace_queries
 
-MODULES = [trace_queries]
+MODULES = [trace_queries, scoring_queries]
 
 
 def all_queries() -> dict:
