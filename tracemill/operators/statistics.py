@@ -70,8 +70,8 @@ def saturating(x: Column, scale: float) -> Column:
     return F.least(F.greatest(10 * (1 - F.exp(-x / scale)), F.lit(0.0)), F.lit(10.0))
 
 
-def weighted_score(parts: dict[Column, float]) -> Column:
-    return F.least(F.greatest(sum((c * w for c, w in parts.items()), F.lit(0.0)), F.lit(0.0)), F.lit(10.0))
+def weighted_score(parts: list[tuple[Column, float]]) -> Column:
+    return F.least(F.greatest(sum((c * w for c, w in parts), F.lit(0.0)), F.lit(0.0)), F.lit(10.0))
 
 
 def combined_score(semantic: Column, answer: Column, navigation: Column, weights: tuple[float, float, float] = (0.40, 0.35, 0.25)) -> Column:

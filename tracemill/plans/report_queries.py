@@ -198,7 +198,7 @@ QUERIES = {
     "st10_choose_alpha": (
         lambda s, d: st.choose_alpha(instances(s, d).withColumn("success", F.col("score") % 7 / 7).withColumn("fold", F.col("instance_id") % 5), ["score", "score2"], "archetype", "success", "fold", [0.1, 10.0]), None),
     "st12_component_scores": (
-        lambda s, d: table(s, d, "part").select("p_partkey", st.saturating(F.col("p_size"), 12.0).alias("semantic"), st.weighted_score({st.saturating(F.col("p_size"), 5.0): 0.5, st.saturating(F.col("p_retailprice"), 900.0): 0.5}).alias("answer")),
+        lambda s, d: table(s, d, "part").select("p_partkey", st.saturating(F.col("p_size"), 12.0).alias("semantic"), st.weighted_score([(st.saturating(F.col("p_size"), 5.0), 0.5), (st.saturating(F.col("p_retailprice"), 900.0), 0.5)]).alias("answer")),
         """SELECT p_partkey, least(greatest(10 * (1 - exp(-p_size / 12.0::DOUBLE)), 0), 10) AS semantic, least(greatest(0.5 * (10 * (1 - exp(-p_size / 5.0::DOUBLE))) + 0.5 * (10 * (1 - exp(-p_retailprice / 900.0::DOUBLE))), 0), 10) AS answer FROM part"""),
     "st14_combined_score": (
         lambda s, d: instances(s, d).select("instance_id", st.combined_score(st.saturating(F.col("score"), 1e5), st.saturating(F.col("score2") + 1000, 5e3), F.lit(5.0)).alias("combined")),
