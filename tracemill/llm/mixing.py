@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import WORD, require, text_of, written
 
 LEVELS = ("domain", "lang", "source")
-RANGE_DOCS = 8192
+RANGE_DOCS = 2048
 _KEY_BITS = 48
 
 

@@ -34,9 +34,10 @@ from .common import require, shared_dir, text_of, written
 SEQUENCE = 2048
 END_ID = 0
 BATCH_SEQUENCES = 64
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 700_000
 LONG_PART = 24
 GROUP_CHARS = 1 << 20
+GROUP_ROWS = 512
 #: A space between two other characters: no pre-token of the byte-level vocabularies reaches over it.
 _BOUNDARY = re.compile(r"(?<=\S) (?=\S)")
 #: Letters below this are letters to every version of the character tables.
@@ -265,7 +266,9 @@ def write_tokens(
                 encode = load()
                 shard = _Shard(where, encode.kind, length)
                 end = np.array([end_id], encode.kind).tobytes()
-            shard.add(batch.column(0).to_pylist(), [b + end for b in encode(batch.column(1).to_pylist())])
+            for at in range(0, batch.num_rows, GROUP_ROWS):
+                ids, texts = (c.to_pylist() for c in batch.slice(at, GROUP_ROWS).columns)
+                shard.add(ids, [b + end for b in encode(texts)])
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict({
