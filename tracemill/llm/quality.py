@@ -99,7 +99,7 @@ def document_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "sou
     ``context`` is the hash of the neighbouring lines; ``first`` is 1 at one place of
     each distinct line of a row and 0 at its others.
     """
-    at = lambda i: F.when((i >= 0) & (i < F.size("_lines")), F.col("_lines")[i])
+    at = lambda i: F.when((i >= 0) & (i < F.size("_lines")), F.col("_lines")[i]).otherwise("\n")  # noqa: E731  no line holds a line break
     places = F.array_sort(F.filter(F.transform("_lines", lambda l, i: F.struct(
         F.xxhash64(l).alias("line_hash"), F.xxhash64(at(i - 1), at(i + 1)).alias("context"),
         F.when(l == "", 0).otherwise(F.size(F.split(l, " "))).alias("words"))), lambda p: p["words"] > 0))

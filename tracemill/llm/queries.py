@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, licenses, line_dedup, mixing, quality, simhash, token_counts, token_files, url_filter
+from . import context_tree, decontaminate, licenses, line_dedup, mixing, oracles, quality, simhash, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -107,4 +107,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_source_mix": op10_source_mix,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_quality_rules": oracles.OP1,
+    "op2_url_filters": oracles.op2(URL_RULES),
+    "op8_licence_scan": oracles.op8(),
+    "op9_line_dedup": oracles.OP9,
+    "op10_source_mix": oracles.op10(MIX_SHARE, MIX_EPOCHS, MIX_SEED, DOMAIN_WEIGHTS, LANG_WEIGHTS),
+}
