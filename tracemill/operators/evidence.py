@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import compare as c
+from ..functions.literals import canonical_json
 from .joins import suffix_pairs
+from .trace import invocations
 
 
 def depth_class(depth: Column) -> Column:
@@ -127,9 +129,19 @@ def source_pool(instances: DataFrame, validated: DataFrame, rejected: DataFrame,
 
 
 def canonical_changed(a: Column, b: Column) -> Column:
-    """Two JSON texts differ once parsed and written again (key order of objects is kept by the writer of both)."""
-    same = lambda j: F.regexp_replace(j, r"\s+(?=([^\"]*\"[^\"]*\")*[^\"]*$)", "")
-    return same(a) != same(b)
+    """Two JSON texts differ in more than spacing and key order."""
+    return canonical_json(a) != canonical_json(b)
+
+
+def checkpoints(events: DataFrame) -> DataFrame:
+    """trace_id, checkpoint, func, value in long form: calls, first line, executed lines, exit kind and exit line of each function."""
+    inner = invocations(events).where("inv > 0")
+    per = inner.groupBy("trace_id", "func").agg(
+        F.max("inv").alias("calls"), F.min_by("line", "seq").alias("first_line"), F.count_distinct(F.when(F.col("event") == "line", F.col("line"))).alias("executed_lines"),
+        F.max_by("event", "seq").alias("exit_kind"), F.max_by("line", "seq").alias("exit_line"))
+    names = ["calls", "first_line", "executed_lines", "exit_kind", "exit_line"]
+    return per.select("trace_id", "func", F.explode(F.array(*[F.struct(F.lit(n).alias("checkpoint"), F.col(n).cast("string").alias("value")) for n in names])).alias("c")).select(
+        "trace_id", "func", "c.checkpoint", "c.value")
 
 
 def score_deltas(rows: DataFrame, metrics: list[str], goal: Column | None = None) -> DataFrame:

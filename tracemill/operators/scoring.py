@@ -26,6 +26,12 @@ MEASURE_FIELDS = [
     "count", "observations", "violations", "held_always", "value", "values", "iterations", "inner_iterations", "invocations", "total",
     "message", "exception_message", "handled", "handled_where", "caller_saw_exception",
 ]
+# Lists whose order carries no meaning.
+UNORDERED_KEYS = [
+    "observed_def_use_pairs", "covered_def_use_pairs", "covered_du_pairs", "uncovered_du_pairs_list", "covered_lines", "covered_functions",
+    "union_lines_sorted", "intersection_lines_sorted", "lines_covered_by_only_one_test", "exception_types", "unique_values",
+    "subtype_value_set", "guess_value_set", "safe_tests", "crashing_tests",
+]
 SEQUENCE_CELLS = 40_000_000
 LEAVES = "answer_id long, path string, key_name string, vtype string, sval string, nval double, pos long"
 
@@ -259,3 +265,28 @@ def conforms(template_leaves: DataFrame, answer_leaves: DataFrame) -> DataFrame:
     lacking = anyplace(template_leaves).join(anyplace(answer_leaves), ["answer_id", "path"], "left_anti").select("answer_id").distinct()
     return template_leaves.select("answer_id").distinct().join(lacking.withColumn("_l", F.lit(True)), "answer_id", "left").select(
         "answer_id", F.col("_l").isNull().alias("conforms"))
+
+
+def unordered_equal(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """answer_id, same: the elements of two lists agree as multisets."""
+    both = multiset_overlap(expected, predicted)
+    return both.select("answer_id", ((F.col("hits") == F.col("expected")) & (F.col("hits") == F.col("predicted"))).alias("same"))
+
+
+def record_columns(leaves: DataFrame) -> DataFrame:
+    """answer_id, key_name, role: identity or measure of each field of an answer's records.
+
+    Named measures, and fields that hold a container in any record, measure.
+    """
+    inside = leaves.where(F.col("path").rlike(r"\[\d+\]\."))
+    field = F.regexp_extract("path", r"\[\d+\]\.([^.\[]+)", 1)
+    deep = F.col("path").rlike(r"\[\d+\]\.[^.\[]+[.\[]") | F.col("vtype").isin("array", "object")
+    fields = inside.groupBy("answer_id", field.alias("key_name")).agg(F.bool_or(deep).alias("deep"))
+    return fields.select("answer_id", "key_name", F.when(F.col("deep") | F.col("key_name").isin(MEASURE_FIELDS), "measure").otherwise("identity").alias("role"))
+
+
+def field_presence(expected: DataFrame, predicted: DataFrame) -> DataFrame:
+    """answer_id, field, label of (answer_id, field, container): missing_field, invalid (another container) or null."""
+    e, p = expected.alias("e"), predicted.select("answer_id", "field", F.col("container").alias("pc")).alias("p")
+    return e.join(p, ["answer_id", "field"], "left").select(
+        "answer_id", "field", F.when(F.col("pc").isNull(), "missing_field").when(F.col("pc") != F.col("container"), "invalid").alias("label"))

@@ -16,6 +16,19 @@ INFRASTRUCTURE = [
 ]
 
 
+def oracle_valid(kind: Column, planned: Column, question: Column, answer: Column) -> Column:
+    """All parts are there, the kind is the planned one, and neither question nor answer is empty."""
+    filled = lambda c: c.isNotNull() & ~F.trim(c).isin("", "null", "{}", "[]", '""')
+    return F.coalesce((kind == planned) & filled(question) & filled(answer), F.lit(False))
+
+
+def rich_answers(leaves: DataFrame, items: DataFrame, thresholds: DataFrame) -> DataFrame:
+    """answer_id, leaves, passed: at least as many leaves as the item's category asks; thresholds are few."""
+    counts = leaves.groupBy("answer_id").agg(F.count("*").alias("leaves"))
+    return items.join(counts, "answer_id", "left").join(F.broadcast(thresholds), "category", "left").select(
+        "answer_id", F.coalesce("leaves", F.lit(0)).alias("leaves"), (F.coalesce("leaves", F.lit(0)) >= F.coalesce("min_leaves", F.lit(1))).alias("passed"))
+
+
 def test_passed(log: Column) -> Column:
     """The last counts line names passed tests, none failed or in error, and nothing was reported as a failure."""
     counts = F.regexp_extract_all(log, F.lit(r"(?m)^.*\d+ (?:passed|failed|error).*$"), F.lit(0))

@@ -74,6 +74,12 @@ def weighted_score(parts: list[tuple[Column, float]]) -> Column:
     return F.least(F.greatest(sum((c * w for c, w in parts), F.lit(0.0)), F.lit(0.0)), F.lit(10.0))
 
 
+def answer_score(leaves: Column, ordered: Column, depth: Column, characters: Column, digits: Column) -> Column:
+    """Effort of writing an answer: mean of volume, order, structure and exact values."""
+    parts = [saturating(leaves, 35.0), saturating(ordered, 30.0), saturating(F.greatest(depth - 1, F.lit(0)), 3.0), saturating(characters + digits, 180.0)]
+    return sum(parts[1:], parts[0]) / len(parts)
+
+
 def combined_score(semantic: Column, answer: Column, navigation: Column, weights: tuple[float, float, float] = (0.40, 0.35, 0.25)) -> Column:
     return semantic * weights[0] + answer * weights[1] + navigation * weights[2]
 
@@ -108,6 +114,14 @@ def ridge(gram: np.ndarray, alpha: float) -> np.ndarray:
     return np.linalg.lstsq(a, b, rcond=None)[0]
 
 
+def ridge_fit(rows: DataFrame, features: list[str], group: str, target: str, alpha: float) -> DataFrame:
+    """term, weight of a ridge fit over all rows: intercept, features, groups."""
+    matrix, names, made = design(rows.withColumn("_all", F.lit(1)), features, group, target, "_all")
+    weights = ridge(sum(gram_sums(matrix, names, "_all").values()), alpha)
+    terms = ["intercept", *features, *[f"{group}={g}" for g in made["groups"]]]
+    return rows.sparkSession.createDataFrame(list(zip(terms, map(float, weights))), "term string, weight double")
+
+
 def choose_alpha(rows: DataFrame, features: list[str], group: str, target: str, fold: str, alphas: list[float]) -> DataFrame:
     """alpha, rho: rank correlation of predictions for each left-out fold's rows, fitted on the others."""
     matrix, names, _ = design(rows, features, group, target, fold)
