@@ -66,9 +66,10 @@ def price_lookup(models: DataFrame, prices: DataFrame, aliases: DataFrame) -> Da
     bare = F.regexp_replace(plain, r"(-\d{8}|-v\d+|:.*)$", "")
     asked = models.select("model").distinct().select("model", F.posexplode(F.array_distinct(F.array(plain, bare))).alias("turn", "name"))
     known = prices.withColumnRenamed("name", "priced_as")
-    by_alias = asked.join(F.broadcast(aliases), "name").join(F.broadcast(known), F.col("target") == F.col("priced_as")).withColumn("rank", F.lit(0))
-    exact = asked.join(F.broadcast(known), F.col("name") == F.col("priced_as")).withColumn("rank", F.lit(1))
-    prefix = asked.join(F.broadcast(known), F.col("name").startswith(F.col("priced_as"))).withColumn("rank", F.lit(2))
+    by_alias = asked.join(aliases, "name").join(known, F.col("target") == F.col("priced_as")).withColumn("rank", F.lit(0))
+    exact = asked.join(known, F.col("name") == F.col("priced_as")).withColumn("rank", F.lit(1))
+    starts = F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k))
+    prefix = asked.withColumn("priced_as", F.explode(starts)).join(known, "priced_as").withColumn("rank", F.lit(2))
     found = by_alias.drop("target").unionByName(exact).unionByName(prefix)
     order = Window.partitionBy("model").orderBy("rank", "turn", F.desc(F.length("priced_as")))
     return found.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r", "turn", "name", "rank")

@@ -123,12 +123,6 @@ def instance_costs(costs: DataFrame, survivors: DataFrame) -> DataFrame:
         "*", (F.col("cost") / F.col("instances")).alias("per_instance"), (F.col("cost") / F.nullif("survivors", F.lit(0))).alias("per_survivor"))
 
 
-def upper_median(c: Column) -> Column:
-    """The element at half of the count in order: the upper of two middle values."""
-    ordered = F.array_sort(F.collect_list(c))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
 def required_profile(entries: DataFrame, executed: DataFrame) -> DataFrame:
     """Per instance: entries, lines, share executed, essential and supporting counts. Lines are (file, line)."""
     lines = entries.select("instance_id", "file", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()

@@ -23,9 +23,9 @@ def oracle_valid(kind: Column, planned: Column, question: Column, answer: Column
 
 
 def rich_answers(leaves: DataFrame, items: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """answer_id, leaves, passed: at least as many leaves as the item's category asks; thresholds are few."""
+    """answer_id, leaves, passed: at least as many leaves as the item's category asks."""
     counts = leaves.groupBy("answer_id").agg(F.count("*").alias("leaves"))
-    return items.join(counts, "answer_id", "left").join(F.broadcast(thresholds), "category", "left").select(
+    return items.join(counts, "answer_id", "left").join(thresholds, "category", "left").select(
         "answer_id", F.coalesce("leaves", F.lit(0)).alias("leaves"), (F.coalesce("leaves", F.lit(0)) >= F.coalesce("min_leaves", F.lit(1))).alias("passed"))
 
 
@@ -51,8 +51,8 @@ def leak_rule(values: DataFrame, documents: DataFrame, least: int = 2, share: fl
 
 
 def minimum_rule(stats: DataFrame, thresholds: DataFrame, by: str, metrics: list[str]) -> DataFrame:
-    """``stats`` with ``short``: the metrics below their minimum for the category; thresholds are few."""
-    joined = stats.join(F.broadcast(thresholds), by, "left")
+    """``stats`` with ``short``: the metrics below their minimum for the category."""
+    joined = stats.join(thresholds, by, "left")
     short = F.filter(F.array(*[F.when(F.coalesce(F.col(m), F.lit(0)) < F.col(f"min_{m}"), F.lit(m)) for m in metrics]), lambda x: x.isNotNull())
     return joined.withColumn("short", short).withColumn("passed", F.size("short") == 0).drop(*[f"min_{m}" for m in metrics])
 

@@ -252,8 +252,8 @@ def def_use_events(events: DataFrame, defs: DataFrame, uses: DataFrame) -> DataF
     definitions. trace_id, func, inv, seq, variable, def_line, def_seq, use_line.
     """
     lines = invocations(events).where((F.col("event") == "line") & (F.col("inv") > 0)).select("trace_id", "func", "inv", "seq", "line")
-    reads = lines.join(F.broadcast(uses), "line").select("*", F.lit(0).alias("kind"))
-    writes = lines.join(F.broadcast(defs), "line").select("*", F.lit(1).alias("kind"))
+    reads = lines.join(uses, "line").select("*", F.lit(0).alias("kind"))
+    writes = lines.join(defs, "line").select("*", F.lit(1).alias("kind"))
     order = Window.partitionBy("trace_id", "func", "inv", "variable").orderBy("seq", "kind").rowsBetween(Window.unboundedPreceding, -1)
     made = lambda c: F.last(F.when(F.col("kind") == 1, F.col(c)), ignorenulls=True).over(order)
     both = reads.unionByName(writes).withColumns({"def_line": made("line"), "def_seq": made("seq")})
@@ -269,7 +269,7 @@ def def_use_counts(events: DataFrame, defs: DataFrame, uses: DataFrame) -> DataF
 def dead_definitions(events: DataFrame, defs: DataFrame, uses: DataFrame) -> DataFrame:
     """trace_id, func, inv, variable, line of definitions no use has read, once a line."""
     lines = invocations(events).where((F.col("event") == "line") & (F.col("inv") > 0)).select("trace_id", "func", "inv", "seq", "line")
-    made = lines.join(F.broadcast(defs), "line")
+    made = lines.join(defs, "line")
     used = def_use_events(events, defs, uses).select("trace_id", "func", "inv", "variable", F.col("def_seq").alias("seq"))
     return made.join(used, ["trace_id", "func", "inv", "variable", "seq"], "left_anti").select("trace_id", "func", "inv", "variable", "line").distinct()
 
@@ -292,8 +292,8 @@ def caught_exceptions(events: DataFrame, tries: DataFrame) -> DataFrame:
     after = invocations(events).where("inv > 0").withColumns({
         "next": F.lead("event").over(_trace("func", "inv")), "next_line": F.lead("line").over(_trace("func", "inv"))})
     raised = after.where((F.col("event") == "exception") & (F.col("next") == "line"))
-    inside = F.col("line").between(F.col("try_first"), F.col("try_last")) & F.col("next_line").between(F.col("handler_first"), F.col("handler_last"))
-    return raised.join(F.broadcast(tries), inside).select("trace_id", "seq", "kind")
+    by_line = tries.select("kind", "handler_first", "handler_last", F.explode(F.sequence("try_first", "try_last")).alias("line"))
+    return raised.join(by_line, "line").where(F.col("next_line").between(F.col("handler_first"), F.col("handler_last"))).select("trace_id", "seq", "kind")
 
 
 def crash_matrix(events: DataFrame, is_start: Column, exc_type: Column) -> DataFrame:
