@@ -62,7 +62,7 @@ def split_tail(events: DataFrame) -> DataFrame:
             found, at = None, (t or "").find(" locals=")
             while at >= 0 and found is None:
                 try:
-                    value = ast.literal_eval(t[at + 8:])
+                    value = ast.literal_eval(t[at + 8:].strip())
                     if isinstance(value, dict):
                         found = (t[:at], {str(k): str(v) for k, v in value.items()})
                 except (ValueError, SyntaxError):

@@ -123,8 +123,9 @@ QUERIES = {
         with_views("instances rollouts", """SELECT repo, count(*) AS verified, count(passed) AS answered, count(*) FILTER (passed) AS "right", avg(CASE WHEN coalesce(passed, false) THEN 1.0 ELSE 0 END) AS accuracy
  FROM instances LEFT JOIN (SELECT * FROM rollouts WHERE rollout = 2) USING (instance_id) GROUP BY 1""")),
     "wn1_cutoffs": (
-        lambda s, d: rk.cutoffs(instances(s, d), ["category"]),
-        with_views(_I, f"WITH {_CUT} SELECT * FROM cut")),
+        # two decimals, cut at quarters: four decimals are exact
+        lambda s, d: rk.cutoffs(instances(s, d), ["category"]).select("category", "members", *[F.round(q, 4).alias(q) for q in ("q25", "q50", "q75")]),
+        with_views(_I, f"WITH {_CUT} SELECT category, members, round(q25, 4) AS q25, round(q50, 4) AS q50, round(q75, 4) AS q75 FROM cut")),
     "wn2_quantile_labels": (
         lambda s, d: _labelled(s, d).select("instance_id", "label"),
         with_views(_I, f"WITH {_LAB} SELECT instance_id, label FROM lab")),
