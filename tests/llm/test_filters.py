@@ -49,6 +49,21 @@ def test_boilerplate_goes_and_copies_stay(spark, make_docs, prose):
     assert footer not in kept[0].text and kept[0].n_chars == len(kept[0].text) and footer in kept[300].text
 
 
+def test_boilerplate_of_any_surroundings(spark, make_docs, prose):
+    r = random.Random(2)
+    banner, footer = ["=====", "home about contact press", "sign in or join now", "====="], "all content of this site is free to read"
+    rows = [(i, "\n".join(banner) + "\n\n" + prose(60, r) + "\n\n" + footer + "\n\n" + prose(20, r), "en", "s1") for i in range(25)]  # one surrounding each
+    rows += [(100 + i, rows[0][1], "en", "s1") for i in range(60)]  # copies of one of them weigh once
+    few = "\n\n" + "a line of twenty texts and their copies"
+    rows += [(200 + i, prose(60, random.Random(i % 20)) + few, "en", "s1") for i in range(80)]
+    docs = make_docs(rows)
+    report = {x.doc_id: x for x in quality.quality_report(docs).collect()}
+    assert all(report[i].removed_words == 1 + 4 + 5 + 1 + 9 and report[i].kept for i in [*range(25), *range(100, 160)])
+    assert all(report[200 + i].removed_words == 0 for i in range(80))
+    kept = {x.doc_id: x.text for x in quality.quality_rules(docs).collect()}
+    assert not any(line in kept[0] for line in [*banner, footer]) and few.strip() in kept[200]
+
+
 def test_quality_of_odd_rows(spark, odd_docs):
     report = quality.quality_report(odd_docs).collect()
     assert len(report) == odd_docs.count()

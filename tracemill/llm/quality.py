@@ -1,13 +1,11 @@
 """Quality rules: per-text word statistics and cross-document line frequency.
 
 Lines are normalised (ASCII lower case, white space collapsed, trimmed) and
-hashed. For each host and line hash the distinct documents and the distinct
-contexts (neighbouring lines) are counted over all documents. A line is
-boilerplate on its host if it stands in more than ``max_line_docs`` distinct
-documents and in different surroundings in at least ``min_context_share`` of
-them; copies of one document repeat the surroundings too, so they do not make
-their own lines boilerplate. Boilerplate lines are removed, and documents that
-keep less than ``min_kept_share`` of their words, or fewer than
+hashed. For each host and line hash the distinct texts are counted over all
+documents. A line is boilerplate on its host if it stands in more than
+``max_line_docs`` distinct texts; copies of one document are one text, so they do
+not make their own lines boilerplate. Boilerplate lines are removed, and documents
+that keep less than ``min_kept_share`` of their words, or fewer than
 ``min_kept_words``, are rejected as depleted.
 
 Defined results: a null text has no words and no lines; a null host is a host of
@@ -94,46 +92,37 @@ def _doc_key(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> list
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per non-blank line: document key, row, line_hash, context, words, first.
-
-    ``context`` is the hash of the neighbouring lines; ``first`` is 1 at one place of
-    each distinct line of a row and 0 at its others.
-    """
-    at = lambda i: F.when((i >= 0) & (i < F.size("_lines")), F.col("_lines")[i]).otherwise("\n")  # noqa: E731  no line holds a line break
-    places = F.array_sort(F.filter(F.transform("_lines", lambda l, i: F.struct(
-        F.xxhash64(l).alias("line_hash"), F.xxhash64(at(i - 1), at(i + 1)).alias("context"),
-        F.when(l == "", 0).otherwise(F.size(F.split(l, " "))).alias("words"))), lambda p: p["words"] > 0))
+    """One row per non-blank line: document key, row, line_hash, words."""
+    places = F.filter(F.transform("_lines", lambda l: F.struct(
+        F.xxhash64(l).alias("line_hash"), F.when(l == "", 0).otherwise(F.size(F.split(l, " "))).alias("words"))), lambda p: p["words"] > 0)
     return (
         docs.select(*_doc_key(docs, id_col, host_col, text_col), F.monotonically_increasing_id().alias("_row"),
                     F.transform(F.split(text_of(text_col), "\n"), _normal).alias("_lines"))
-        .select("_id", "_host", "_text", "_row", places.alias("_places"))
-        .select("_id", "_host", "_text", "_row", F.explode(F.transform("_places", lambda p, i: F.struct(
-            p["line_hash"].alias("line_hash"), p["context"].alias("context"), p["words"].alias("words"),
-            F.when((i > 0) & (F.get("_places", i - 1)["line_hash"] == p["line_hash"]), 0).otherwise(1).alias("first")))).alias("l"))
+        .select("_id", "_host", "_text", "_row", F.explode(places).alias("l"))
         .select("_id", "_host", "_text", "_row", "l.*")
     )
 
 
-def frequent_lines(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS, min_context_share: float = MIN_CONTEXT_SHARE) -> DataFrame:
-    """Boilerplate: host and line hash with its documents and contexts.
+def frequent_lines(lines: DataFrame, max_line_docs: int = MAX_LINE_DOCS) -> DataFrame:
+    """Boilerplate: host and line hash with its distinct texts.
 
-    Counts per (host, line, context) come first, so that one very common line is
-    pre-aggregated in every task.
+    Texts are made distinct per (host, line) first, dealt by all three, so that one
+    very common line is spread over the tasks.
     """
     return (
-        lines.groupBy("_host", "line_hash", "context").agg(F.sum("first").alias("n"))
-        .groupBy("_host", "line_hash").agg(F.sum("n").alias("line_docs"), F.count("*").alias("contexts"))
-        .where((F.col("line_docs") > max_line_docs) & (F.col("contexts") >= min_context_share * F.col("line_docs")))
+        lines.select("_host", "line_hash", "_text").distinct()
+        .groupBy("_host", "line_hash").agg(F.count("*").alias("line_docs"))
+        .where(F.col("line_docs") > max_line_docs)
     )
 
 
 def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-    max_line_docs: int = MAX_LINE_DOCS, min_context_share: float = MIN_CONTEXT_SHARE,
+    max_line_docs: int = MAX_LINE_DOCS,
 ) -> DataFrame:
     """Per document with boilerplate: removed_words, line_hashes. Other documents have no row."""
     lines = document_lines(docs, id_col, host_col, text_col)
-    frequent = frequent_lines(lines, max_line_docs, min_context_share)
+    frequent = frequent_lines(lines, max_line_docs)
     hit = lines.alias("l").join(
         frequent.alias("f"), F.col("l._host").eqNullSafe(F.col("f._host")) & (F.col("l.line_hash") == F.col("f.line_hash"))
     ).select("l._id", "l._host", "l._text", "l._row", "l.line_hash", "l.words")
@@ -154,12 +143,12 @@ def depleted(min_kept_share: float = MIN_KEPT_SHARE, min_kept_words: int = MIN_K
 
 def quality_report(
     docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-    max_line_docs: int = MAX_LINE_DOCS, min_context_share: float = MIN_CONTEXT_SHARE,
+    max_line_docs: int = MAX_LINE_DOCS,
 ) -> DataFrame:
     """One row per input row: id, the statistics, removed_words, base_failed, kept."""
     require(docs, id_col, host_col, text_col)
     stats = text_statistics(docs.select(*_doc_key(docs, id_col, host_col, text_col), F.col(text_col).alias("_body")), "_body")
-    removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs, min_context_share).drop("line_hashes")
+    removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs).drop("line_hashes")
     joined = stats.alias("s").join(removed.alias("r"), _same("s", "r"), "left")
     return joined.select(
         F.col("s._id").alias(id_col), *[F.col(f"s.{c}") for c in _STATS],
@@ -177,7 +166,7 @@ def _same(a: str, b: str) -> Column:
 
 def quality_rules(
     docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
-    max_line_docs: int = MAX_LINE_DOCS, min_context_share: float = MIN_CONTEXT_SHARE,
+    max_line_docs: int = MAX_LINE_DOCS,
 ) -> DataFrame:
     """The documents that pass, in their own columns, without their boilerplate lines."""
     require(docs, id_col, host_col, text_col)
@@ -185,7 +174,7 @@ def quality_rules(
     body = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), *_doc_key(docs, id_col, host_col, text_col),
                        F.col(text_col).alias("_body"))
     passed = text_statistics(body, "_body").where(~base_failed())
-    removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs, min_context_share)
+    removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs)
     joined = passed.alias("s").join(removed.alias("r"), _same("s", "r"), "left").select(
         "s.row", "s.n_words", F.coalesce("r.removed_words", F.lit(0)).alias("removed_words"), F.col("r.line_hashes").alias("gone"))
     text = F.col(f"row.`{text_col}`")
