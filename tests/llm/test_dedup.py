@@ -5,6 +5,7 @@ import random
 import xxhash
 
 from tracemill.llm import line_dedup as ld
+from tracemill.llm import minhash as mh
 from tracemill.llm import simhash as sh
 
 
@@ -125,3 +126,43 @@ def test_lines_of_odd_rows(odd_docs):
     out = ld.dedup_lines(odd_docs)
     assert out.count() == odd_docs.count() and out.columns == [*odd_docs.columns, "removed"]
     assert ld.dedup_lines(odd_docs.limit(0)).count() == 0
+
+
+def test_hubs_of_any_radius(spark):
+    for bits in (1, 2, 4):
+        r = random.Random(bits)
+        base = [r.getrandbits(64) for _ in range(4)]
+        values = {x ^ sum(1 << i for i in r.sample(range(64), r.randrange(bits + 1))) for x in base for _ in range(8)}
+        signed = [v - (1 << 64) if v >> 63 else v for v in values]
+        found = {(x.a, x.b) for x in sh.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bits, hot_cell=1).collect()}
+        root = {v: v for v in signed}
+
+        def top(v):
+            while root[v] != v:
+                v = root[v]
+            return v
+
+        for a, b in found:
+            assert bin((a ^ b) & (2**64 - 1)).count("1") <= bits
+            root[top(a)] = top(b)
+        assert all(top(a) == top(b) for a in signed for b in signed if bin((a ^ b) & (2**64 - 1)).count("1") <= bits)
+
+
+def test_near_copies_at_five_words(spark, make_docs, odd_docs):
+    r = random.Random(4)
+    words = lambda n: [f"w{r.randrange(10**6)}" for _ in range(n)]
+    rows, groups = [], 40
+    for g in range(groups):  # one word changed: 5 of 96 shingles, similarity 0.9; four others: 0.66 at most
+        text = words(100)
+        near, far = list(text), list(text)
+        near[50] = "changed"
+        for at in (20, 35, 65, 80):
+            far[at] = "changed"
+        rows += [(10 * g + k, " ".join(t), "en", "s1") for k, t in enumerate((text, near, far))]
+    text = words(100)
+    rows += [(1000 + i, " ".join(text[:i] + ["changed"] + text[i + 1:]), "en", "s1") for i in range(2, 98)]  # a full cell
+    kept = {x.doc_id for x in mh.keep_one(make_docs(rows)).collect()}
+    assert kept == {10 * g + k for g in range(groups) for k in (0, 2)} | {1002}
+    out = mh.keep_one(odd_docs)
+    assert out.columns == odd_docs.columns and out.where("text = 'one'").count() == 1
+    assert mh.keep_one(odd_docs.limit(0)).count() == 0

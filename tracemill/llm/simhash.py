@@ -113,16 +113,14 @@ def _cells(points: DataFrame, max_bits: int) -> DataFrame:
 def _hub_links(points: DataFrame, max_bits: int) -> DataFrame:
     """Links among ``points`` through hubs, for cells too full to pair.
 
-    Two fingerprints within three bits have a value within one bit of the one and
-    two bits of the other. Each point sends itself to all values within one bit
-    (as owner) and within two (as guest). All guests of a value that has an owner
-    are within three bits of that owner, so the value may stand for it in the
-    graph. Rows: a constant number for each point.
+    Two fingerprints within ``max_bits`` have a value within half of the bits of the
+    one and the other half of the other. Each point sends itself to all values within
+    the first half (as owner) and the second (as guest). All guests of a value that
+    has an owner are within ``max_bits`` of that owner, so the value may stand for it
+    in the graph. Rows: a constant number for each point.
     """
-    if max_bits != 3:
-        raise ValueError("hubs are laid out for three bits")
-    one = [0] + [1 << i for i in range(64)]
-    two = one + [(1 << i) | (1 << j) for i, j in itertools.combinations(range(64), 2)]
+    within = lambda bits: [sum(1 << i for i in c) for k in range(bits + 1) for c in itertools.combinations(range(64), k)]
+    one, two = within(max_bits // 2), within(max_bits - max_bits // 2)
     ball = lambda masks: F.explode(F.transform(F.array(*[F.lit(_signed(m)) for m in masks]), lambda m: F.col("fp").bitwiseXOR(m))).alias("hub")
     owners = points.select("fp", ball(one))
     wanted = owners.groupBy("hub").agg(F.min("fp").alias("owner"))
