@@ -214,3 +214,11 @@ def test_mix_of_odd_rows(spark, odd_docs):
     assert picked.columns == odd.columns and picked.where("doc_id = 1").count() in (2, 3)
     assert mx.mixed_documents(odd.limit(0), F.lit("d"), F.col("tokens"), 2).count() == 0
     assert mx.select_tokens(odd, 0, 2).count() == 0
+
+
+def test_scores_see_five_bytes_back(spark, make_docs):
+    r = random.Random(6)
+    text = lambda: "".join(r.choice(["axxxxa.", "bxxxxb."]) for _ in range(400))
+    docs = make_docs([(i, text(), "en", "s1") for i in range(4)])
+    held = ct.score_texts(docs, F.col("doc_id") == 0).where("held_out").first()
+    assert held.bits_per_byte < 0.22  # one free bit in seven bytes; two with four bytes of context
