@@ -52,3 +52,13 @@ def test_empty_events(spark):
     assert tr.line_counts(events, 1, 3).count() == 0
     assert tr.transition_entropy(events).count() == 0
     assert tr.event_statistics(events).select(F.sum("events")).first()[0] is None
+
+
+def test_activations_in_chunks(spark):
+    import random
+
+    r = random.Random(3)
+    rows = [(t, i, r.choice("abcd"), r.choice(["call", "call", "line", "return", "exception"])) for t, n in ((1, 120), (2, 7), (3, 40)) for i in range(n)]
+    events = spark.createDataFrame(rows, "trace_id long, seq long, func string, event string")
+    whole, cut = ([tuple(x) for x in tr.activations(events, chunk).orderBy("trace_id", "activation").collect()] for chunk in (10**6, 25))
+    assert whole == cut and len(whole) > 40

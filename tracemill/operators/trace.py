@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
+
 #: One event: time, path:line, function, kind, tail.
 RECORD = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) (\S+):(\d+) (\S+) event=(call|line|return|exception)(.*)$"
 MARKER = "[TRACE]"
@@ -105,40 +107,69 @@ def call_depth(events: DataFrame) -> DataFrame:
 ACTIVATIONS = "trace_id long, activation long, func string, parent long, depth int, call_seq long, end_seq long, orphan boolean, closed boolean"
 
 
-def activations(events: DataFrame) -> DataFrame:
+#: Events of a trace that one worker holds at a time.
+ACTIVATION_CHUNK = 100_000
+
+
+def activations(events: DataFrame, chunk: int = ACTIVATION_CHUNK) -> DataFrame:
     """One row an activation, from a call stack that recovers from missing returns.
 
     A return closes the nearest open activation of its function and all above it; an
-    event of a function that is not open begins an orphan activation.
+    event of a function that is not open begins an orphan activation. Traces are cut
+    into chunks of events; one round of jobs takes the next chunk of every trace and
+    the activations still open, which are written to the shared folder between rounds.
     """
+    names = [c.split()[0] for c in ACTIVATIONS.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(opened: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Closed activations, open ones (no end_seq), and the number reached in a row without a function."""
         pdf = pdf.sort_values("seq")
-        done, stack, trace = [], [], pdf["trace_id"].iloc[0] if len(pdf) else None
+        trace = (pdf if len(pdf) else opened)["trace_id"].iloc[0]
+        done, stack, places, n = [], [], {}, 0
+        for e in opened.astype(object).where(opened.notna(), None).sort_values("depth")[names].values.tolist():
+            if e[2] is None and e[4] == 0:
+                n = e[1]
+            else:
+                places.setdefault(e[2], []).append(len(stack))
+                stack.append(e)
 
-        def close(entry: list, seq: int, closed: bool) -> None:
+        def close(seq: int, closed: bool) -> None:
+            entry = stack.pop()
+            places[entry[2]].pop()
             entry[6], entry[8] = seq, closed
             done.append(entry)
 
-        n = 0
         for seq, func, event in zip(pdf["seq"], pdf["func"], pdf["event"]):
-            open_at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][2] == func), None)
+            open_at = places[func][-1] if places.get(func) else None
             if event == "call" or open_at is None:
                 n += 1
+                open_at = len(stack)
                 stack.append([trace, n, func, stack[-1][1] if stack else None, len(stack) + 1, seq, None, event != "call", False])
-                open_at = len(stack) - 1
+                places.setdefault(func, []).append(open_at)
+            while len(stack) - 1 > open_at:
+                close(seq, False)
             if event == "return":
-                while len(stack) > open_at:
-                    close(stack.pop(), seq, len(stack) == open_at)
-            else:
-                while len(stack) - 1 > open_at:
-                    close(stack.pop(), seq, False)
-        last = int(pdf["seq"].iloc[-1]) if len(pdf) else None
-        while stack:
-            close(stack.pop(), last, False)
-        return pd.DataFrame(done, columns=[c.split()[0] for c in ACTIVATIONS.split(", ")]).astype({"parent": "Int64"})
-
-    return events.select("trace_id", "seq", "func", "event").groupBy("trace_id").applyInPandas(run, ACTIVATIONS)
+                close(seq, True)
+        rest = [*done, *stack, [trace, n, None, None, 0, None, None, False, False]]
+        return pd.DataFrame(rest, columns=names).astype({"parent": "Int64", "call_seq": "Int64", "end_seq": "Int64"})
+
+    spark = events.sparkSession
+    place = F.floor((F.row_number().over(_trace()) - 1) / chunk).cast("long")
+    path = shared_path(spark, "activations")
+    events.select("trace_id", "seq", "func", "event", place.alias("chunk")).write.parquet(f"{path}/events")
+    cut = spark.read.parquet(f"{path}/events")
+    last = cut.groupBy("trace_id").agg(F.max("seq").alias("last"))
+    rounds = cut.agg(F.max("chunk")).first()[0] or 0
+    state, parts = spark.createDataFrame([], ACTIVATIONS), []
+    for k in range(rounds + 1):
+        now = cut.where(F.col("chunk") == k)
+        step = state.groupBy("trace_id").cogroup(now.drop("chunk").groupBy("trace_id")).applyInPandas(run, ACTIVATIONS)
+        step.write.parquet(f"{path}/round-{k}")
+        parts.append(f"{path}/round-{k}")
+        state = spark.read.schema(ACTIVATIONS).parquet(parts[-1]).where("end_seq is null")
+    ended = spark.read.schema(ACTIVATIONS).parquet(*parts).where("end_seq is not null")
+    still = state.where("depth > 0").join(last, "trace_id").withColumn("end_seq", F.col("last")).drop("last")
+    return ended.unionByName(still)
 
 
 def event_statistics(events: DataFrame) -> DataFrame:
