@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_path
 from ..functions import compare as c
 from ..functions.literals import canonical_json
 from .joins import suffix_pairs
@@ -30,6 +31,27 @@ def shortest_depths(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFram
     return seen
 
 
+def depths_from_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """module, root, func, depth: least number of calls from each root within its module, until no function is new.
+
+    ``edges``: module, caller, callee; ``roots``: module, root. Each round's frontier is written to the shared folder.
+    """
+    spark = edges.sparkSession
+    keys, path = ["module", "root", "func"], shared_path(spark, "depths")
+    roots.select("module", "root", F.col("root").alias("func")).distinct().withColumn("depth", F.lit(0)).write.parquet(f"{path}/0")
+    schema = spark.read.parquet(f"{path}/0").schema
+    met = lambda k: spark.read.schema(schema).parquet(*[f"{path}/{i}" for i in range(k)])
+    k = 1
+    while True:
+        frontier = spark.read.schema(schema).parquet(f"{path}/{k - 1}")
+        if frontier.isEmpty():
+            return met(k)
+        reached = edges.join(frontier.select("module", "root", F.col("func").alias("caller")), ["module", "caller"]).select(
+            "module", "root", F.col("callee").alias("func")).distinct()
+        reached.join(met(k).select(*keys), keys, "left_anti").withColumn("depth", F.lit(k)).write.parquet(f"{path}/{k}")
+        k += 1
+
+
 def _lines(ranges: DataFrame, *keep: str) -> DataFrame:
     return ranges.select(*keep, F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
 

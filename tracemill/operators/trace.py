@@ -399,11 +399,25 @@ def new_lines(trace: DataFrame, baseline: DataFrame) -> DataFrame:
     return lines(trace).join(lines(baseline), ["file", "line"], "left_anti")
 
 
+def first_seen_lines(events: DataFrame) -> DataFrame:
+    """trace_id, file, line of every line that no trace before executed."""
+    return events.where(F.col("event") == "line").groupBy("file", "line").agg(F.min("trace_id").alias("trace_id")).select("trace_id", "file", "line")
+
+
 def function_edges(events: DataFrame) -> DataFrame:
     """file, func, src, dst between successive different lines of one function, over all events."""
+    return _edges(events).select("file", "func", "src", "dst").distinct()
+
+
+def _edges(events: DataFrame) -> DataFrame:
     before = F.lag("line").over(_trace("file", "func"))
     return events.withColumn("src", before).where(F.col("src").isNotNull() & (F.col("src") != F.col("line"))).select(
-        "file", "func", "src", F.col("line").alias("dst")).distinct()
+        "trace_id", "file", "func", "src", F.col("line").alias("dst"))
+
+
+def first_seen_edges(events: DataFrame) -> DataFrame:
+    """trace_id, file, func, src, dst of every edge that no trace before took."""
+    return _edges(events).groupBy("file", "func", "src", "dst").agg(F.min("trace_id").alias("trace_id"))
 
 
 def path_digest(events: DataFrame) -> DataFrame:

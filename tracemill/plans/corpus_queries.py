@@ -202,6 +202,8 @@ QUERIES = {
         with_views("call_edges", """WITH e AS (SELECT DISTINCT caller, callee FROM call_edges WHERE module = 1), d1 AS (SELECT DISTINCT callee AS f FROM e WHERE caller = 'g1'), d2 AS (SELECT DISTINCT callee AS f FROM e WHERE caller IN (SELECT f FROM d1)),
  d3 AS (SELECT DISTINCT callee AS f FROM e WHERE caller IN (SELECT f FROM d2)), d4 AS (SELECT DISTINCT callee AS f FROM e WHERE caller IN (SELECT f FROM d3)),
  a AS (SELECT 'g1' AS f, 0 AS d UNION ALL SELECT f, 1 FROM d1 UNION ALL SELECT f, 2 FROM d2 UNION ALL SELECT f, 3 FROM d3 UNION ALL SELECT f, 4 FROM d4) SELECT f AS func, min(d) AS depth FROM a GROUP BY 1""")),
+    "ev2_depths_from_roots": (
+        lambda s, d: ev.depths_from_roots(call_edges(s, d), call_edges(s, d).select("module", F.col("caller").alias("root"))), None),
     "ev3_coverage": (
         lambda s, d: ev.coverage(_executed(s, d), _seen(s, d)),
         with_views(_LS, f"""WITH {_REQ}, x AS (SELECT DISTINCT instance_id, file, line FROM rl WHERE range_id % 2 = 0)

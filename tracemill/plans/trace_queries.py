@@ -167,6 +167,13 @@ QUERIES = {
         lambda s, d: tr.function_edges(trace_events(s, d).where("trace_id % 2 = 1")).exceptAll(tr.function_edges(trace_events(s, d).where("trace_id = 2"))),
         with_views(_TE, """WITH e AS (SELECT trace_id, file, func, lag(line) OVER (PARTITION BY trace_id, file, func ORDER BY seq) AS src, line AS dst FROM trace_events)
  SELECT file, func, src, dst FROM e WHERE src <> dst AND trace_id % 2 = 1 EXCEPT SELECT file, func, src, dst FROM e WHERE src <> dst AND trace_id = 2""")),
+    "st1_first_seen_lines": (
+        lambda s, d: tr.first_seen_lines(trace_events(s, d)),
+        with_views(_TE, "SELECT min(trace_id) AS trace_id, file, line FROM trace_events WHERE event = 'line' GROUP BY file, line")),
+    "st1_first_seen_edges": (
+        lambda s, d: tr.first_seen_edges(trace_events(s, d)),
+        with_views(_TE, """WITH e AS (SELECT trace_id, file, func, lag(line) OVER (PARTITION BY trace_id, file, func ORDER BY seq) AS src, line AS dst FROM trace_events)
+ SELECT min(trace_id) AS trace_id, file, func, src, dst FROM e WHERE src <> dst GROUP BY file, func, src, dst""")),
     "st2_equal_paths": (
         lambda s, d: tr.path_digest(trace_events(s, d)),
         with_views(_TE, "SELECT trace_id, count(*) AS steps, md5(string_agg(file || ':' || line, ',' ORDER BY seq)) AS digest FROM trace_events WHERE event = 'line' GROUP BY 1")),
