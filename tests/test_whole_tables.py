@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tests.compare import SF
 from tracemill.operators import evidence as ev
 from tracemill.plans import all_queries
+from tracemill.plans import source_queries as sq
 from tracemill.sources.fixtures import call_edges
 
 
@@ -31,3 +32,8 @@ def test_depths_of_all_modules_and_roots(spark):
     chain = spark.createDataFrame([(1, f"f{i}", f"f{i + 1}") for i in range(7)], "module long, caller string, callee string")
     deep = ev.depths_from_roots(chain, spark.createDataFrame([(1, "f0")], "module long, root string"))
     assert deep.agg(F.max("depth")).first()[0] == 7
+
+
+def test_reports_grow_in_number(spark):
+    docs = sq._reports(spark, SF).select("run_dir", "block").collect()
+    assert len(docs) == len(set(docs)) and len(docs) > 20

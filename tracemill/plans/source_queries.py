@@ -31,11 +31,18 @@ def _answer_files(s, d):
     return rollouts(s, d).select(path.alias("path"), F.lit("{}").alias("doc"))
 
 
+#: Instance numbers a report; documents grow in number and not in size.
+REPORT_BLOCK = 1000
+
+
 def _reports(s, d):
-    """Verdict reports as JSON, one for each of 20 runs."""
+    """Verdict reports as JSON, one for each of 20 runs and block of instances; every model has a place in each."""
     verdict = F.struct(F.col("instance_id").cast("string").alias("instance_id"), "passed", F.struct(F.lit(1).alias("pass_count"), F.array(F.struct(F.col("rollout").cast("int").alias("rollout"), "passed", "reason")).alias("rollouts")).alias("details"))
-    runs = rollouts(s, d).groupBy((F.col("instance_id") % 20).alias("run_dir"), "model").agg(F.collect_list(verdict).alias("verdicts"))
-    return runs.groupBy("run_dir").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("model").alias("validator"), F.lit("all").alias("scope"), "verdicts"))).alias("runs"))).alias("doc"))
+    of = [(F.col("instance_id") % 20).alias("run_dir"), F.floor(F.col("instance_id") / REPORT_BLOCK).alias("block")]
+    runs = rollouts(s, d).groupBy(*of, "model").agg(F.collect_list(verdict).alias("verdicts"))
+    places = rollouts(s, d).select(*of).distinct().join(F.broadcast(rollouts(s, d).select("model").distinct()))
+    full = places.join(runs, ["run_dir", "block", "model"], "left").withColumn("verdicts", F.coalesce("verdicts", F.array()))
+    return full.groupBy("run_dir", "block").agg(F.to_json(F.struct(F.array_sort(F.collect_list(F.struct(F.col("model").alias("validator"), F.lit("all").alias("scope"), "verdicts"))).alias("runs"))).alias("doc"))
 
 
 def _trajectories(s, d):
