@@ -46,7 +46,8 @@ def op4_context_tree_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_files.read_documents(token_files.write_tokens(docs, token_files.byte_encoder(_tokenizer("byte_bpe_50k.json"))))
+    manifest = token_files.write_tokens(docs, token_files.byte_encoder(_tokenizer("byte_bpe_50k.json")))
+    return token_files.read_documents(manifest, docs.schema["doc_id"].dataType)
 
 
 def op6_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
