@@ -10,14 +10,20 @@ the parent never asks for more than they can take together).
 Each leaf is then read in seeded epochs: in every epoch its documents have an own
 order, by a digest of seed, epoch and id. The leaf's budget is a prefix of the
 tokens of these epochs in turn. Whole epochs need no order; in the last one the
-documents are dealt over ranges of the digest, and only the range in which the
-budget ends is sorted, so that a leaf with a third of all rows needs no large group.
+documents are dealt over ranges of the digest, twice in turn, and only the range in
+which the budget ends is sorted.
+
+Neither many sources under one parent nor a leaf with a third of all rows needs a
+large group: siblings are taken together by their capacity for each unit of weight
+first, and only the band in which the budget ends is looked at one by one.
 
 Defined results: null domains, languages and sources are leaves of their own; a
 null text has no tokens; documents without tokens come with the epochs that hold
 their place; rows of equal digest follow their id and text hash; weights that are
-not listed are 1; budgets are rounded down to whole tokens at each node, so up to
-one token for each child may stay unspent.
+not listed are 1, of those listed twice the largest counts, fractions count to the
+sixth digit, a weight of zero gives nothing, a negative one is an error; budgets
+are rounded down to whole tokens at each node, so up to one token for each child
+may stay unspent.
 """
 
 from __future__ import annotations
@@ -28,8 +34,10 @@ from pyspark.sql import functions as F
 from .common import WORD, require, text_of, written
 
 LEVELS = ("domain", "lang", "source")
-RANGE_DOCS = 2048
-_KEY_BITS = 48
+_KEY_BITS, _DIGIT_BITS, _DIGITS = 48, 12, 2
+_WEIGHT_UNIT = 1_000_000
+#: Bands of siblings for each doubling of their capacity for a unit of weight.
+_BANDS = 64
 
 
 def word_tokens(text_col: str) -> Column:
@@ -43,38 +51,60 @@ def _null_safe(a: str, b: str, names: tuple[str, ...]) -> Column:
     return cond
 
 
+def _wide(c: str) -> Column:
+    return F.col(c).cast("decimal(38,0)")
+
+
 def fill(children: DataFrame, parent: tuple[str, ...], name: str) -> DataFrame:
     """Budgets of the children of each parent by weights under capacities.
 
     ``children`` has the parent's columns, ``budget`` (of the parent), ``name``,
     ``weight`` and ``capacity``. In order of capacity for each unit of weight, a
     child is full as long as its capacity is within its share of what is left; the
-    others share the rest by weight, rounded down.
+    others share the rest by weight, rounded down. Bands of that order are summed up
+    first: all children of the bands before the one that is not wholly full are full.
     """
-    order = Window.partitionBy(*parent).orderBy(F.col("capacity") / F.col("weight"), name)
-    before = order.rowsBetween(Window.unboundedPreceding, -1)
-    onward = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    wide = lambda c: F.col(c).cast("decimal(38,0)")
-    ranked = children.withColumns({
-        "_left": F.col("budget") - F.coalesce(F.sum("capacity").over(before), F.lit(0)),
-        "_weights": F.sum("weight").over(onward),
-    }).withColumn("_full", (wide("capacity") * wide("_weights") <= wide("weight") * wide("_left")))
-    whole = Window.partitionBy(*parent)
+    ratio = F.col("capacity") / F.col("weight")
+    rows = children.withColumn("_band", F.floor(F.log2(ratio.cast("double")) * _BANDS))
+    bands = rows.groupBy(*parent, "_band").agg(
+        F.first("budget").alias("budget"), F.sum("capacity").alias("_sum"), F.sum("weight").alias("_own"),
+        F.max(F.struct(ratio.alias("r"), F.col(name).alias("n"), "capacity", "weight")).alias("_top"))
+    order = Window.partitionBy(*parent).orderBy("_band")
+    bands = bands.withColumns({
+        "_before": F.sum("_sum").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_sum"),
+        "_onward": F.sum("_own").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+    })
+    not_full = _wide("_top.capacity") * (_wide("_onward") - _wide("_own")) > _wide("_top.weight") * (_wide("budget") - _wide("_before") - _wide("_sum"))
+    border = bands.where(not_full).groupBy(*parent).agg(F.min(F.struct("_band", "_before", "_onward")).alias("b")).select(*parent, "b.*")
+    # one by one within the border band
+    inside = rows.alias("c").join(border.alias("b"), _null_safe("c", "b", (*parent, "_band"))).select("c.*", "b._before", "b._onward")
+    by_ratio = Window.partitionBy(*parent).orderBy(ratio, name).rowsBetween(Window.unboundedPreceding, -1)
+    inside = inside.withColumns({
+        "_left": F.col("budget") - F.col("_before") - F.coalesce(F.sum("capacity").over(by_ratio), F.lit(0)),
+        "_weights": F.col("_onward") - F.coalesce(F.sum("weight").over(by_ratio), F.lit(0)),
+    })
     # the first child that is not full sets the level for all that follow
-    level = F.min(F.when(~F.col("_full"), F.struct((F.col("capacity") / F.col("weight")).alias("r"), F.col(name).alias("n"),
-                                                   F.col("_left").alias("left"), F.col("_weights").alias("weights")))).over(whole)
-    shared = ranked.withColumn("_level", level)
+    level = inside.where(_wide("capacity") * _wide("_weights") > _wide("weight") * _wide("_left")).groupBy(*parent).agg(
+        F.min(F.struct(ratio.alias("r"), F.col(name).alias("n"), F.col("_left").alias("left"), F.col("_weights").alias("weights"))).alias("_level"))
+    shared = rows.alias("c").join(level.alias("l"), _null_safe("c", "l", parent), "left").select("c.*", "l._level")
+    full = F.col("_level").isNull() | (F.struct(ratio.alias("r"), F.col(name).alias("n")) < F.struct("_level.r", "_level.n"))
     share = F.expr("(cast(weight as decimal(38,0)) * cast(_level.left as decimal(38,0))) div cast(_level.weights as decimal(38,0))")
-    return shared.withColumn("budget", F.when(F.col("_full"), F.col("capacity")).otherwise(share)).select(*parent, name, "capacity", "budget")
+    return shared.select(*parent, name, "capacity", F.when(full, F.col("capacity")).otherwise(share).alias("budget"))
+
+
+def _listed(weights: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """The listed weights in whole units; negative ones raise."""
+    given = F.col("weight")
+    units = F.when(given < 0, F.raise_error(F.lit("a weight is negative"))).otherwise(F.round(given.cast("decimal(28,9)") * _WEIGHT_UNIT, 0)).cast("long")
+    return weights.where(given.isNotNull()).select(*keys, units.alias("weight")).groupBy(*keys).agg(F.max("weight").alias("weight"))
 
 
 def _weighted(nodes: DataFrame, weights: DataFrame | None, keys: tuple[str, ...]) -> DataFrame:
     """``nodes`` with the listed weights of this level, 1 where none is listed."""
     if weights is None:
-        return nodes.withColumn("weight", F.lit(1).cast("long"))
-    own = weights.select(*keys, F.col("weight").cast("long").alias("weight"))
-    return nodes.alias("n").join(own.alias("w"), _null_safe("n", "w", keys), "left").select(
-        "n.*", F.coalesce("w.weight", F.lit(1)).alias("weight"))
+        return nodes.withColumn("weight", F.lit(_WEIGHT_UNIT).cast("long"))
+    return nodes.alias("n").join(_listed(weights, keys).alias("w"), _null_safe("n", "w", keys), "left").select(
+        "n.*", F.coalesce("w.weight", F.lit(_WEIGHT_UNIT)).alias("weight"))
 
 
 def leaf_budgets(
@@ -88,16 +118,22 @@ def leaf_budgets(
     """
     weights = (domain_weights, lang_weights, source_weights)
     capacity = leaves.withColumn("capacity", F.col("tokens") * max_epochs)
-    budget = capacity.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"), F.coalesce(F.sum("capacity"), F.lit(0)).alias("capacity")).select(
+    for depth, listed in enumerate(weights):  # what weighs nothing holds nothing
+        if listed is not None:
+            keys = LEVELS[: depth + 1]
+            capacity = capacity.alias("n").join(_listed(listed, keys).where("weight = 0").alias("w"), _null_safe("n", "w", keys), "left_anti")
+    held = capacity.agg(F.coalesce(F.sum("capacity"), F.lit(0)).alias("capacity"))
+    budget = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).crossJoin(held).select(  # one row each
         F.lit(0).alias("root"), F.least(F.floor(F.lit(total) if isinstance(total, int) else total).cast("long"), F.col("capacity")).alias("budget"))
-    parents, parent = budget, ("root",)
+    capacity, parents, parent = written(capacity, "mix-capacity"), written(budget, "mix-budget"), ("root",)
     for depth, name in enumerate(LEVELS):
         keys = LEVELS[: depth + 1]
         nodes = capacity.groupBy(*keys).agg(F.sum("capacity").alias("capacity")).where("capacity > 0").withColumn("root", F.lit(0))
         nodes = _weighted(nodes, weights[depth], keys)
-        with_budget = nodes.alias("c").join(parents.alias("p"), _null_safe("c", "p", parent)).select("c.*", "p.budget")
+        # each level is written: the plan stays small, and a level is computed once
+        with_budget = written(nodes.alias("c").join(parents.alias("p"), _null_safe("c", "p", parent)).select("c.*", "p.budget"), "mix-nodes")
         filled = fill(with_budget, parent, name)
-        parents, parent = filled.select(*parent, name, "budget"), (*parent, name)
+        parents, parent = written(filled.select(*parent, name, "budget"), "mix-level"), (*parent, name)
     return leaves.alias("l").join(parents.alias("b"), _null_safe("l", "b", LEVELS), "left").select(
         "l.*", F.coalesce("b.budget", F.lit(0)).cast("long").alias("budget"))
 
@@ -109,7 +145,7 @@ def epoch_key(seed: int, epoch: Column, id_col: Column) -> Column:
 
 
 def select_tokens(
-    docs: DataFrame, total: Column | int, max_epochs: int = 4, seed: int = 1, range_docs: int = RANGE_DOCS,
+    docs: DataFrame, total: Column | int, max_epochs: int = 4, seed: int = 1,
     id_col: str = "doc_id", text_col: str = "text", **weights: DataFrame | None,
 ) -> DataFrame:
     """One row for each document and epoch that the budgets reach.
@@ -120,30 +156,30 @@ def select_tokens(
     """
     require(docs, id_col, text_col, *LEVELS)
     slim = written(docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), *LEVELS, word_tokens(text_col).alias("n_tokens")), "mix")
-    leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
+    leaves = written(slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens")), "mix-leaves")
     plan = leaf_budgets(leaves, total, max_epochs, **weights).where("budget > 0").withColumns({
-        "full": F.expr("budget div tokens"), "rest": F.col("budget") % F.col("tokens"),
-        "ranges": F.greatest(F.lit(1), F.ceil(F.col("docs") / range_docs)).cast("long"),
-    })
+        "full": F.expr("budget div tokens"), "rest": F.col("budget") % F.col("tokens")})
     plan = written(plan, "mix-plan")
-    placed = slim.alias("d").join(plan.alias("p"), _null_safe("d", "p", LEVELS)).select("d.*", "p.full", "p.rest", "p.ranges")
+    placed = slim.alias("d").join(plan.alias("p"), _null_safe("d", "p", LEVELS)).select("d.*", "p.full", "p.rest")
     whole = placed.where("full > 0").select(
         "_id", "_text", *LEVELS, F.explode(F.sequence(F.lit(1).cast("long"), F.col("full"))).alias("epoch"), "n_tokens", F.col("n_tokens").alias("take_tokens"))
 
-    key = epoch_key(seed, F.col("full") + 1, F.col("_id"))
-    last = placed.where("rest > 0").withColumn("key", key).withColumn(
-        "range", F.shiftright(F.col("key"), _KEY_BITS - 24) * F.col("ranges"))
-    last = last.withColumn("range", F.shiftright("range", 24))
-    ends = Window.partitionBy(*LEVELS).orderBy("range")
-    ranges = last.groupBy(*LEVELS, "range").agg(F.sum("n_tokens").alias("t")).withColumn("start", F.sum("t").over(ends) - F.col("t"))
-    reached = last.alias("d").join(ranges.alias("r"), _null_safe("d", "r", (*LEVELS, "range"))).select("d.*", "r.start", (F.col("r.start") + F.col("r.t")).alias("end")).where("start < rest")
-    inside = reached.where("end <= rest").withColumn("take_tokens", F.col("n_tokens"))
+    names = ["_id", "_text", *LEVELS, "epoch", "n_tokens", "take_tokens"]
+    part = placed.where("rest > 0").withColumn("key", epoch_key(seed, F.col("full") + 1, F.col("_id"))).withColumns({
+        "epoch": F.col("full") + 1, "take_tokens": F.col("n_tokens"), "base": F.lit(0).cast("long")})
+    chosen = whole.select(*names)
+    for k in range(1, _DIGITS + 1):  # ranges of the key: those before the border go in, the border range goes on
+        part = part.withColumn("digit", F.shiftright("key", _KEY_BITS - k * _DIGIT_BITS).bitwiseAND(F.lit((1 << _DIGIT_BITS) - 1)))
+        ends = Window.partitionBy(*LEVELS).orderBy("digit")
+        ranges = part.groupBy(*LEVELS, "digit").agg(F.sum("n_tokens").alias("t"), F.first("base").alias("base")).withColumn(
+            "end", F.col("base") + F.sum("t").over(ends)).withColumn("start", F.col("end") - F.col("t"))
+        reached = part.alias("d").join(ranges.alias("r"), _null_safe("d", "r", (*LEVELS, "digit"))).select("d.*", "r.start", "r.end").where("start < rest")
+        chosen = chosen.union(reached.where("end <= rest").select(*names))
+        part = written(reached.where("end > rest").withColumn("base", F.col("start")).drop("start", "end"), "mix-border")
     order = Window.partitionBy(*LEVELS).orderBy("key", "_id", "_text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    border = reached.where("end > rest").withColumn("at", F.col("start") + F.sum("n_tokens").over(order) - F.col("n_tokens")).where("at < rest").withColumn(
+    border = part.withColumn("at", F.col("base") + F.sum("n_tokens").over(order) - F.col("n_tokens")).where("at < rest").withColumn(
         "take_tokens", F.least("n_tokens", F.col("rest") - F.col("at")))
-    names = ["_id", "_text", *LEVELS, "epoch", "n_tokens", "take_tokens"]
-    partial = [x.withColumn("epoch", F.col("full") + 1).select(*names) for x in (inside, border)]
-    return whole.select(*names).union(partial[0]).union(partial[1])
+    return chosen.union(border.select(*names))
 
 
 def mixed_documents(docs: DataFrame, domain: Column, total: Column | int, max_epochs: int, seed: int = 1,
