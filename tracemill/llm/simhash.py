@@ -8,9 +8,11 @@ are dealt over ``max_bits + 3`` blocks; two embeddings at distance ``max_bits``
 agree in at least three blocks, so each triple of blocks is one grid, and pairs
 that share a cell of a grid are candidates. They are filtered by the Manhattan
 distance (the lower bound) and then verified exactly. Equal fingerprints are one
-point from the start. Cells with more than ``hot_cell`` points do not pair their
-points: they are linked through shared neighbours (see ``_hub_links``), a form
-whose rows grow with the points and not with their square.
+point from the start. A cell with more than ``hot_cell`` points is cut by the same
+rule over the segments outside its grid: these are dealt over blocks again, and again
+three of them agree. Cells that are full even then hold near copies in such numbers
+that they can not be paired: they are linked through shared neighbours (see
+``_hub_links``), a form whose rows grow with the points and not with their square.
 
 Defined results: null and blank texts have fingerprint zero and link like any
 other; a null id is a document that can not be a component's name unless all ids
@@ -25,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -94,20 +96,41 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _grids(max_bits: int) -> list[int]:
-    """Masks of the triples of blocks, over ``max_bits + 3`` blocks of segments."""
+def _triples(segments: list[int], max_bits: int) -> list[int]:
+    """Masks of the triples of blocks, the segments dealt over ``max_bits + 3`` blocks."""
     blocks = max_bits + 3
-    own = [0] * blocks
-    for s in range(SEGMENTS):
-        own[s * blocks // SEGMENTS] |= 3 << (2 * s)
-    return [_signed(sum(c)) for c in itertools.combinations(own, 3)]
+    own = [sum(3 << (2 * s) for s in segments[b * len(segments) // blocks : (b + 1) * len(segments) // blocks]) for b in range(blocks)]
+    return [sum(c) for c in itertools.combinations(own, 3)]
+
+
+def _grids(max_bits: int) -> list[int]:
+    return _triples(list(range(SEGMENTS)), max_bits)
+
+
+def _finer(spark: SparkSession, max_bits: int) -> DataFrame:
+    """mask, finer: each grid and those that cut its cells further; 400 rows for three bits."""
+    rows = []
+    for mask in _grids(max_bits):
+        outside = [s for s in range(SEGMENTS) if not mask >> (2 * s) & 3]
+        rows += [(_signed(mask), _signed(mask | m)) for m in _triples(outside, max_bits)]
+    return spark.createDataFrame(rows, "mask long, finer long")
+
 
+def _sized(cells: DataFrame, name: str) -> DataFrame:
+    """fp, v, mask with the number of points of the cell; cells of one point go."""
+    cells = cells.withColumn("cell", F.col("v").bitwiseAND(F.col("mask")))
+    size = cells.groupBy("mask", "cell").agg(F.count("*").alias("n")).where("n > 1")
+    return written(cells.join(size, ["mask", "cell"]), name)
 
-def _cells(points: DataFrame, max_bits: int) -> DataFrame:
-    """fp, grid, cell: each point once in each grid."""
-    masks = F.array(*[F.lit(m) for m in _grids(max_bits)])
-    return points.select("fp", _popcounts(F.col("fp")).alias("v"), F.posexplode(masks).alias("grid", "mask")).select(
-        "fp", "v", "grid", F.col("v").bitwiseAND(F.col("mask")).alias("cell"))
+
+def _near(cells: DataFrame, max_bits: int) -> DataFrame:
+    """Pairs a < b of one cell within ``max_bits``."""
+    a, b = cells.alias("a"), cells.alias("b")
+    near = a.join(b, (F.col("a.mask") == F.col("b.mask")) & (F.col("a.cell") == F.col("b.cell"))
+                  & (F.col("a.fp") < F.col("b.fp"))
+                  & (_manhattan(F.col("a.v"), F.col("b.v")) <= max_bits)
+                  & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits))
+    return near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b"))
 
 
 def _hub_links(points: DataFrame, max_bits: int) -> DataFrame:
@@ -132,21 +155,16 @@ def _hub_links(points: DataFrame, max_bits: int) -> DataFrame:
 def links(points: DataFrame, max_bits: int = MAX_BITS, hot_cell: int = HOT_CELL) -> DataFrame:
     """Pairs a < b of distinct fingerprints, enough to connect all within ``max_bits``.
 
-    Every pair of a cell with at most ``hot_cell`` points is there itself; points of
-    fuller cells are joined by a chain of verified links.
+    Every pair that shares a cell, or a finer one of a full cell, of at most ``hot_cell``
+    points is there itself; points of fuller cells are joined by a chain of verified links.
     """
-    cells = _cells(points, max_bits)
-    size = cells.groupBy("grid", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    placed = written(cells.join(size, ["grid", "cell"]), "cells")
-    few = placed.where(F.col("n") <= hot_cell)
-    a, b = few.alias("a"), few.alias("b")
-    near = a.join(b, (F.col("a.grid") == F.col("b.grid")) & (F.col("a.cell") == F.col("b.cell"))
-                  & (F.col("a.fp") < F.col("b.fp"))
-                  & (_manhattan(F.col("a.v"), F.col("b.v")) <= max_bits)
-                  & (F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= max_bits))
-    pairs = near.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    hot = placed.where(F.col("n") > hot_cell).select("fp").distinct()
-    return pairs.union(_hub_links(hot, max_bits)).distinct()
+    masks = F.explode(F.array(*[F.lit(_signed(m)) for m in _grids(max_bits)])).alias("mask")
+    coarse = _sized(points.select("fp", _popcounts(F.col("fp")).alias("v"), masks), "cells")
+    full = coarse.where(F.col("n") > hot_cell).select("fp", "v", "mask").join(F.broadcast(_finer(points.sparkSession, max_bits)), "mask")
+    fine = _sized(full.select("fp", "v", F.col("finer").alias("mask")), "fine-cells")
+    pairs = [_near(c.where(F.col("n") <= hot_cell), max_bits) for c in (coarse, fine)]
+    hot = fine.where(F.col("n") > hot_cell).select("fp").distinct()
+    return pairs[0].union(pairs[1]).union(_hub_links(hot, max_bits)).distinct()
 
 
 def connected(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
