@@ -3,6 +3,7 @@ cut points, and the word rule that the operators have in common."""
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,11 +19,13 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir``.
 
-    Only where the session has none (tests on one machine) a local folder is
-    made and set.
+    Only where the session has none and runs on one machine (tests) a local folder
+    is made and set; on a cluster its executors would not see each other's files.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -58,6 +61,15 @@ def words_of(c: Column | str) -> Column:
     return F.filter(F.split(text_of(c), r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
+def kept_lines(lines: Column, gone: Column) -> Column:
+    """The text of ``lines`` without those at the places ``gone``, in time linear in the lines.
+
+    Both should be columns of the frame, not expressions: they are read line by line.
+    """
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    return F.array_join(F.transform(left, lambda k: F.get(lines, k)), "\n")
+
+
 def require(df: DataFrame, *names: str) -> None:
     missing = [n for n in names if n not in df.columns]
     if missing:

@@ -26,8 +26,7 @@ from .common import ascii_lower, require
 
 # Sentences of public licences and usual one-line notices, by identifier.
 SENTENCES = {
-    "mit-line": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.",
-                 "SPDX-License-Identifier: MIT", "Distributed under the MIT License."],
+    "mit-line": ["Released under the MIT License.", "Licensed under the MIT License.", "This project is licensed under the MIT License.", "Distributed under the MIT License."],
     "mit-grant": ["Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files "
                   "(the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, "
                   "merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
@@ -35,7 +34,7 @@ SENTENCES = {
     "mit-condition": ["The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."],
     "as-is": ["THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF "
               "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."],
-    "apache-line": ["Licensed under the Apache License, Version 2.0.", "SPDX-License-Identifier: Apache-2.0",
+    "apache-line": ["Licensed under the Apache License, Version 2.0.",
                     "Licensed under the Apache License, Version 2.0 (the \"License\");", "This project is licensed under the Apache License 2.0."],
     "apache-comply": ["you may not use this file except in compliance with the License."],
     "apache-basis": ["Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "
@@ -46,19 +45,34 @@ SENTENCES = {
                    "in the documentation and/or other materials provided with the distribution."],
     "bsd-names": ["Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived "
                   "from this software without specific prior written permission."],
-    "bsd-line": ["Licensed under the BSD License.", "Released under the BSD License.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "gpl3-line": ["This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only",
+    "bsd-line": ["Licensed under the BSD License.", "Released under the BSD License."],
+    "gpl3-line": ["This work is licensed under the GNU General Public License, version 3.",
                   "Licensed under the GNU General Public License v3.0."],
-    "gpl2-line": ["This work is licensed under the GNU General Public License, version 2.", "SPDX-License-Identifier: GPL-2.0-only"],
+    "gpl2-line": ["This work is licensed under the GNU General Public License, version 2."],
     "gpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                  "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "gpl-hope": ["This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"],
-    "mpl-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v.", "SPDX-License-Identifier: MPL-2.0"],
+    "mpl-line": ["This Source Code Form is subject to the terms of the Mozilla Public License, v."],
     "isc-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided "
                   "that the above copyright notice and this permission notice appear in all copies."],
     "cc-by-nc-line": ["Licensed under CC BY-NC 4.0.", "This work is licensed under CC BY-NC 4.0."],
     "cc-by-sa-line": ["Licensed under CC BY-SA 4.0.", "This work is licensed under CC BY-SA 4.0."],
     "cc-by-line": ["Licensed under CC BY 4.0.", "This work is licensed under CC BY 4.0."],
+    "cc-by-nd-line": ["Licensed under CC BY-ND 4.0.", "This work is licensed under CC BY-ND 4.0."],
+    "cc0-line": ["Licensed under CC0 1.0.", "This work is licensed under CC0 1.0.", "This work is licensed under CC0 1.0 Universal."],
+    "gpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation;"],
+    "lgpl-terms": ["you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation;"],
+    "version-2-or-later": ["either version 2 of the License, or (at your option) any later version."],
+    "version-2.1-or-later": ["either version 2.1 of the License, or (at your option) any later version."],
+    "lgpl-line": ["Licensed under the GNU Lesser General Public License.", "Licensed under the LGPL License."],
+    "agpl-free": ["This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License "
+                  "as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "epl-line": ["This program and the accompanying materials are made available under the terms of the Eclipse Public License v2.0",
+                 "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0"],
+    "zlib-grant": ["Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+                   "redistribute it freely, subject to the following restrictions:"],
+    "0bsd-grant": ["Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted."],
+    "boost-line": ["Distributed under the Boost Software License, Version 1.0.", "Boost Software License - Version 1.0"],
     "unlicense": ["This is free and unencumbered software released into the public domain."],
     "reserved": ["All rights reserved."],
 }
@@ -71,7 +85,15 @@ RULES = [
     ("Apache-2.0", ["apache-line", "apache-comply", "apache-basis"]),
     ("GPL-3.0-or-later", ["gpl-free", "gpl-hope"]),
     ("GPL-3.0-or-later", ["gpl-free"]),
+    ("AGPL-3.0-or-later", ["agpl-free"]),
+    ("LGPL-2.1-or-later", ["lgpl-terms", "version-2.1-or-later"]),
+    ("GPL-2.0-or-later", ["gpl-terms", "version-2-or-later"]),
+    ("Zlib", ["zlib-grant"]),
     ("ISC", ["isc-grant"]),
+    ("0BSD", ["0bsd-grant"]),
+    ("BSL-1.0", ["boost-line"]),
+    ("EPL-2.0", ["epl-line"]),
+    ("LGPL", ["lgpl-line"]),
     ("GPL-3.0", ["gpl3-line"]),
     ("GPL-2.0", ["gpl2-line"]),
     ("MPL-2.0", ["mpl-line"]),
@@ -80,13 +102,27 @@ RULES = [
     ("BSD", ["bsd-line"]),
     ("CC-BY-NC-4.0", ["cc-by-nc-line"]),
     ("CC-BY-SA-4.0", ["cc-by-sa-line"]),
+    ("CC-BY-ND-4.0", ["cc-by-nd-line"]),
     ("CC-BY-4.0", ["cc-by-line"]),
+    ("CC0-1.0", ["cc0-line"]),
     ("Unlicense", ["unlicense"]),
     ("all-rights-reserved", ["reserved"]),
 ]
+# Identifiers of the public licence list that a tag line may name.
+SPDX_IDS = [
+    "MIT", "Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "0BSD", "ISC", "Zlib", "BSL-1.0", "MPL-2.0", "EPL-2.0", "Unlicense",
+    "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only",
+    "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "CC0-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-ND-4.0", "CC-BY-NC-4.0",
+]
+#: A normalised tag line, and what joins the names in it: each name is looked up for itself.
+SPDX, SPDX_JOIN = "spdx license identifier", " (?:or|and) "
+#: In such lines "or later" belongs to a name.
+OR_LATER = " orlater"
 #: Lower-case strings; each known sentence holds one.
-ANCHORS = ["licens", "software", "redistribution", "the above copyright notice", "warranty", "rights reserved", "copyright holder"]
+ANCHORS = ["licens", "software", "redistribution", "the above copyright notice", "warranty", "rights reserved", "copyright holder", "cc0"]
 
+#: Larger catalogues are joined by a shuffle.
+MOST_BROADCAST = 10_000
 SENTENCE_END = r"[.!?;]+(?:[\x20\x09-\x0D]+|$)|[\x0A\x0D]+"
 _WRAP = r"([^.!?;:\x20\x09-\x0D])[\x20\x09\x0D]*\x0A[\x20\x09]*([^\x20\x09-\x0D])"
 
@@ -99,9 +135,13 @@ def _plain(sentence: str) -> str:
     return re.sub(r"[^a-z0-9]+", " ", sentence.lower()).strip()
 
 
+def _spdx_id(name: str) -> str:
+    return f"spdx-{name.lower()}"
+
+
 def known_sentences(catalogue: dict[str, list[str]] = SENTENCES) -> dict[str, str]:
-    """Normalised sentence to identifier; a few dozen entries."""
-    found = {}
+    """Normalised sentence to identifier: the catalogue and the tag line of each listed licence."""
+    found = {f"{SPDX} {_plain(n).replace(' or later', OR_LATER)}": _spdx_id(n) for n in SPDX_IDS}
     for name, texts in catalogue.items():
         for text in texts:
             if not any(a in text.lower() for a in ANCHORS):
@@ -112,21 +152,31 @@ def known_sentences(catalogue: dict[str, list[str]] = SENTENCES) -> dict[str, st
     return found
 
 
+def all_rules(rules: list[tuple[str, list[str]]] = RULES) -> list[tuple[str, list[str]]]:
+    """The ordered rules, and behind them one for the tag line of each listed licence."""
+    return [*rules, *((n, [_spdx_id(n)]) for n in SPDX_IDS)]
+
+
 def _catalogue(spark: SparkSession, catalogue: dict[str, list[str]]) -> DataFrame:
     return spark.createDataFrame(list(known_sentences(catalogue).items()), "sentence string, sentence_id string")
 
 
 def licence_sentences(docs: DataFrame, catalogue: dict[str, list[str]] = SENTENCES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """_id, _text (hash), reading, pos, sentence_id of every known sentence."""
-    anchored = docs.where(F.lower(text_col).rlike("|".join(ANCHORS)))
+    anchored = docs.where(F.lower(text_col).rlike("|".join(a.replace(" ", r"\s+") for a in ANCHORS)))
     readings = F.array(F.struct(F.lit(0).alias("reading"), F.col(text_col).alias("body")),
-                       F.struct(F.lit(1).alias("reading"), F.regexp_replace(text_col, _WRAP, "$1 $2").alias("body")))
+                       F.struct(F.lit(1).alias("reading"), F.regexp_replace(F.regexp_replace(text_col, _WRAP, "$1 $2"), _WRAP, "$1 $2").alias("body")))
     cut = (
         anchored.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), F.explode(readings).alias("r"))
         .select("_id", "_text", "r.reading", F.posexplode(F.split("r.body", SENTENCE_END)).alias("pos", "raw"))
-        .select("_id", "_text", "reading", "pos", normal_sentence(F.col("raw")).alias("sentence"))
+        .select("_id", "_text", "reading", "pos", normal_sentence(F.col("raw")).alias("s"))
     )
-    return cut.join(F.broadcast(_catalogue(docs.sparkSession, catalogue)), "sentence").select("_id", "_text", "reading", "pos", "sentence_id")
+    # each name of a tag line such as "MIT OR Apache-2.0" is a sentence of its own
+    names = F.transform(F.split(F.replace(F.expr(f"substring(s, {len(SPDX) + 2})"), F.lit(" or later"), F.lit(OR_LATER)), SPDX_JOIN), lambda n: F.concat(F.lit(f"{SPDX} "), n))
+    cut = cut.select("_id", "_text", "reading", "pos", F.explode(F.when(F.startswith("s", F.lit(f"{SPDX} ")), names).otherwise(F.array("s"))).alias("sentence"))
+    known = _catalogue(docs.sparkSession, catalogue)
+    small = sum(map(len, catalogue.values())) <= MOST_BROADCAST
+    return cut.join(F.broadcast(known) if small else known, "sentence").select("_id", "_text", "reading", "pos", "sentence_id")
 
 
 def _fits(ids: list[str]) -> Column:
@@ -139,6 +189,7 @@ def scan_licences(
 ) -> DataFrame:
     """id, licence, licences (all that fit, in rule order), n_sentences, sentence_ids."""
     require(docs, id_col, text_col)
+    rules = all_rules(rules)
     found = licence_sentences(docs, catalogue, id_col, text_col).distinct()
     by_reading = found.groupBy("_id", "_text", "reading").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))).alias("at"))
     named = by_reading.withColumn("ids", F.col("at.sentence_id")).withColumn("sequence", F.concat(F.lit(" "), F.array_join("ids", "  "), F.lit(" ")))

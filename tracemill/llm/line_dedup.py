@@ -14,10 +14,10 @@ are one document and get the same result.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import require, text_of
+from .common import kept_lines, require, text_of
 
 WINDOW = 3
 _BLANK = " \t\n\x0b\x0c\r"
@@ -28,14 +28,13 @@ def line_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     lines = F.filter(
         F.transform(F.split(text_of(text_col), "\n"), lambda l, i: F.struct(i.alias("pos"), F.btrim(l, F.lit(_BLANK)).alias("line"))),
         lambda s: s["line"] != "")
-    at = lambda k: F.get("_lines", k)
+    at = lambda k: F.get("_lines", k)  # noqa: E731  one line of the array, not the array
     spans = F.transform(F.sequence(F.lit(0), F.size("_lines") - WINDOW), lambda k: F.struct(
         k.alias("k"), at(k)["pos"].alias("from"), at(k + WINDOW - 1)["pos"].alias("to"),
-        F.unhex(F.md5(F.array_join(F.slice("_lines.line", k + 1, WINDOW), "\n"))).alias("window")))
+        F.unhex(F.md5(F.concat_ws("\n", *(at(k + i)["line"] for i in range(WINDOW))))).alias("window")))
     return (
         docs.select(F.col(id_col).alias("_id"), F.xxhash64(text_col).alias("_text"), lines.alias("_lines"))
-        .where(F.size("_lines") >= WINDOW)
-        .select("_id", "_text", F.explode(spans).alias("w")).select("_id", "_text", "w.*")
+        .select("_id", "_text", F.explode(F.when(F.size("_lines") >= WINDOW, spans)).alias("w")).select("_id", "_text", "w.*")
     )
 
 
@@ -59,12 +58,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = repeated_lines(docs, id_col, text_col)
     joined = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("d").join(
         gone.alias("g"), F.col("d.id").eqNullSafe(F.col("g._id")) & (F.col("d.h") == F.col("g._text")), "left")
-    text = F.col(f"d.row.`{text_col}`")
-    return joined.select(
-        *[_cut(text).alias(c) if c == text_col else F.col(f"d.row.`{c}`").alias(c) for c in own],
-        F.coalesce("g.removed", F.array().cast("array<int>")).alias("removed"))
-
-
-def _cut(text: Column) -> Column:
-    kept = F.filter(F.split(text, "\n"), lambda l, i: ~F.array_contains("g.removed", i))
-    return F.when(F.col("g.removed").isNull(), text).otherwise(F.array_join(kept, "\n"))
+    text = F.col(f"row.`{text_col}`")
+    cut = joined.select("d.row", "g.removed", F.when(F.col("g.removed").isNotNull(), F.split(F.col(f"d.row.`{text_col}`"), "\n")).alias("_lines"))
+    left = F.when(F.col("removed").isNull(), text).otherwise(kept_lines(F.col("_lines"), F.col("removed")))
+    return cut.select(
+        *[left.alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in own],
+        F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))

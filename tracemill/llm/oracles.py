@@ -21,15 +21,14 @@ def _lower(c: str) -> str:
 
 OP1 = rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
-ln AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
+ln AS (SELECT doc_id, source, md5(text) AS body, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM d),
 dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, line, count(*) AS n FROM ln WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY 1),
 wd AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS pos FROM d),
 tri AS (SELECT doc_id, pos, w AS a, lead(w) OVER o AS b, lead(w, 2) OVER o AS c FROM wd WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
 rep AS (SELECT doc_id, pos FROM (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM tri WHERE c IS NOT NULL) WHERE n > 1),
 cov AS (SELECT doc_id, count(DISTINCT p) AS n_repeat_words FROM (SELECT doc_id, unnest([pos, pos + 1, pos + 2]) AS p FROM rep) GROUP BY 1),
-nl AS (SELECT doc_id, source, pos, trim(regexp_replace({_lower('line')}, '{_WS}', ' ', 'g')) AS line FROM ln),
-cx AS (SELECT *, coalesce(lag(line) OVER o, chr(10)) AS before, coalesce(lead(line) OVER o, chr(10)) AS after FROM nl WINDOW o AS (PARTITION BY doc_id ORDER BY pos)),
-fr AS (SELECT source, line FROM cx WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT doc_id) > {quality.MAX_LINE_DOCS} AND count(DISTINCT (before, after)) >= {quality.MIN_CONTEXT_SHARE} * count(DISTINCT doc_id)),
+nl AS (SELECT doc_id, source, body, pos, trim(regexp_replace({_lower('line')}, '{_WS}', ' ', 'g')) AS line FROM ln),
+fr AS (SELECT source, line FROM nl WHERE line <> '' GROUP BY ALL HAVING count(DISTINCT body) > {quality.MAX_LINE_DOCS}),
 rm AS (SELECT doc_id, sum(len(string_split(line, ' '))) AS removed_words FROM nl JOIN fr USING (source, line) GROUP BY 1),
 st AS (SELECT doc_id, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed_words, 0) AS removed_words
@@ -51,13 +50,15 @@ FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(
 
 def op8() -> str:
     known = list(licenses.known_sentences().items())
-    rules = [(k, name, " " + " (?:.* )?".join(map(re.escape, ids)).replace("\\-", "-") + " ") for k, (name, ids) in enumerate(licenses.RULES)]
+    rules = [(k, name, " " + " (?:.* )?".join(map(re.escape, ids)).replace("\\-", "-") + " ") for k, (name, ids) in enumerate(licenses.all_rules())]
     return f"""
 WITH k AS (SELECT * FROM {_values(known, 'sentence, sentence_id')}), ru AS (SELECT * FROM {_values(rules, 'k, name, pattern')}),
-rd AS (SELECT doc_id, 0 AS reading, text AS body FROM documents UNION ALL SELECT doc_id, 1, regexp_replace(text, '{licenses._WRAP}', '\\1 \\2', 'g') FROM documents),
+rd AS (SELECT doc_id, 0 AS reading, text AS body FROM documents UNION ALL SELECT doc_id, 1, regexp_replace(regexp_replace(text, '{licenses._WRAP}', '\\1 \\2', 'g'), '{licenses._WRAP}', '\\1 \\2', 'g') FROM documents),
 se AS (SELECT doc_id, reading, unnest(regexp_split_to_array(body, '{licenses.SENTENCE_END}')) AS raw, generate_subscripts(regexp_split_to_array(body, '{licenses.SENTENCE_END}'), 1) AS pos FROM rd),
-ids AS (SELECT doc_id, reading, pos, sentence_id FROM se JOIN k ON sentence = trim(regexp_replace({_lower('raw')}, '[^a-z0-9]+', ' ', 'g'))),
-sq AS (SELECT doc_id, reading, count(*) AS n, string_agg(sentence_id, ',' ORDER BY pos) AS ids, ' ' || string_agg(sentence_id, '  ' ORDER BY pos) || ' ' AS sequence FROM ids GROUP BY ALL),
+pl AS (SELECT doc_id, reading, pos, trim(regexp_replace({_lower('raw')}, '[^a-z0-9]+', ' ', 'g')) AS s FROM se),
+ex AS (SELECT doc_id, reading, pos, CASE WHEN starts_with(s, '{licenses.SPDX} ') THEN ['{licenses.SPDX} ' || x FOR x IN regexp_split_to_array(replace(substr(s, {len(licenses.SPDX) + 2}), ' or later', '{licenses.OR_LATER}'), '{licenses.SPDX_JOIN}')] ELSE [s] END AS ss FROM pl),
+ids AS (SELECT DISTINCT doc_id, reading, pos, sentence_id FROM (SELECT doc_id, reading, pos, unnest(ss) AS s FROM ex) JOIN k ON sentence = s),
+sq AS (SELECT doc_id, reading, count(*) AS n, string_agg(sentence_id, ',' ORDER BY pos, sentence_id) AS ids, ' ' || string_agg(sentence_id, '  ' ORDER BY pos, sentence_id) || ' ' AS sequence FROM ids GROUP BY ALL),
 ft AS (SELECT doc_id, name, min(k) AS k FROM sq JOIN ru ON regexp_matches(sequence, pattern) GROUP BY ALL),
 li AS (SELECT doc_id, arg_min(name, k) AS licence, string_agg(name, ',' ORDER BY k) AS licences FROM ft GROUP BY 1),
 bs AS (SELECT doc_id, arg_max(ids, n * 2 - reading) AS sentence_ids, arg_max(n, n * 2 - reading) AS n_sentences FROM sq GROUP BY 1)

@@ -23,10 +23,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_lower, require, text_of
+from .common import ascii_lower, kept_lines, require, text_of
 
 MAX_LINE_DOCS = 20
-MIN_CONTEXT_SHARE = 0.5
 MIN_KEPT_SHARE = 0.3
 MIN_KEPT_WORDS = 10
 MIN_WORDS = 50
@@ -83,18 +82,14 @@ def _normal(line: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(line), r"[\x20\x09-\x0D]+", " "))
 
 
-def _line_hash(line: Column) -> Column:
-    return F.xxhash64(_normal(line))
-
-
 def _doc_key(docs: DataFrame, id_col: str, host_col: str, text_col: str) -> list[Column]:
     return [F.col(id_col).alias("_id"), F.col(host_col).alias("_host"), F.xxhash64(text_col).alias("_text")]
 
 
 def document_lines(docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """One row per non-blank line: document key, row, line_hash, words."""
-    places = F.filter(F.transform("_lines", lambda l: F.struct(
-        F.xxhash64(l).alias("line_hash"), F.when(l == "", 0).otherwise(F.size(F.split(l, " "))).alias("words"))), lambda p: p["words"] > 0)
+    """One row per non-blank line: document key, row, pos, line_hash, words."""
+    places = F.filter(F.transform("_lines", lambda l, i: F.struct(
+        i.alias("pos"), F.xxhash64(l).alias("line_hash"), F.when(l == "", 0).otherwise(F.size(F.split(l, " "))).alias("words"))), lambda p: p["words"] > 0)
     return (
         docs.select(*_doc_key(docs, id_col, host_col, text_col), F.monotonically_increasing_id().alias("_row"),
                     F.transform(F.split(text_of(text_col), "\n"), _normal).alias("_lines"))
@@ -120,16 +115,16 @@ def removed_lines(
     docs: DataFrame, id_col: str = "doc_id", host_col: str = "source", text_col: str = "text",
     max_line_docs: int = MAX_LINE_DOCS,
 ) -> DataFrame:
-    """Per document with boilerplate: removed_words, line_hashes. Other documents have no row."""
+    """Per document with boilerplate: removed_words, gone (places of lines). Other documents have no row."""
     lines = document_lines(docs, id_col, host_col, text_col)
     frequent = frequent_lines(lines, max_line_docs)
     hit = lines.alias("l").join(
         frequent.alias("f"), F.col("l._host").eqNullSafe(F.col("f._host")) & (F.col("l.line_hash") == F.col("f.line_hash"))
-    ).select("l._id", "l._host", "l._text", "l._row", "l.line_hash", "l.words")
+    ).select("l._id", "l._host", "l._text", "l._row", "l.pos", "l.words")
     by_row = hit.groupBy("_id", "_host", "_text", "_row").agg(
-        F.sum("words").alias("removed_words"), F.array_sort(F.collect_set("line_hash")).alias("line_hashes"))
+        F.sum("words").alias("removed_words"), F.array_sort(F.collect_set("pos")).alias("gone"))
     return by_row.groupBy("_id", "_host", "_text").agg(  # repeated rows have equal values
-        F.max("removed_words").alias("removed_words"), F.max("line_hashes").alias("line_hashes"))
+        F.max("removed_words").alias("removed_words"), F.max("gone").alias("gone"))
 
 
 def base_failed(min_words: int = MIN_WORDS, max_repeat_percent: int = MAX_REPEAT_PERCENT) -> Column:
@@ -148,7 +143,7 @@ def quality_report(
     """One row per input row: id, the statistics, removed_words, base_failed, kept."""
     require(docs, id_col, host_col, text_col)
     stats = text_statistics(docs.select(*_doc_key(docs, id_col, host_col, text_col), F.col(text_col).alias("_body")), "_body")
-    removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs).drop("line_hashes")
+    removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs).drop("gone")
     joined = stats.alias("s").join(removed.alias("r"), _same("s", "r"), "left")
     return joined.select(
         F.col("s._id").alias(id_col), *[F.col(f"s.{c}") for c in _STATS],
@@ -176,10 +171,10 @@ def quality_rules(
     passed = text_statistics(body, "_body").where(~base_failed())
     removed = removed_lines(docs, id_col, host_col, text_col, max_line_docs)
     joined = passed.alias("s").join(removed.alias("r"), _same("s", "r"), "left").select(
-        "s.row", "s.n_words", F.coalesce("r.removed_words", F.lit(0)).alias("removed_words"), F.col("r.line_hashes").alias("gone"))
+        "s.row", "s.n_words", F.coalesce("r.removed_words", F.lit(0)).alias("removed_words"), "r.gone",
+        F.when(F.col("r.gone").isNotNull(), F.split(F.col(f"s.row.`{text_col}`"), "\n")).alias("_lines"))
     text = F.col(f"row.`{text_col}`")
-    cleaned = F.when(F.col("gone").isNull(), text).otherwise(F.array_join(
-        F.filter(F.split(text, "\n"), lambda l: ~F.array_contains("gone", _line_hash(l))), "\n"))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(kept_lines(F.col("_lines"), F.col("gone")))
     out = joined.where(~depleted()).select("row", cleaned.alias("cleaned"))
     return out.select(*[
         F.col("cleaned").alias(c) if c == text_col
