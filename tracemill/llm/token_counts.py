@@ -58,11 +58,11 @@ def sentencepiece_counter(model_file: str) -> Callable[[], Callable[[list[str]],
 
 
 def byte_batches(owned: Iterator[tuple[int, str]], most: int = BATCH_BYTES) -> Iterator[list[tuple[int, str]]]:
-    """Runs of (owner, piece) of about ``most`` characters together."""
+    """Runs of (owner, piece) of about ``most`` bytes together."""
     batch, size = [], 0
     for item in owned:
         batch.append(item)
-        size += len(item[1])
+        size += len(item[1].encode("utf-8"))
         if size >= most:
             yield batch
             batch, size = [], 0
