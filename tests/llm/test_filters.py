@@ -64,6 +64,97 @@ def test_boilerplate_of_any_surroundings(spark, make_docs, prose):
     assert not any(line in kept[0] for line in [*banner, footer]) and few.strip() in kept[200]
 
 
+def _with_edits(words, n, r):
+    """So many substitutions, insertions and deletions."""
+    words = list(words)
+    for _ in range(n):
+        p = r.randrange(len(words))
+        kind = r.randrange(3)
+        if kind == 0:
+            words[p] = r.choice(WORDS)
+        elif kind == 1:
+            words.insert(p, r.choice(WORDS))
+        else:
+            del words[p]
+    return words
+
+
+def _all_pairs(docs, items, share):
+    found = {}
+    for d, text in docs:
+        for i, item in items:
+            edits, _ = dc.best_window(dc.words_of(item), dc.words_of(text))
+            if dc.words_of(item) and edits <= int(share * len(dc.words_of(item))):
+                found[d, i] = edits
+    return found
+
+
+def test_search_against_all_pairs(spark):
+    r = random.Random(21)
+    text = lambda n: [r.choice(WORDS) + str(r.randrange(20)) for _ in range(n)]
+    items = [(i, " ".join(text(r.choice([6, 12, 25, 50, 90])))) for i in range(40)] + [(100, "one two"), (101, "yes"), (102, ""), (103, None)]
+    docs = []
+    for i in range(200):
+        item = items[r.randrange(40)][1].split()
+        docs.append((f"d{i}", " ".join(text(r.randrange(60)) + _with_edits(item, int(0.2 * len(item)), r) + text(r.randrange(60)))))
+    docs += [("short", "say one, two!"), ("none", None), ("blank", " ")]
+    want = _all_pairs([(d, t) for d, t in docs if t], [(i, t) for i, t in items if t], 0.2)
+    d = spark.createDataFrame(docs, "doc_id string, text string")
+    got = {(x.doc_id, x.item_id): x.edits for x in dc.find_items(d, spark.createDataFrame([(str(i), t) for i, t in items], "item_id string, text string")).collect()}
+    want = {(a, str(b)): e for (a, b), e in want.items()}
+    assert len(want) >= 180 and ("short", "100") in got
+    assert set(got) <= set(want) and all(got[k] >= want[k] for k in got)
+    assert len(got) >= 0.95 * len(want)
+    clean = {x.doc_id for x in dc.without_items(d, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert {"none", "blank", "short"} <= clean  # short items do not reject
+    assert len(clean) <= 3 + 0.06 * 200
+
+
+def test_exact_search_behind_the_walks():
+    r = random.Random(22)
+    items = [(i, " ".join(r.choice(WORDS) + str(r.randrange(40)) for _ in range(n))) for i, n in enumerate([300, 320, 400, 30])]
+    screen = dc.Screen(items, share=0.4)
+    exact = {screen.item_ids[m] for c in screen.classes if c.piece for m in c.members}
+    assert len(exact) >= 3
+    for i, text in items[: len(exact)]:
+        words = text.split()
+        for front in (0, 1):
+            edited = _with_edits(words, int(0.4 * len(words)), r) if not front else ["x"] * int(0.4 * len(words)) + words[int(0.4 * len(words)):]
+            assert i in screen.hits(["before it " + " ".join(edited) + " and behind"])[0]
+
+
+def test_items_in_a_long_text(spark, prose):
+    item = " ".join(f"only{i}" for i in range(30))
+    docs = spark.createDataFrame([(1, prose(150_000) + " " + item), (2, prose(100_000))], "doc_id long, text string")
+    got = dc.find_items(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(x.doc_id, x.item_id, x.edits) for x in got] == [(1, 7, 0)]
+
+
+def test_footers_and_repeated_rows(spark, make_docs, prose):
+    r = random.Random(3)
+    footer = "read more on our site\nall rights belong to us\ncontact the editors"
+    rows = [(i, prose(60, r) + "\n" + footer, "en", "s1") for i in range(100)]
+    rows += [(200 + i, prose(60, r) + "\nfew have this", "en", "s3") for i in range(11)] * 2  # repeated rows are one document
+    docs = make_docs(rows)
+    report = {x.doc_id: x.removed_words for x in quality.quality_report(docs).collect()}
+    counts = {}
+    for text, host in {(t, h) for _, t, _, h in rows}:
+        for line in set(text.split("\n")):
+            counts[host, line] = counts.get((host, line), 0) + 1
+    for i, text, _, host in rows:
+        assert report[i] == sum(len(x.split()) for x in text.split("\n") if counts[host, x] > quality.MAX_LINE_DOCS)
+    assert report[0] == 13 and report[200] == 0
+
+
+def test_quality_of_a_long_text(spark, make_docs, prose):
+    r = random.Random(4)
+    lines = [f"a{i} b{i} c{i}" for i in range(100_000)]
+    common = [f"common line number {k} here" for k in range(400)]
+    rows = [(i, "\n".join([*common, prose(4000, r)]), "en", "s1") for i in range(30)] + [(99, "\n".join([*lines, *common * 50]), "en", "s1")]
+    kept = {x.doc_id: x.text for x in quality.quality_rules(make_docs(rows)).collect()}
+    assert kept[99] == "\n".join(lines)
+
+
 def test_quality_of_odd_rows(spark, odd_docs):
     report = quality.quality_report(odd_docs).collect()
     assert len(report) == odd_docs.count()
@@ -172,5 +263,20 @@ def test_licences(spark, make_docs):
     assert licenses.scan_licences(make_docs(rows).limit(0)).count() == 0
 
 
+def test_tags_and_notices(spark, make_docs):
+    gpl = ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published "
+           "by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.")
+    tags = [(1, "// SPDX-License-Identifier: MIT OR Apache-2.0\nint x;"), (2, "SPDX-License-Identifier: (GPL-2.0-or-later AND BSD-2-Clause)"),
+            (3, "SPDX-License-Identifier: CC0-1.0"), (4, gpl), (5, "SPDX-License-Identifier: NONE-OF-THESE"),
+            (6, "a\nb\n" + "\n".join("All rights reserved.")), (7, "All\nrights\nreserved.")]
+    got = {x.doc_id: x.licences for x in licenses.scan_licences(make_docs([(i, t, "en", "s") for i, t in tags])).collect()}
+    assert got == {1: ["MIT", "Apache-2.0"], 2: ["BSD-2-Clause", "GPL-2.0-or-later"], 3: ["CC0-1.0"], 4: ["GPL-2.0-or-later"], 7: ["all-rights-reserved"]}
+
+
+def test_licence_in_a_long_text(spark, make_docs):
+    long = "word " * 300_000 + ".\nReleased under the MIT License.\n" + "x\n" * 100_000
+    assert licenses.scan_licences(make_docs([(1, long, "en", "s")])).first().licence == "MIT"
+
+
 def test_licences_of_odd_rows(odd_docs):
     assert licenses.scan_licences(odd_docs.withColumn("text", F.concat("text", F.lit("\nAll rights reserved.")))).count() == 7

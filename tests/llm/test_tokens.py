@@ -5,6 +5,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,6 +22,12 @@ def _texts(r, n):
     return ["".join(r.choice(PIECES) for _ in range(r.randrange(14))) for _ in range(n)]
 
 
+def _plain(r, n):
+    """Lines of words, with blank lines here and there."""
+    words = ["a", "river", "Été", "it's", "12", "x.", "(so)", "<b>", "…", "don't,", "naïve"]
+    return ["".join(r.choice(words) + r.choice([" ", " ", " ", "\n", "\n\n"]) for _ in range(r.randrange(12))) + r.choice(["", "end"]) for _ in range(n)]
+
+
 def test_counts_equal_the_library(spark, make_docs, odd_docs, monkeypatch):
     import sentencepiece
 
@@ -38,7 +45,16 @@ def test_counts_equal_the_library(spark, make_docs, odd_docs, monkeypatch):
     assert tc.token_counts(odd_docs.limit(0), tc.sentencepiece_counter(P.path("piece_bpe_32k.model"))).count() == 0
 
 
-def test_ids_equal_the_library():
+def _ids(encode, texts):
+    out = []
+    for n, ids, lengths in encode(pa.array(texts), 50_000):
+        cuts = np.cumsum(lengths)
+        assert len(lengths) == n and cuts[-1] == len(ids) and (ids[cuts - 1] == 50_000).all()
+        out += [x[:-1].tolist() for x in np.split(ids, cuts[:-1])]
+    return out
+
+
+def test_ids_equal_the_library(monkeypatch):
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
@@ -46,8 +62,11 @@ def test_ids_equal_the_library():
     for entries in (20, 100_000):  # a small memo turns over all the time
         encode = tf.ByteEncoder(path, entries)
         for _ in range(60):
-            texts = _texts(r, 20)
-            assert [np.frombuffer(b, encode.kind).tolist() for b in encode(texts)] == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+            texts = [*_texts(r, 20), *_plain(r, 20)]
+            assert _ids(encode, texts) == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(tf, "GROUP_BYTES", 64)
+    texts = [*_texts(r, 200), *_plain(r, 200)]
+    assert _ids(encode, texts) == [e.ids for e in model.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_token_files_round_trip(spark, make_docs, odd_docs):
@@ -70,6 +89,12 @@ def test_token_files_round_trip(spark, make_docs, odd_docs):
         read += np.concatenate(ids)[np.concatenate(mask)].tolist()
     assert read == stream
     load = tf.byte_encoder(P.path("byte_bpe_50k.json"))
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
+    whole = tf.read_documents(tf.write_tokens(named, load, shards=60), "string")
+    assert whole.rdd.getNumPartitions() >= 50  # a task for each shard
+    by_name = sorted(whole.collect(), key=lambda x: x.start)
+    assert [x.doc_id for x in by_name] == sorted(f"d{i}" for i in texts)
+    assert [x.start for x in by_name] == [0, *np.cumsum([x.n_tokens for x in by_name])[:-1].tolist()]
     assert tf.read_documents(tf.write_tokens(odd_docs, load)).count() == odd_docs.count()
     assert tf.read_documents(tf.write_tokens(odd_docs.limit(0), load)).count() == 0
 
@@ -187,11 +212,32 @@ def test_fill_by_hand(spark):
     assert {(x.p, x.name): x.budget for x in mx.fill(d, ("p",), "name").collect()} == want
 
 
-def test_mix_takes_prefixes(spark, make_docs, prose):
+def test_weights_of_any_kind(spark):
+    leaves = spark.createDataFrame([(d, "en", f"s{k}", 1000) for d in "abc" for k in range(3)], "domain string, lang string, source string, tokens long")
+    budgets = lambda weights, **more: {(x.domain, x.source): x.budget for x in mx.leaf_budgets(leaves, 1000, 1, spark.createDataFrame(weights, "domain string, weight double"), **more).collect()}
+    got = budgets([("a", 0.7), ("b", 0.3), ("c", 0.0)])
+    assert [sum(v for (d, _), v in got.items() if d == x) for x in "abc"] == [3 * 233, 300, 0]
+    assert budgets([("a", 1.5), ("b", 0.5), ("c", 0.0)])["a", "s0"] == 250
+    none = spark.createDataFrame([("a", "en", 0)], "domain string, lang string, weight long")  # what can not be read passes its share on
+    assert [sum(v for (d, _), v in budgets([("a", 8.0)], lang_weights=none).items() if d == x) for x in "abc"] == [0, 3 * 166, 3 * 166]
+    with pytest.raises(Exception, match="a weight is negative"):
+        budgets([("a", -1.0)])
+
+
+def test_fill_of_many_children(spark):
+    r = random.Random(8)
+    kids = [(f"c{k:04}", r.choice([1, 3]), r.choice([5, 50, 77, 5000])) for k in range(2000)]
+    want = _slow_fill(60_000, kids)
+    d = spark.createDataFrame([(0, 60_000, *k) for k in kids], "p long, budget long, name string, weight long, capacity long")
+    assert {x.name: x.budget for x in mx.fill(d, ("p",), "name").collect()} == want
+
+
+def test_mix_takes_prefixes(spark, make_docs, prose, monkeypatch):
     r = random.Random(6)
     docs = make_docs([(i, prose(r.randint(1, 40), r), r.choice(["en", "de"]), r.choice(["s0", "s0", "s0", "s1", "s2"])) for i in range(300)]).withColumn("domain", F.when(F.col("source") == "s2", "b").otherwise("a"))
     weights = {"domain_weights": spark.createDataFrame([("b", 3)], "domain string, weight long")}
-    small = {(x["_id"], x.epoch): x.take_tokens for x in mx.select_tokens(docs, F.col("tokens") * 0.9, 3, 1, range_docs=8, **weights).collect()}
+    small = {(x["_id"], x.epoch): x.take_tokens for x in mx.select_tokens(docs, F.col("tokens") * 0.9, 3, 1, **weights).collect()}
+    monkeypatch.setattr(mx, "_DIGIT_BITS", 2)
     large = {(x["_id"], x.epoch): x.take_tokens for x in mx.select_tokens(docs, F.col("tokens") * 0.9, 3, 1, **weights).collect()}
     assert small == large  # the ranges do not matter
     rows = docs.select("doc_id", "domain", "lang", "source", mx.word_tokens("text").alias("n")).collect()
