@@ -12,6 +12,16 @@ ENUM_KEYS = ["type", "status"]
 ALTERNATIVES = "|||"
 
 
+# How conditions and class names are written.
+CONDITION_WORDS = r"^(if|elif|while|for|assert)\b\s*"
+CLASS_REPR = r"^<class\s+'([^']+)'>$"
+
+
+def safe_name(name: Column) -> Column:
+    """A name for files: slashes and white space as underscores."""
+    return F.regexp_replace(F.regexp_replace(name, r"^\s+|\s+$", ""), r"[/\s]+", "_")
+
+
 def numbers_equal(a: Column, b: Column, tol: float = TOLERANCE) -> Column:
     """Within the tolerance, relative to the larger or absolute."""
     return F.abs(a - b) <= F.greatest(tol * F.greatest(F.abs(a), F.abs(b)), F.lit(tol))
@@ -38,7 +48,7 @@ def identifier_forms(s: Column, key: Column) -> Column:
 
 
 def without_class_repr(s: Column) -> Column:
-    found = F.regexp_extract(F.trim(s), r"^<class\s+'([^']+)'>$", 1)
+    found = F.regexp_extract(F.trim(s), CLASS_REPR, 1)
     return F.when(found != "", found).otherwise(F.trim(s))
 
 
@@ -53,7 +63,7 @@ def suffix_match(a: Column, b: Column) -> Column:
 
 def condition_text(s: Column) -> Column:
     """A condition without its keyword and colon."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), r"^(if|elif|while|for|assert)\b\s*", ""), r":$", ""))
+    return F.trim(F.regexp_replace(F.regexp_replace(F.trim(s), CONDITION_WORDS, ""), r":$", ""))
 
 
 def enum_text(s: Column) -> Column:

@@ -50,11 +50,12 @@ def percentile_ranks(rows: DataFrame, by: str, value: str, name: str = "rank10")
 
 
 def weighted_effort(rows: DataFrame, by: str, weights: dict[str, float], key: str) -> DataFrame:
-    """key, by, effort: weighted sum of the percentile ranks of the components."""
+    """key, by, effort: weighted sum of the percentile ranks of the components, all to three digits."""
     out = rows.select(key, by, *weights)
     for m in weights:
         out = percentile_ranks(out, by, m, f"_r_{m}")
-    return out.select(key, by, sum((F.col(f"_r_{m}") * w for m, w in weights.items()), F.lit(0.0)).alias("effort"))
+    exact = [F.round(f"_r_{m}", 3).cast("decimal(9,3)") * F.lit(str(w)).cast("decimal(5,4)") for m, w in weights.items()]  # so that halves round alike
+    return out.select(key, by, F.round(sum(exact[1:], exact[0]), 3).cast("double").alias("effort"))
 
 
 def relabel_by_outcome(rows: DataFrame, by: str, outcome: str, key: str, label: str = "label") -> DataFrame:
@@ -103,6 +104,28 @@ def largest_remainder(groups: DataFrame, share: float, size: str = "n", key: str
         "slots", (F.col("_f") + F.when(F.col("_r") <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_x", "_f", "_left", "_r")
 
 
+# Whether a function suits a category of questions, and how well, by its metrics.
+CATEGORIES = {
+    "S1_IntraProceduralCFG": ("branches >= 2", "2 * branches + boolops + returns"),
+    "S2_Loops": ("loops >= 1", "2 * loops + 2 * while_loops + 3 * max_loop_nesting + breaks_continues"),
+    "S3_ProgramState": ("assigns + augassigns >= 4", "assigns + 2 * augassigns + branches"),
+    "S4_DataFlow": ("assigns >= 3 AND branches >= 1", "assigns + 2 * branches + loops"),
+    "S5_Exceptions": ("raises + excepts >= 1", "2 * raises + 2 * excepts + 3 * finallys + branches"),
+    "S6_InterProceduralCFG": ("num_local_calls >= 1", "3 * num_local_calls + branches"),
+    "M1_IntraProceduralCFG": ("branches >= 4", "2 * branches + 2 * boolops + returns + body_lines / 10"),
+    "M2_Loops": ("loops >= 2 OR max_loop_nesting >= 2", "2 * loops + 4 * max_loop_nesting + 2 * breaks_continues"),
+    "M3_ProgramState": ("assigns + augassigns >= 6", "assigns + 2 * augassigns + 2 * branches + loops"),
+    "M4_DataFlow": ("assigns >= 5 AND branches >= 2", "2 * assigns + 2 * branches + 2 * loops"),
+    "M5_Exceptions": ("raises + excepts >= 2", "2 * raises + 3 * excepts + 3 * finallys + num_local_calls"),
+    "M6_InterProceduralCFG": ("num_local_calls >= 2", "4 * num_local_calls + branches + excepts"),
+    "M7_Invariants": ("loops >= 1 AND assigns + augassigns >= 3", "2 * loops + 3 * augassigns + assigns + 2 * max_loop_nesting"),
+}
+
+
+def category_rules() -> dict[str, tuple[Column, Column]]:
+    return {name: (F.expr(cond), F.expr(affinity)) for name, (cond, affinity) in CATEGORIES.items()}
+
+
 def eligibility(rows: DataFrame, rules: dict[str, tuple[Column, Column]], key: str) -> DataFrame:
     """key, category, affinity of every category whose condition holds."""
     each = F.array(*[F.struct(F.lit(n).alias("category"), cond.alias("ok"), aff.cast("double").alias("affinity")) for n, (cond, aff) in rules.items()])

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import compare as c
+from ..functions.matching import UNORDERED_KEYS  # noqa: F401
 
 # Labels in the order in which an instance takes its fields' labels.
 LABEL_PRIORITY = [
@@ -26,12 +27,6 @@ MEASURE_FIELDS = [
     "count", "observations", "violations", "held_always", "value", "values", "iterations", "inner_iterations", "invocations", "total",
     "message", "exception_message", "handled", "handled_where", "caller_saw_exception",
 ]
-# Lists whose order carries no meaning.
-UNORDERED_KEYS = [
-    "observed_def_use_pairs", "covered_def_use_pairs", "covered_du_pairs", "uncovered_du_pairs_list", "covered_lines", "covered_functions",
-    "union_lines_sorted", "intersection_lines_sorted", "lines_covered_by_only_one_test", "exception_types", "unique_values",
-    "subtype_value_set", "guess_value_set", "safe_tests", "crashing_tests",
-]
 SEQUENCE_CELLS = 40_000_000
 LEAVES = "answer_id long, path string, key_name string, vtype string, sval string, nval double, pos long"
 
@@ -107,12 +102,11 @@ def unify(expected: DataFrame, predicted: DataFrame, same: Column) -> DataFrame:
     """``predicted`` with each token that equals no expected one replaced by the first expected token it matches.
 
     ``same`` compares ``e_token`` with ``p_token``. Only distinct leftovers are
-    compared, and only within their answer.
+    compared, with all expected tokens of their answer, met or not.
     """
     known = expected.groupBy("answer_id", "token").agg(F.min("pos").alias("first"))
     left = predicted.select("answer_id", "token").distinct().join(known, ["answer_id", "token"], "left_anti").withColumnRenamed("token", "p_token")
-    free = known.join(predicted.select("answer_id", "token").distinct(), ["answer_id", "token"], "left_anti").withColumnRenamed("token", "e_token")
-    found = left.join(free, "answer_id").where(same).groupBy("answer_id", "p_token").agg(F.min_by("e_token", "first").alias("unified"))
+    found = left.join(known.withColumnRenamed("token", "e_token"), "answer_id").where(same).groupBy("answer_id", "p_token").agg(F.min_by("e_token", "first").alias("unified"))
     return predicted.join(found.withColumnRenamed("p_token", "token"), ["answer_id", "token"], "left").withColumn(
         "token", F.coalesce("unified", "token")).drop("unified")
 

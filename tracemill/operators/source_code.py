@@ -9,36 +9,66 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Folders whose files are never targets.
-EXCLUDED = ["tests", "test", "docs", "doc", "examples", "build", "dist", "vendor", "third_party", "migrations", "node_modules", ".git", ".venv"]
+# Folders and beginnings of file names that are never targets; folders of tests.
+EXCLUDED = [
+    ".git", "docs", "doc", "examples", "example", "benchmarks", "build", "dist", "node_modules", "vendor", "_vendor", "vendored",
+    "third_party", "migrations", "__pycache__", ".tox", ".eggs", "site-packages", "logs",
+]
+EXCLUDED_PREFIXES = ["test_", "conftest", "setup"]
+TEST_FOLDERS = ["tests", "test", "testing"]
 LEAST_LINES, MOST_LINES = 8, 250
-METRICS = ["branches", "loops", "assigns", "calls", "returns", "raises", "tries", "handlers", "withs", "yields", "comprehensions", "lambdas", "asserts", "boolops", "compares", "subscripts", "attributes", "nested"]
-FUNCTIONS = "path string, qualname string, lineno int, end_lineno int, n_params int, " + ", ".join(f"{m} int" for m in METRICS)
+METRICS = ["body_lines", "branches", "loops", "while_loops", "max_loop_nesting", "excepts", "raises", "finallys", "calls", "num_local_calls", "assigns",
+           "augassigns", "returns", "boolops", "comprehensions", "with_blocks", "breaks_continues"]
+FUNCTIONS = "path string, qualname string, lineno int, end_lineno int, n_params int, " + ", ".join(f"{m} int" for m in METRICS) + ", local_calls array<string>"
 
 
 def is_source(path: Column) -> Column:
-    """A Python file outside excluded folders that is no test."""
-    parts = F.split(path, "/")
-    name = F.element_at(parts, -1)
-    return path.endswith(".py") & ~F.exists(parts, lambda p: p.isin(EXCLUDED)) & ~name.rlike(r"^(test_.*|.*_test|conftest|setup)\.py$")
+    """A Python file outside excluded, hidden and test folders whose name is no test's."""
+    folders = F.slice(F.split(path, "/"), 1, F.size(F.split(path, "/")) - 1)
+    barred = F.exists(folders, lambda p: p.isin(EXCLUDED + TEST_FOLDERS) | p.endswith("_qa") | (p.startswith(".") & (p != ".")))
+    name = F.element_at(F.split(path, "/"), -1)
+    return path.endswith(".py") & ~barred & ~name.rlike("^(" + "|".join(EXCLUDED_PREFIXES) + ")")
 
 
-_KINDS = {
-    "branches": (ast.If, ast.IfExp, ast.Match), "loops": (ast.For, ast.While, ast.AsyncFor), "assigns": (ast.Assign, ast.AugAssign, ast.AnnAssign), "calls": ast.Call,
-    "returns": ast.Return, "raises": ast.Raise, "tries": ast.Try, "handlers": ast.ExceptHandler, "withs": (ast.With, ast.AsyncWith), "yields": (ast.Yield, ast.YieldFrom),
-    "comprehensions": (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp), "lambdas": ast.Lambda, "asserts": ast.Assert, "boolops": ast.BoolOp, "compares": ast.Compare,
-    "subscripts": ast.Subscript, "attributes": ast.Attribute, "nested": (ast.FunctionDef, ast.AsyncFunctionDef),
+_LOOPS, _SCOPES = (ast.For, ast.AsyncFor, ast.While), (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
+_COUNTED = {
+    "branches": ast.If, "loops": _LOOPS, "while_loops": ast.While, "raises": ast.Raise, "calls": ast.Call, "augassigns": ast.AugAssign, "returns": ast.Return,
+    "boolops": ast.BoolOp, "comprehensions": (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp), "with_blocks": ast.With, "breaks_continues": (ast.Break, ast.Continue),
 }
 
 
+def _own_nodes(function: ast.AST) -> list[tuple[ast.AST, int]]:
+    """The nodes of a body with the loops around them, without those of inner functions and classes."""
+    found, todo = [], [(n, 0) for n in function.body]
+    while todo:
+        node, depth = todo.pop()
+        if not isinstance(node, _SCOPES):
+            found.append((node, depth))
+            todo += [(child, depth + isinstance(node, _LOOPS)) for child in ast.iter_child_nodes(node)]
+    return found
+
+
+def _metrics(function: ast.AST, module_functions: set[str]) -> dict:
+    own = _own_nodes(function)
+    nodes = [n for n, _ in own]
+    tries = [n for n in nodes if isinstance(n, ast.Try)]
+    called = {getattr(n.func, "id", getattr(n.func, "attr", None)) for n in nodes if isinstance(n, ast.Call)}
+    local = sorted(module_functions & called)
+    return {k: sum(isinstance(n, kind) for n in nodes) for k, kind in _COUNTED.items()} | {
+        "body_lines": function.end_lineno - function.lineno + 1,
+        "max_loop_nesting": max((d + 1 for n, d in own if isinstance(n, _LOOPS)), default=0),
+        "excepts": sum(len(t.handlers) for t in tries), "finallys": sum(bool(t.finalbody) for t in tries),
+        "assigns": sum(isinstance(n, ast.Assign) or isinstance(n, ast.AnnAssign) and n.value is not None for n in nodes),
+        "num_local_calls": len(local), "local_calls": local,
+    }
+
+
 def _functions(tree: ast.AST, prefix: str = "") -> Iterator[tuple[str, ast.AST]]:
     for node in ast.iter_child_nodes(tree):
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
             yield prefix + node.name, node
         if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)):
             yield from _functions(node, f"{prefix}{node.name}.")
-        else:
-            yield from _functions(node, prefix)
 
 
 def functions(files: DataFrame, least: int = LEAST_LINES, most: int = MOST_LINES) -> DataFrame:
@@ -53,24 +83,38 @@ def functions(files: DataFrame, least: int = LEAST_LINES, most: int = MOST_LINES
                     tree = ast.parse(text or "")
                 except (SyntaxError, ValueError, RecursionError):
                     continue
+                known = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
                 for name, node in _functions(tree):
                     short = name.rsplit(".", 1)[-1]
                     if least <= node.end_lineno - node.lineno + 1 <= most and not (short.startswith("__") and short.endswith("__")):
-                        inner = [n for n in ast.walk(node) if n is not node]
-                        rows.append((path, name, node.lineno, node.end_lineno, len(node.args.args), *(sum(isinstance(n, _KINDS[m]) for n in inner) for m in METRICS)))
+                        found = _metrics(node, known)
+                        rows.append((path, name, node.lineno, node.end_lineno, len(node.args.args), *(found[m] for m in METRICS), found["local_calls"]))
             yield pd.DataFrame(rows, columns=names)
 
     return files.select("path", "text").mapInPandas(walk, FUNCTIONS)
 
 
 def structural_score() -> Column:
-    """Weight of a function as a target: control flow first, then state and calls."""
-    return F.col("branches") * 2 + F.col("loops") * 3 + F.col("tries") * 2 + F.col("raises") + F.col("assigns") * 0.5 + F.col("calls") * 0.5
+    """Weight of a function as a target: paths through it, what it does on them, and its size; to two digits."""
+    n = F.col
+    paths = 1 + n("branches") + n("loops") + n("excepts") + n("boolops")
+    richness = n("assigns") + n("augassigns") + 2 * n("max_loop_nesting") + n("raises") + n("breaks_continues") + F.least(n("calls"), F.lit(10))
+    return F.round(2 * paths + richness + F.least(n("body_lines"), F.lit(80)) / 10, 2)
 
 
 def test_features(files: DataFrame) -> DataFrame:
-    """(path, text) -> source lines, imports and calls of test files, from the text alone."""
-    lines = F.split("text", "\n")
-    return files.select(
-        "path", F.size(F.filter(lines, lambda l: ~l.rlike(r"^\s*(#.*)?$"))).alias("source_lines"), F.size(F.filter(lines, lambda l: l.rlike(r"^\s*(import|from)\s+\w"))).alias("imports"),
-        F.regexp_count("text", F.lit(r"\b[A-Za-z_]\w*\s*\(")).alias("calls"))
+    """(path, text) -> path, source_lines, imports and calls by the syntax tree; broken files have none."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for path, text in zip(pdf["path"], pdf["text"]):
+                try:
+                    nodes = list(ast.walk(ast.parse(text or "")))
+                    of = lambda *kinds: sum(isinstance(n, kinds) for n in nodes)  # noqa: B023, E731
+                    rows.append((path, len((text or "").splitlines()), of(ast.Import, ast.ImportFrom), of(ast.Call)))
+                except (SyntaxError, ValueError, RecursionError):
+                    rows.append((path, 0, 0, 0))
+            yield pd.DataFrame(rows, columns=["path", "source_lines", "imports", "calls"])
+
+    return files.select("path", "text").mapInPandas(count, "path string, source_lines int, imports int, calls int")

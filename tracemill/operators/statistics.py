@@ -84,6 +84,68 @@ def combined_score(semantic: Column, answer: Column, navigation: Column, weights
     return semantic * weights[0] + answer * weights[1] + navigation * weights[2]
 
 
+def to_ten(x: Column) -> Column:
+    """Kept between 0 and 10, to three digits."""
+    return F.round(F.greatest(F.lit(0), F.least(F.lit(10), x)), 3)
+
+
+def _grown(x: Column, scale: float) -> Column:
+    return 10 * (1 - F.exp(-F.greatest(x, F.lit(0)) / scale))
+
+
+def _mixed(*parts: tuple[float, Column]) -> Column:
+    return sum((c * w for w, c in parts[1:]), parts[0][1] * parts[0][0])
+
+
+def mixed_scores(*parts: tuple[float, Column]) -> Column:
+    """Weighted sum of scores of three digits, summed exactly so that halves round alike everywhere."""
+    exact = [c.cast("decimal(9,3)") * F.lit(str(w)).cast("decimal(5,4)") for w, c in parts]
+    return to_ten(sum(exact[1:], exact[0])).cast("double")
+
+
+def semantic_components() -> dict[str, Column]:
+    """What makes a target hard to reason about: its text, and more so what was executed, by kind of difficulty.
+
+    Columns are the metrics of the function and of its trace.
+    """
+    n = F.col
+    static = {
+        "control_flow": (n("branches") + n("boolops") + 2 * n("loops") + 2 * n("max_loop_nesting") + n("breaks_continues"), 12),
+        "state_tracking": (n("assigns") + 2 * n("augassigns") + 2 * n("comprehensions"), 15),
+        "interprocedural": (n("calls") + 2 * n("num_local_calls"), 14),
+        "exception_semantics": (2 * n("excepts") + n("raises") + 2 * n("finallys"), 5),
+    }
+    dynamic = {
+        "control_flow": [(0.55, "distinct_line_transitions", 75), (0.45, "dynamic_branch_alternatives", 8)],
+        "state_tracking": [(1.0, "state_change_events", 800)],
+        "interprocedural": [(0.45, "call_events", 500), (0.30, "distinct_functions", 5), (0.25, "max_call_depth", 10)],
+        "exception_semantics": [(1.0, "exception_events", 20)],
+        "execution_workload": [(0.45, "line_events", 3000), (0.25, "max_line_repetition", 800), (0.20, "distinct_lines", 70), (0.10, "call_events", 500)],
+    }
+    text_share = {"control_flow": 0.35, "state_tracking": 0.30, "interprocedural": 0.35, "exception_semantics": 0.35}
+    run = {k: to_ten(_mixed(*((w, _grown(n(c), scale)) for w, c, scale in parts))) for k, parts in dynamic.items()}
+    out = {k: mixed_scores((share, to_ten(_grown(*static[k]))), (round(1 - share, 2), run[k])) for k, share in text_share.items()}
+    return out | {"execution_workload": run["execution_workload"]}
+
+
+def semantic_score(c: dict[str, Column]) -> Column:
+    return mixed_scores((0.20, c["control_flow"]), (0.20, c["state_tracking"]), (0.15, c["interprocedural"]), (0.05, c["exception_semantics"]), (0.40, c["execution_workload"]))
+
+
+def navigation_score() -> Column:
+    """How hard the code is to find: clues and a direct entry lower it, the executed lines raise it.
+
+    Columns: exercise_mode, relevant_files, relevant_functions, imports, test_calls,
+    source_lines, callers, distinct_lines.
+    """
+    n = F.col
+    entry = F.when(n("exercise_mode") == "direct", 1.5).when(n("exercise_mode") == "indirect", 7.0).otherwise(4.0)
+    support = mixed_scores(
+        (0.35, entry), (0.20, to_ten(_grown(n("relevant_files") - 1, 2.5))), (0.20, to_ten(_grown(n("relevant_functions") - 1, 6))),
+        (0.15, to_ten(_grown(n("imports") + n("test_calls") / 8 + n("source_lines") / 40, 8))), (0.10, to_ten(_grown(n("callers"), 5))))
+    return mixed_scores((0.70, 10.0 - support), (0.30, to_ten(_grown(n("distinct_lines"), 75))))
+
+
 def design(rows: DataFrame, features: list[str], group: str, target: str, fold: str) -> tuple[DataFrame, list[str], dict]:
     """Standardised log1p features and one-hot groups (columns d0..), with the scaling used. Groups are few."""
     logs = rows.select(fold, F.col(target).alias("y"), F.col(group).alias("_g"), *[F.log1p(F.greatest(F.col(f), F.lit(0))).alias(f) for f in features])

@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Classes of shell commands, the first pattern that fits names the class.
-COMMANDS = [
-    ("test", r"\b(pytest|unittest|tox|nosetests)\b"), ("python", r"\bpython[0-9.]*\b"), ("search", r"\b(grep|rg|find|ag)\b"),
-    ("read", r"\b(cat|head|tail|less|sed -n|nl)\b"), ("list", r"\b(ls|tree|stat|wc)\b"), ("git", r"\bgit\b"), ("write", r"(>>?|\btee\b)"),
-]
+# Classes of shell commands; a command may be of several.
+COMMANDS = {
+    "search": r"(?:^|[\s|;&])(rg|grep|find|fd|ls)(?:\s|$)",
+    "execution": r"(?:^|[\s|;&])(python(?:3)?|pytest|bash|sh)(?:\s|$)",
+    "test": r"pytest|unittest|qa_pipeline|testcase\.py|::test[_A-Za-z]",
+    "inspection": r"(?:^|[\s|;&])(cat|sed|head|tail|awk|jq)(?:\s|$)",
+    "mutation": r"(?:^|[\s|;&])(rm|mv|cp|mkdir|touch|chmod)(?:\s|$)",
+    "install": r"(?:^|[\s|;&])(pip|pip3|apt|apt-get|npm|yarn|pnpm)(?:\s|$)",
+    "instrumentation": r"(?i)instrument|sys\.settrace|trace[_-]|coverage|pdb",
+}
+# The weights of the effort components.
+EFFORT_WEIGHTS = {"exploration": 0.25, "execution": 0.25, "deliberation": 0.25, "friction": 0.10, "resources": 0.15}
 EVENT = """type string, timestamp string, message struct<content:array<struct<type:string,id:string,name:string,input:map<string,string>,tool_use_id:string,content:string,text:string>>>,
  duration_ms long, num_turns long, modelUsage map<string,struct<inputTokens:long,outputTokens:long,cacheCreationInputTokens:long,cacheReadInputTokens:long,costUSD:double>>"""
 
@@ -38,24 +45,16 @@ def path_class(path: Column, root: str = "/testbed") -> Column:
         .when(path.startswith(root) | ~path.startswith("/"), "repository").otherwise("external"))
 
 
-def command_class(command: Column) -> Column:
-    out = None
-    for name, pattern in COMMANDS:
-        out = F.when(command.rlike(pattern), name) if out is None else out.when(command.rlike(pattern), name)
-    return out.otherwise("other")
-
-
 def written_paths(command: Column) -> Column:
     """Targets of redirections and tee in a command."""
     return F.concat(F.regexp_extract_all(command, F.lit(r">>?\s*([^\s;&|>]+)"), F.lit(1)), F.regexp_extract_all(command, F.lit(r"\btee\s+(?:-a\s+)?([^\s;&|>]+)"), F.lit(1)))
 
 
 def command_effort(commands: DataFrame) -> DataFrame:
-    """Per rollout: commands, repeated ones, and counts by class."""
-    classes = commands.withColumn("c", command_class(F.col("command")))
-    return classes.groupBy("rollout_id").agg(
+    """Per rollout: commands, repeated ones, and how many are of each class."""
+    return commands.groupBy("rollout_id").agg(
         F.count("*").alias("commands"), (F.count("command") - F.count_distinct("command")).alias("repeated"),
-        *[F.count_if(F.col("c") == n).alias(f"{n}_commands") for n, _ in [*COMMANDS, ("other", "")]])
+        *[F.count_if(F.col("command").rlike(p)).alias(f"{n}_commands") for n, p in COMMANDS.items()])
 
 
 def first_times(events: DataFrame, first_tool: Column, first_run: Column, first_answer: Column) -> DataFrame:
@@ -76,10 +75,23 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 
 
 def raw_effort(rows: DataFrame) -> DataFrame:
-    """Five raw scores of (tool_calls, file_reads, commands, repeated, revisions, context_tokens, seconds) rollouts."""
-    return rows.withColumns({
-        "exploration": F.col("file_reads") + 0.5 * F.col("tool_calls"), "execution": F.col("commands") + F.col("repeated"),
-        "revision": F.col("revisions") * 2.0, "context": F.log1p("context_tokens"), "time": F.log1p("seconds")})
+    """The five raw effort scores of rollouts, rounded to six digits.
+
+    Columns: tool_calls, files_read and source_files_read (distinct, of the
+    repository), read_characters, commands, search_commands, execution_commands,
+    test_commands, helper_files (distinct ones written), write_calls, edit_calls,
+    messages, thinking_tokens, output_tokens, tool_errors, answer_writes, repeated,
+    denials, duration_ms, context_tokens.
+    """
+    n = F.col
+    parts = {
+        "exploration": n("tool_calls") + 2 * n("files_read") + 3 * n("source_files_read") + 2 * n("search_commands") + n("read_characters") / 20_000,
+        "execution": n("commands") + 2 * n("execution_commands") + 3 * n("test_commands") + 3 * n("helper_files") + n("write_calls") + n("edit_calls"),
+        "deliberation": n("messages") + n("thinking_tokens") / 500 + n("output_tokens") / 1000,
+        "friction": 3 * n("tool_errors") + 2 * F.greatest(n("answer_writes") - 1, F.lit(0)) + n("repeated") + n("denials"),
+        "resources": n("duration_ms") / 60_000 + n("context_tokens") / 100_000,
+    }
+    return rows.withColumns({k: F.round(v.cast("double"), 6) for k, v in parts.items()})
 
 
 def solver_reads(log: DataFrame) -> DataFrame:

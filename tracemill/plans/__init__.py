@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import corpus_queries, more_queries, report_queries, scoring_queries, source_queries, trace_queries
+from . import answer_queries, corpus_queries, more_queries, report_queries, scoring_queries, source_queries, trace_queries
 
-MODULES = [trace_queries, scoring_queries, report_queries, corpus_queries, source_queries, more_queries]
+MODULES = [trace_queries, scoring_queries, answer_queries, report_queries, corpus_queries, source_queries, more_queries]
 
 
 def all_queries() -> dict:

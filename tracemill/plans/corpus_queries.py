@@ -45,7 +45,8 @@ def _logs(s, d):
 
 def _commands(s, d):
     shell = F.when(F.col("l_suppkey") % 6 == 0, "python -m pytest tests/ -q").when(F.col("l_suppkey") % 6 == 1, "grep -rn foo src").when(F.col("l_suppkey") % 6 == 2, F.concat(F.lit("cat src/"), F.col("l_partkey").cast("string"), F.lit(".py"))).when(
-        F.col("l_suppkey") % 6 == 3, "ls -la").when(F.col("l_suppkey") % 6 == 4, "echo x > answer.json").otherwise("make all")
+        F.col("l_suppkey") % 6 == 3, "ls -la").when(F.col("l_suppkey") % 6 == 4, "echo x > answer.json").when(F.col("l_partkey") % 3 == 0, "pip install pkg; mv a b").when(
+        F.col("l_partkey") % 3 == 1, "python trace_all.py --Coverage | head").otherwise("make all")
     return table(s, d, "lineitem").select(F.col("l_orderkey").alias("rollout_id"), shell.alias("command"))
 
 
@@ -173,9 +174,11 @@ QUERIES = {
         lambda s, d: table(s, d, "part").select("p_partkey", tj.path_class(F.when(F.col("p_partkey") % 5 == 0, "/testbed/answer.json").when(F.col("p_partkey") % 5 == 1, "tests/test_a.py").when(F.col("p_partkey") % 5 == 2, "/testbed/pkg/a.py").when(F.col("p_partkey") % 5 == 3, "/usr/lib/x.py").otherwise("question.md")).alias("c")),
         "SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'answer' WHEN 1 THEN 'test_bundle' WHEN 2 THEN 'repository' WHEN 3 THEN 'external' ELSE 'question' END AS c FROM part"),
     "tj3_command_effort": (
-        lambda s, d: tj.command_effort(_commands(s, d)).select("rollout_id", "commands", "repeated", "test_commands", "search_commands", "read_commands", "other_commands"),
-        """WITH c AS (SELECT l_orderkey AS rollout_id, l_suppkey % 6 AS k, CASE l_suppkey % 6 WHEN 2 THEN 'cat ' || l_partkey ELSE CAST(l_suppkey % 6 AS VARCHAR) END AS command FROM lineitem)
- SELECT rollout_id, count(*) AS commands, count(*) - count(DISTINCT command) AS repeated, count(*) FILTER (k = 0) AS test_commands, count(*) FILTER (k = 1) AS search_commands, count(*) FILTER (k = 2) AS read_commands, count(*) FILTER (k = 5) AS other_commands FROM c GROUP BY 1"""),
+        lambda s, d: tj.command_effort(_commands(s, d)),
+        """WITH c AS (SELECT l_orderkey AS rollout_id, l_suppkey % 6 AS k, l_partkey % 3 AS m, CASE l_suppkey % 6 WHEN 2 THEN 'cat ' || l_partkey WHEN 5 THEN '5-' || l_partkey % 3 ELSE CAST(l_suppkey % 6 AS VARCHAR) END AS command FROM lineitem)
+ SELECT rollout_id, count(*) AS commands, count(*) - count(DISTINCT command) AS repeated, count(*) FILTER (k IN (1, 3)) AS search_commands, count(*) FILTER (k = 0 OR k = 5 AND m = 1) AS execution_commands,
+ count(*) FILTER (k = 0) AS test_commands, count(*) FILTER (k = 2 OR k = 5 AND m = 1) AS inspection_commands, count(*) FILTER (k = 5 AND m = 0) AS mutation_commands,
+ count(*) FILTER (k = 5 AND m = 0) AS install_commands, count(*) FILTER (k = 5 AND m = 1) AS instrumentation_commands FROM c GROUP BY 1"""),
     "tj4_written_paths": (
         lambda s, d: _commands(s, d).select("rollout_id", F.explode(tj.written_paths(F.col("command"))).alias("path")).groupBy("rollout_id").agg(F.count("*").alias("n")),
         "SELECT l_orderkey AS rollout_id, count(*) AS n FROM lineitem WHERE l_suppkey % 6 = 4 GROUP BY 1"),
@@ -188,9 +191,20 @@ QUERIES = {
         """SELECT l_orderkey AS rollout_id, sum(l_partkey + CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey ELSE 0 END + l_linenumber * 10) AS context_tokens, sum(l_suppkey) AS output_tokens,
  sum(l_partkey + CASE WHEN l_suppkey % 3 = 0 THEN l_suppkey ELSE 0 END + l_linenumber * 10 + l_suppkey) AS total_tokens, round(sum(CAST(l_tax AS DOUBLE)), 6) AS cost FROM lineitem GROUP BY 1"""),
     "tj7_raw_effort": (
-        lambda s, d: tj.raw_effort(rollouts(s, d).groupBy("instance_id").agg(F.count("*").alias("tool_calls"), F.count_if("passed").alias("file_reads"), F.max("rollout").alias("commands"), F.min("rollout").alias("repeated"), F.lit(2).alias("revisions"), F.sum("tokens").alias("context_tokens"), F.sum("duration").alias("seconds"))).select(
-            "instance_id", "exploration", "execution", "revision", "context", "time"),
-        with_views("rollouts", "SELECT instance_id, count(*) FILTER (passed) + 0.5 * count(*) AS exploration, max(rollout) + min(rollout) AS execution, 4.0 AS revision, ln(1 + sum(tokens)) AS context, ln(1 + sum(duration)) AS time FROM rollouts GROUP BY 1")),
+        lambda s, d: tj.raw_effort(table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("rollout_id")).agg(
+            F.count("*").alias("tool_calls"), F.count_distinct("l_partkey").alias("files_read"), F.count_distinct(F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey"))).alias("source_files_read"),
+            F.sum("l_partkey").alias("read_characters"), F.count_if(F.col("l_suppkey") % 2 == 0).alias("commands"), F.count_if(F.col("l_suppkey") % 6 == 0).alias("search_commands"),
+            F.count_if(F.col("l_suppkey") % 6 == 2).alias("execution_commands"), F.count_if(F.col("l_suppkey") % 6 == 4).alias("test_commands"), F.count_distinct("l_suppkey").alias("helper_files"),
+            F.count_if(F.col("l_linenumber") == 1).alias("write_calls"), F.count_if(F.col("l_linenumber") == 2).alias("edit_calls"), F.max("l_linenumber").alias("messages"),
+            F.sum("l_suppkey").alias("thinking_tokens"), F.sum("l_linenumber").alias("output_tokens"), F.count_if(F.col("l_linenumber") > 4).alias("tool_errors"),
+            F.count_if(F.col("l_linenumber") < 4).alias("answer_writes"), F.lit(2).alias("repeated"), F.lit(1).alias("denials"),
+            F.max("l_partkey").alias("duration_ms"), F.sum("l_partkey").alias("context_tokens"))).select("rollout_id", *tj.EFFORT_WEIGHTS),
+        """SELECT l_orderkey AS rollout_id,
+ round(count(*) + 2 * count(DISTINCT l_partkey) + 3 * count(DISTINCT l_partkey) FILTER (l_partkey % 2 = 0) + 2 * count(*) FILTER (l_suppkey % 6 = 0) + sum(l_partkey) / 20000, 6) AS exploration,
+ round(count(*) FILTER (l_suppkey % 2 = 0) + 2 * count(*) FILTER (l_suppkey % 6 = 2) + 3 * count(*) FILTER (l_suppkey % 6 = 4) + 3 * count(DISTINCT l_suppkey) + count(*) FILTER (l_linenumber = 1) + count(*) FILTER (l_linenumber = 2), 6) AS execution,
+ round(max(l_linenumber) + sum(l_suppkey) / 500 + sum(l_linenumber) / 1000, 6) AS deliberation,
+ round(3 * count(*) FILTER (l_linenumber > 4) + 2 * greatest(count(*) FILTER (l_linenumber < 4) - 1, 0) + 2 + 1, 6) AS friction,
+ round(max(l_partkey) / 60000 + sum(l_partkey) / 100000, 6) AS resources FROM lineitem GROUP BY 1"""),
     "tj8_solver_reads": (
         lambda s, d: tj.solver_reads(line_ranges(s, d).select(F.col("range_id").alias("run_id"), F.concat(F.lit("[tool] result read_file ok="), F.when(F.col("range_id") % 2 == 0, "True").otherwise("False"), F.lit(" path="), F.regexp_replace("file", " ", "_"), F.lit(" lines="), F.col("start_line").cast("string"), F.lit("-"), F.col("end_line").cast("string")).alias("text"))),
         with_views("line_ranges", """SELECT range_id AS run_id, replace(file, ' ', '_') AS path, start_line AS first, end_line AS last FROM line_ranges WHERE range_id % 2 = 0""")),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import compare as cmp
 from ..functions.literals import canonical_json
 from ..operators import evidence as ev
 from ..operators import reports as rp
@@ -11,7 +12,7 @@ from ..operators import scoring as sc
 from ..operators import screening as sr
 from ..operators import statistics as st
 from ..operators import trace as tr
-from ..sources.artifacts import write_reports
+from ..sources.artifacts import read_traces, write_reports
 from ..sources.fixtures import expected_elements, instances, predicted_elements, table, trace_events, with_views
 from ..sources.shared import shared_path
 from .scoring_queries import _docs
@@ -38,7 +39,20 @@ def _written(s, d):
     return s.read.parquet(path).groupBy("repo").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
 
 
+def _logs(s, d):
+    """The log lines, written as a file for each trace and read again."""
+    path = shared_path(s, "logs")
+    _log_lines(s, d).repartition("trace_id").sortWithinPartitions("trace_id", "pos").select("trace_id", "text").write.partitionBy("trace_id").text(path)
+    return read_traces(s, path, "*.txt").withColumn("trace_id", F.regexp_extract("trace_id", "trace_id=([0-9]+)", 1).cast("long"))
+
+
 QUERIES = {
+    "io3_trace_logs": (
+        lambda s, d: _logs(s, d).groupBy("trace_id").agg(F.count("*").alias("events"), F.count_if(F.col("event") == "return").alias("returns"), F.sum("line").alias("lines"), F.sum(F.col("locals")["x"].cast("int")).alias("x")),
+        with_views("trace_events", "SELECT trace_id, count(*) AS events, count(*) FILTER (event = 'return') AS returns, sum(line) AS lines, sum(x) AS x FROM trace_events GROUP BY 1")),
+    "fn_safe_names": (
+        lambda s, d: table(s, d, "part").select("p_partkey", cmp.safe_name(F.concat(F.lit(" "), F.col("p_brand"), F.lit("/ \t"), F.col("p_partkey").cast("string"), F.lit("-a.b "))).alias("name")),
+        "SELECT p_partkey, regexp_replace(trim(p_brand), '[/\\s]+', '_', 'g') || '_' || p_partkey || '-a.b' AS name FROM part"),
     "tr2_joined_records": (
         lambda s, d: tr.parse_records(tr.join_continuations(_log_lines(s, d))).select("trace_id", (F.col("seq") / 10).cast("long").alias("seq"), F.regexp_replace("file", "^/", "").alias("file"), "line", "func", "event"),
         with_views("trace_events", "SELECT trace_id, seq, file, line, func, event FROM trace_events")),

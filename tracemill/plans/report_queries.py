@@ -8,6 +8,7 @@ from ..operators import ranking as rk
 from ..operators import reports as rp
 from ..operators import scoring as sc
 from ..operators import statistics as st
+from ..operators.trajectory import EFFORT_WEIGHTS
 from ..sources.fixtures import expected_elements, instances, line_ranges, predicted_elements, rollouts, seen_ranges, table, verdicts, with_views
 from .scoring_queries import _F1, _LABEL, _OVERLAP, _docs
 
@@ -46,6 +47,37 @@ _PAIRS = f"""{_LAB}, cut2 AS (SELECT category, quantile_cont(score2, 0.25) AS q2
  prs AS (SELECT l.label AS a, CASE WHEN c.members = 1 THEN 'medium' WHEN score2 <= c.q25 THEN 'easy' WHEN score2 <= c.q50 THEN 'medium' WHEN score2 >= c.q75 THEN 'very_hard' ELSE 'hard' END AS b FROM lab l JOIN cut2 c USING (category)),
  cells AS (SELECT a, b, count(*) AS n, list_position(['easy','medium','hard','very_hard'], a) AS i, list_position(['easy','medium','hard','very_hard'], b) AS j FROM prs GROUP BY ALL)"""
 
+#: Metrics of a function, of its trace and of its test for each part.
+_METRICS = {
+    "branches": "p_size % 7", "boolops": "p_size % 3", "returns": "p_size % 2 + 1", "loops": "p_size % 4", "while_loops": "p_size % 2", "max_loop_nesting": "p_size % 3",
+    "breaks_continues": "p_partkey % 2", "assigns": "p_partkey % 9", "augassigns": "p_partkey % 4", "comprehensions": "p_partkey % 3", "raises": "p_size % 5 % 2", "excepts": "p_partkey % 3",
+    "finallys": "p_partkey % 5 % 2", "calls": "p_partkey % 21", "num_local_calls": "p_partkey % 4", "body_lines": "p_size + 8", "distinct_line_transitions": "p_size * 3",
+    "dynamic_branch_alternatives": "p_size % 11", "state_change_events": "p_partkey % 997", "call_events": "p_partkey % 301", "distinct_functions": "p_size % 6", "max_call_depth": "p_size % 12",
+    "exception_events": "p_partkey % 13", "line_events": "p_partkey * 3", "max_line_repetition": "p_partkey % 701", "distinct_lines": "p_size * 2", "relevant_files": "p_size % 4",
+    "relevant_functions": "p_size % 9", "imports": "p_size % 8", "test_calls": "p_size % 30", "source_lines": "p_size * 4", "callers": "p_size % 5",
+    "exercise_mode": "CASE p_size % 4 WHEN 0 THEN 'direct' WHEN 1 THEN 'indirect' WHEN 2 THEN 'semi-direct' ELSE 'unknown' END",
+}
+_METRICS_SQL = "SELECT p_partkey, " + ", ".join(f"{e} AS {n}" for n, e in _METRICS.items()) + " FROM part"
+_SEMANTIC_SQL = """sp AS (SELECT *, round(10 * (1 - exp(-(branches + boolops + 2 * loops + 2 * max_loop_nesting + breaks_continues) / 12::DOUBLE)), 3)::DECIMAL(9,3) AS sc, round(10 * (1 - exp(-(assigns + 2 * augassigns + 2 * comprehensions) / 15::DOUBLE)), 3)::DECIMAL(9,3) AS ss,
+  round(10 * (1 - exp(-(calls + 2 * num_local_calls) / 14::DOUBLE)), 3)::DECIMAL(9,3) AS si, round(10 * (1 - exp(-(2 * excepts + raises + 2 * finallys) / 5::DOUBLE)), 3)::DECIMAL(9,3) AS se,
+  round(0.55 * 10 * (1 - exp(-distinct_line_transitions / 75::DOUBLE)) + 0.45 * 10 * (1 - exp(-dynamic_branch_alternatives / 8::DOUBLE)), 3)::DECIMAL(9,3) AS dc, round(10 * (1 - exp(-state_change_events / 800::DOUBLE)), 3)::DECIMAL(9,3) AS ds,
+  round(0.45 * 10 * (1 - exp(-call_events / 500::DOUBLE)) + 0.3 * 10 * (1 - exp(-distinct_functions / 5::DOUBLE)) + 0.25 * 10 * (1 - exp(-max_call_depth / 10::DOUBLE)), 3)::DECIMAL(9,3) AS di, round(10 * (1 - exp(-exception_events / 20::DOUBLE)), 3)::DECIMAL(9,3) AS de,
+  round(0.45 * 10 * (1 - exp(-line_events / 3000::DOUBLE)) + 0.25 * 10 * (1 - exp(-max_line_repetition / 800::DOUBLE)) + 0.2 * 10 * (1 - exp(-distinct_lines / 70::DOUBLE)) + 0.1 * 10 * (1 - exp(-call_events / 500::DOUBLE)), 3)::DECIMAL(9,3) AS execution_workload FROM m),
+ sm AS (SELECT *, round(0.35 * sc + 0.65 * dc, 3)::DECIMAL(9,3) AS control_flow, round(0.3 * ss + 0.7 * ds, 3)::DECIMAL(9,3) AS state_tracking, round(0.35 * si + 0.65 * di, 3)::DECIMAL(9,3) AS interprocedural, round(0.35 * se + 0.65 * de, 3)::DECIMAL(9,3) AS exception_semantics FROM sp),
+ sc AS (SELECT *, round(0.2 * control_flow + 0.2 * state_tracking + 0.15 * interprocedural + 0.05 * exception_semantics + 0.4 * execution_workload, 3)::DECIMAL(9,3) AS semantic FROM sm)"""
+
+
+def _metrics(s, d):
+    return table(s, d, "part").select("p_partkey", *[F.expr(e).alias(n) for n, e in _METRICS.items()])
+
+
+def _effort(s, d):
+    """Rollouts with the five effort components."""
+    return rollouts(s, d).select(
+        (F.col("instance_id") * 100 + F.col("rollout")).alias("k"), "model", F.col("duration").alias("exploration"), F.col("tokens").alias("execution"),
+        (F.col("tokens") % 97).alias("deliberation"), (F.col("instance_id") % 11).alias("friction"), F.col("rollout").alias("resources"))
+
+
 QUERIES = {
     "ag1_grouped_accuracy": (
         lambda s, d: rp.grouped_accuracy(rollouts(s, d).withColumn("kind", F.col("rollout") % 3), [["model", "kind"], ["model"], ["kind"], []], F.col("passed")),
@@ -138,9 +170,11 @@ QUERIES = {
         with_views(_R, """SELECT model, instance_id, rollout, duration, CASE WHEN count(*) OVER (PARTITION BY model) = 1 THEN 5.0 ELSE
  10.0 * (rank() OVER (PARTITION BY model ORDER BY duration) - 1 + (count(*) OVER (PARTITION BY model, duration) - 1) / 2) / (count(*) OVER (PARTITION BY model) - 1) END AS rank10 FROM rollouts""")),
     "wn5_weighted_effort": (
-        lambda s, d: rk.quantile_labels(rk.weighted_effort(rollouts(s, d).withColumn("k", F.col("instance_id") * 100 + F.col("rollout")), "model", {"duration": 0.6, "tokens": 0.4}, "k").withColumn("effort", F.round("effort", 9)), ["model"], "effort").select("k", "effort", "label"),
-        with_views(_R, """WITH r AS (SELECT instance_id * 100 + rollout AS k, model, round(0.6 * (10.0 * (rank() OVER (PARTITION BY model ORDER BY duration) - 1 + (count(*) OVER (PARTITION BY model, duration) - 1) / 2) / (count(*) OVER (PARTITION BY model) - 1))
- + 0.4 * (10.0 * (rank() OVER (PARTITION BY model ORDER BY tokens) - 1 + (count(*) OVER (PARTITION BY model, tokens) - 1) / 2) / (count(*) OVER (PARTITION BY model) - 1)), 9) AS effort FROM rollouts),
+        lambda s, d: rk.quantile_labels(rk.weighted_effort(_effort(s, d), "model", EFFORT_WEIGHTS, "k"), ["model"], "effort").select("k", "effort", "label"),
+        with_views(_R, """WITH e AS (SELECT instance_id * 100 + rollout AS k, model, duration AS exploration, tokens AS execution, tokens % 97 AS deliberation, instance_id % 11 AS friction, rollout AS resources FROM rollouts),
+ r AS (SELECT k, model, round(""" + " + ".join(
+            f"{w}::DECIMAL(5,4) * CAST(round(10.0 * (rank() OVER (PARTITION BY model ORDER BY {c}) - 1 + (count(*) OVER (PARTITION BY model, {c}) - 1) / 2) / (count(*) OVER (PARTITION BY model) - 1), 3) AS DECIMAL(9,3))"
+            for c, w in (("exploration", 0.25), ("execution", 0.25), ("deliberation", 0.25), ("friction", 0.10), ("resources", 0.15))) + """, 3)::DOUBLE AS effort FROM e),
  c AS (SELECT model, quantile_cont(effort, 0.25) AS q25, quantile_cont(effort, 0.5) AS q50, quantile_cont(effort, 0.75) AS q75, count(*) AS members FROM r GROUP BY 1)
  SELECT k, effort, CASE WHEN effort <= q25 THEN 'easy' WHEN effort <= q50 THEN 'medium' WHEN effort >= q75 THEN 'very_hard' ELSE 'hard' END AS label FROM r JOIN c USING (model)""")),
     "wn6_outcome_labels": (
@@ -156,9 +190,20 @@ QUERIES = {
         lambda s, d: rk.sample_first(instances(s, d).select("category", "instance_id"), "category", "instance_id", 7),
         with_views(_I, "SELECT category, instance_id FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY instance_id) AS r FROM instances) WHERE r <= 7")),
     "wn10_eligibility": (
-        lambda s, d: rk.eligibility(table(s, d, "part"), {"loops": (F.col("p_size") > 20, F.col("p_size") / 10), "calls": (F.col("p_partkey") % 3 == 0, F.col("p_partkey") % 7), "state": (F.col("p_brand").endswith("1"), F.lit(1))}, "p_partkey"),
-        """SELECT p_partkey, 'loops' AS category, p_size / 10 AS affinity FROM part WHERE p_size > 20 UNION ALL SELECT p_partkey, 'calls', p_partkey % 7 FROM part WHERE p_partkey % 3 = 0
- UNION ALL SELECT p_partkey, 'state', 1 FROM part WHERE p_brand LIKE '%1'"""),
+        lambda s, d: rk.eligibility(_metrics(s, d), rk.category_rules(), "p_partkey"),
+        f"""WITH m AS ({_METRICS_SQL}) SELECT p_partkey, 'S1_IntraProceduralCFG' AS category, branches * 2 + boolops + returns AS affinity FROM m WHERE branches >= 2
+ UNION ALL SELECT p_partkey, 'S2_Loops', loops * 2 + while_loops * 2 + max_loop_nesting * 3 + breaks_continues FROM m WHERE loops >= 1
+ UNION ALL SELECT p_partkey, 'S3_ProgramState', assigns + augassigns * 2 + branches FROM m WHERE assigns + augassigns >= 4
+ UNION ALL SELECT p_partkey, 'S4_DataFlow', assigns + branches * 2 + loops FROM m WHERE assigns >= 3 AND branches >= 1
+ UNION ALL SELECT p_partkey, 'S5_Exceptions', raises * 2 + excepts * 2 + finallys * 3 + branches FROM m WHERE raises + excepts >= 1
+ UNION ALL SELECT p_partkey, 'S6_InterProceduralCFG', num_local_calls * 3 + branches FROM m WHERE num_local_calls >= 1
+ UNION ALL SELECT p_partkey, 'M1_IntraProceduralCFG', branches * 2 + boolops * 2 + returns + body_lines / 10 FROM m WHERE branches >= 4
+ UNION ALL SELECT p_partkey, 'M2_Loops', loops * 2 + max_loop_nesting * 4 + breaks_continues * 2 FROM m WHERE loops >= 2 OR max_loop_nesting >= 2
+ UNION ALL SELECT p_partkey, 'M3_ProgramState', assigns + augassigns * 2 + branches * 2 + loops FROM m WHERE assigns + augassigns >= 6
+ UNION ALL SELECT p_partkey, 'M4_DataFlow', assigns * 2 + branches * 2 + loops * 2 FROM m WHERE assigns >= 5 AND branches >= 2
+ UNION ALL SELECT p_partkey, 'M5_Exceptions', raises * 2 + excepts * 3 + finallys * 3 + num_local_calls FROM m WHERE raises + excepts >= 2
+ UNION ALL SELECT p_partkey, 'M6_InterProceduralCFG', num_local_calls * 4 + branches + excepts FROM m WHERE num_local_calls >= 2
+ UNION ALL SELECT p_partkey, 'M7_Invariants', loops * 2 + augassigns * 3 + assigns + max_loop_nesting * 2 FROM m WHERE loops >= 1 AND assigns + augassigns >= 3"""),
     "wn11_capped_candidates": (
         lambda s, d: rk.capped_candidates(table(s, d, "part").select("p_partkey", "p_brand", "p_size", F.col("p_retailprice").alias("score")), [(["p_brand", "p_size"], 2), (["p_brand"], 30), ([], 300)], "score", "p_partkey").select("p_partkey"),
         """WITH a AS (SELECT *, row_number() OVER (PARTITION BY p_brand, p_size ORDER BY p_retailprice DESC, p_partkey) AS r1 FROM part),
@@ -201,6 +246,17 @@ QUERIES = {
     "st12_component_scores": (
         lambda s, d: table(s, d, "part").select("p_partkey", st.saturating(F.col("p_size"), 12.0).alias("semantic"), st.weighted_score([(st.saturating(F.col("p_size"), 5.0), 0.5), (st.saturating(F.col("p_retailprice"), 900.0), 0.5)]).alias("answer")),
         """SELECT p_partkey, least(greatest(10 * (1 - exp(-p_size / 12.0::DOUBLE)), 0), 10) AS semantic, least(greatest(0.5 * (10 * (1 - exp(-p_size / 5.0::DOUBLE))) + 0.5 * (10 * (1 - exp(-p_retailprice / 900.0::DOUBLE))), 0), 10) AS answer FROM part"""),
+    "st12_semantic_scores": (
+        lambda s, d: _metrics(s, d).select("p_partkey", *[v.alias(k) for k, v in st.semantic_components().items()], st.semantic_score(st.semantic_components()).alias("semantic")),
+        f"WITH m AS ({_METRICS_SQL}), {_SEMANTIC_SQL} SELECT p_partkey, control_flow, state_tracking, interprocedural, exception_semantics, execution_workload, semantic FROM sc"),
+    "st14_difficulty_scores": (
+        lambda s, d: _metrics(s, d).select("p_partkey", st.semantic_score(st.semantic_components()).alias("semantic"), st.navigation_score().alias("navigation")).withColumn(
+            "combined", st.mixed_scores((0.40, F.col("semantic")), (0.35, F.lit(5)), (0.25, F.col("navigation")))),
+        f"""WITH m AS ({_METRICS_SQL}), {_SEMANTIC_SQL},
+ nv AS (SELECT *, 0.35 * CASE exercise_mode WHEN 'direct' THEN 1.5 WHEN 'indirect' THEN 7.0 ELSE 4.0 END + 0.2 * round(10 * (1 - exp(-greatest(0, relevant_files - 1) / 2.5::DOUBLE)), 3)::DECIMAL(9,3) + 0.2 * round(10 * (1 - exp(-greatest(0, relevant_functions - 1) / 6::DOUBLE)), 3)::DECIMAL(9,3)
+  + 0.15 * round(10 * (1 - exp(-(imports + test_calls / 8 + source_lines / 40) / 8::DOUBLE)), 3)::DECIMAL(9,3) + 0.1 * round(10 * (1 - exp(-callers / 5::DOUBLE)), 3)::DECIMAL(9,3) AS su FROM sc), nw AS (SELECT *, round(su, 3) AS support FROM nv),
+ nx AS (SELECT *, round(0.7 * (10 - support) + 0.3 * round(10 * (1 - exp(-distinct_lines / 75::DOUBLE)), 3)::DECIMAL(9,3), 3) AS navigation FROM nw)
+ SELECT p_partkey, semantic, navigation, round(0.4 * semantic + 0.35 * 5 + 0.25 * navigation, 3) AS combined FROM nx"""),
     "st14_combined_score": (
         lambda s, d: instances(s, d).select("instance_id", st.combined_score(st.saturating(F.col("score"), 1e5), st.saturating(F.col("score2") + 1000, 5e3), F.lit(5.0)).alias("combined")),
         with_views(_I, "SELECT instance_id, 0.40 * least(greatest(10 * (1 - exp(-score / 1e5)), 0), 10) + 0.35 * least(greatest(10 * (1 - exp(-(score2 + 1000) / 5e3)), 0), 10) + 0.25 * 5 AS combined FROM instances")),

@@ -94,8 +94,7 @@ QUERIES = {
         lambda s, d: sc.multiset_overlap(expected_elements(s, d), sc.unify(*_sides(s, d), F.col("e_token").cast("int") == F.col("p_token").cast("int") - 1)),
         with_views(_EP, """WITH k AS (SELECT answer_id, token, min(pos) AS first FROM expected_elements GROUP BY ALL), pt AS (SELECT DISTINCT answer_id, token FROM predicted_elements),
  l AS (SELECT * FROM pt WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.answer_id = pt.answer_id AND k.token = pt.token)),
- f AS (SELECT * FROM k WHERE NOT EXISTS (SELECT 1 FROM pt WHERE k.answer_id = pt.answer_id AND k.token = pt.token)),
- m AS (SELECT l.answer_id, l.token, arg_min(f.token, f.first) AS u FROM l JOIN f ON l.answer_id = f.answer_id AND CAST(f.token AS INT) = CAST(l.token AS INT) - 1 GROUP BY ALL),
+ m AS (SELECT l.answer_id, l.token, arg_min(f.token, f.first) AS u FROM l JOIN k AS f ON l.answer_id = f.answer_id AND CAST(f.token AS INT) = CAST(l.token AS INT) - 1 GROUP BY ALL),
  up AS (SELECT p.answer_id, coalesce(u, p.token) AS token FROM predicted_elements p LEFT JOIN m ON m.answer_id = p.answer_id AND m.token = p.token),
  ec AS (SELECT answer_id, token, count(*) AS e FROM expected_elements GROUP BY ALL), pc AS (SELECT answer_id, token, count(*) AS p FROM up GROUP BY ALL)
  SELECT answer_id, sum(coalesce(e, 0)) AS expected, sum(coalesce(p, 0)) AS predicted, sum(least(coalesce(e, 0), coalesce(p, 0))) AS hits FROM ec FULL JOIN pc USING (answer_id, token) GROUP BY 1""")),

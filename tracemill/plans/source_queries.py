@@ -80,12 +80,14 @@ QUERIES = {
         lambda s, d: _code(s, d).where(so.is_source(F.col("path"))).select("path"),
         "SELECT 'pkg/m' || p_partkey || '.py' AS path FROM part WHERE p_partkey % 4 <> 0"),
     "so2_functions": (
-        lambda s, d: so.functions(_code(s, d)).select("path", "qualname", "end_lineno", "branches", "calls", "returns", so.structural_score().alias("score")),
-        """SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg/tests/m' ELSE 'pkg/m' END || p_partkey || '.py' AS path, 'run' AS qualname, p_size + p_size % 5 + 3 AS end_lineno, p_size % 5 AS branches, p_size % 5 AS calls, 1 AS returns,
- 2 * (p_size % 5) + 0.5 * (1 + p_size + p_size % 5) + 0.5 * (p_size % 5) AS score FROM part WHERE p_partkey % 10 <> 0 AND p_size + p_size % 5 + 3 >= 8"""),
+        lambda s, d: so.functions(_code(s, d)).select("path", "qualname", "end_lineno", "branches", "assigns", "augassigns", "calls", "num_local_calls", "returns", "body_lines", so.structural_score().alias("score")),
+        """WITH c AS (SELECT *, p_size % 5 AS b, p_size + p_size % 5 + 3 AS n FROM part)
+ SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg/tests/m' ELSE 'pkg/m' END || p_partkey || '.py' AS path, 'run' AS qualname, n AS end_lineno, b AS branches, 1 + b AS assigns, p_size AS augassigns, b AS calls, 0 AS num_local_calls, 1 AS returns, n AS body_lines,
+ round((1 + b) * 2 + (1 + b + p_size + least(b, 10)) + least(n, 80) / 10, 2) AS score FROM c WHERE p_partkey % 10 <> 0 AND n >= 8"""),
     "so3_test_features": (
-        lambda s, d: so.test_features(_code(s, d).where("p_partkey % 10 <> 0")),
-        "SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg/tests/m' ELSE 'pkg/m' END || p_partkey || '.py' AS path, p_size + p_size % 5 + 3 AS source_lines, 0 AS imports, 1 + p_size % 5 AS calls FROM part WHERE p_partkey % 10 <> 0"),
+        lambda s, d: so.test_features(_code(s, d)),
+        """SELECT CASE WHEN p_partkey % 4 = 0 THEN 'pkg/tests/m' ELSE 'pkg/m' END || p_partkey || '.py' AS path, CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size + p_size % 5 + 3 END AS source_lines, 0 AS imports,
+ CASE WHEN p_partkey % 10 = 0 THEN 0 ELSE p_size % 5 END AS calls FROM part"""),
     "in6_live_counts": (
         lambda s, d: run_available(s, live_counts(_stream(s, d)), "live"),
         with_views("trace_events", _COUNTS)),

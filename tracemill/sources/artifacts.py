@@ -38,9 +38,9 @@ def answer_keys(files: DataFrame) -> DataFrame:
     return parts
 
 
-def read_traces(spark: SparkSession, path: str) -> DataFrame:
+def read_traces(spark: SparkSession, path: str, names: str = "*.log") -> DataFrame:
     """Events of all trace logs; a trace is a file, ``seq`` its line order."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.log").text(path, wholetext=True)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path, wholetext=True)
     lines = files.select(F.col("_metadata.file_path").alias("trace_id"), F.posexplode(F.split("value", "\n")).alias("pos", "text"))
     return split_tail(parse_records(join_continuations(lines)))
 
