@@ -399,6 +399,23 @@ def new_lines(trace: DataFrame, baseline: DataFrame) -> DataFrame:
     return lines(trace).join(lines(baseline), ["file", "line"], "left_anti")
 
 
+def beyond_first(rows: DataFrame, by: str, keys: list[str]) -> DataFrame:
+    """Rows (trace_id, keys) that the first trace with the same ``by`` does not have; that trace is the baseline."""
+    first = rows.groupBy(by).agg(F.min("trace_id").alias("trace_id"))
+    baseline = rows.join(first, [by, "trace_id"]).select(*keys).distinct()
+    return rows.select("trace_id", *keys).distinct().join(baseline, keys, "left_anti")
+
+
+def lines_beyond_first(events: DataFrame) -> DataFrame:
+    """trace_id, file, line executed in a trace and not in the first trace of the file."""
+    return beyond_first(events.where(F.col("event") == "line"), "file", ["file", "line"])
+
+
+def edges_beyond_first(events: DataFrame) -> DataFrame:
+    """trace_id, file, func, src, dst taken in a trace and not in the first trace of the file."""
+    return beyond_first(_edges(events), "file", ["file", "func", "src", "dst"])
+
+
 def first_seen_lines(events: DataFrame) -> DataFrame:
     """trace_id, file, line of every line that no trace before executed."""
     return events.where(F.col("event") == "line").groupBy("file", "line").agg(F.min("trace_id").alias("trace_id")).select("trace_id", "file", "line")

@@ -212,10 +212,9 @@ QUERIES = {
         lambda s, d: table(s, d, "part").groupBy(ev.depth_class(F.col("p_size") % 5 - 1).alias("c")).agg(F.count("*").alias("n")),
         "SELECT CASE WHEN p_size % 5 = 0 THEN 'upstream' WHEN p_size % 5 = 1 THEN 'target' WHEN p_size % 5 = 2 THEN 'direct' ELSE 'deeper' END AS c, count(*) AS n FROM part GROUP BY 1"),
     "ev2_shortest_depths": (
-        lambda s, d: ev.shortest_depths(call_edges(s, d).where("module = 1").select("caller", "callee"), s.createDataFrame([("g1",)], "func string"), 4),
-        with_views("call_edges", """WITH e AS (SELECT DISTINCT caller, callee FROM call_edges WHERE module = 1), d1 AS (SELECT DISTINCT callee AS f FROM e WHERE caller = 'g1'), d2 AS (SELECT DISTINCT callee AS f FROM e WHERE caller IN (SELECT f FROM d1)),
- d3 AS (SELECT DISTINCT callee AS f FROM e WHERE caller IN (SELECT f FROM d2)), d4 AS (SELECT DISTINCT callee AS f FROM e WHERE caller IN (SELECT f FROM d3)),
- a AS (SELECT 'g1' AS f, 0 AS d UNION ALL SELECT f, 1 FROM d1 UNION ALL SELECT f, 2 FROM d2 UNION ALL SELECT f, 3 FROM d3 UNION ALL SELECT f, 4 FROM d4) SELECT f AS func, min(d) AS depth FROM a GROUP BY 1""")),
+        lambda s, d: ev.depths_from_roots(call_edges(s, d), call_edges(s, d).groupBy("module").agg(F.min("caller").alias("root"))),
+        with_views("call_edges", """WITH r AS (SELECT module, min(caller) AS root, min(caller) AS func, 0 AS depth FROM call_edges GROUP BY 1
+ UNION SELECT r.module, r.root, e.callee, r.depth + 1 FROM r JOIN call_edges e ON e.module = r.module AND e.caller = r.func WHERE r.depth < 60) SELECT module, root, func, min(depth) AS depth FROM r GROUP BY ALL""").replace("WITH ", "WITH RECURSIVE ", 1)),
     "ev2_depths_from_roots": (
         lambda s, d: ev.depths_from_roots(call_edges(s, d), call_edges(s, d).select("module", F.col("caller").alias("root"))), None),
     "ev3_coverage": (

@@ -161,12 +161,14 @@ QUERIES = {
  o AS (SELECT predicate, CASE predicate {' '.join(f"WHEN '{n}' THEN {e}" for n, (_, e) in PREDICATES.items())} END AS holds FROM carry JOIN p ON line = ln WHERE event = 'line' AND state IS NOT NULL)
  SELECT p.predicate, count(holds) AS observations, count(*) FILTER (NOT holds) AS violations, count(holds) > 0 AND count(*) FILTER (NOT holds) = 0 AS held_always FROM p LEFT JOIN o USING (predicate) GROUP BY 1""")),
     "st1_new_lines": (
-        lambda s, d: tr.new_lines(trace_events(s, d).where("trace_id % 2 = 1"), trace_events(s, d).where("trace_id = 2 and seq <= 20")),
-        with_views(_TE, "SELECT DISTINCT file, line FROM trace_events WHERE event = 'line' AND trace_id % 2 = 1 EXCEPT SELECT file, line FROM trace_events WHERE event = 'line' AND trace_id = 2 AND seq <= 20")),
+        lambda s, d: tr.lines_beyond_first(trace_events(s, d)),
+        with_views(_TE, """WITH l AS (SELECT DISTINCT trace_id, file, line FROM trace_events WHERE event = 'line'), b AS (SELECT file, min(trace_id) AS b FROM l GROUP BY 1)
+ SELECT l.trace_id, l.file, l.line FROM l JOIN b USING (file) WHERE NOT EXISTS (SELECT 1 FROM l AS x WHERE x.trace_id = b.b AND x.file = l.file AND x.line = l.line)""")),
     "st1_new_edges": (
-        lambda s, d: tr.function_edges(trace_events(s, d).where("trace_id % 2 = 1")).exceptAll(tr.function_edges(trace_events(s, d).where("trace_id = 2"))),
-        with_views(_TE, """WITH e AS (SELECT trace_id, file, func, lag(line) OVER (PARTITION BY trace_id, file, func ORDER BY seq) AS src, line AS dst FROM trace_events)
- SELECT file, func, src, dst FROM e WHERE src <> dst AND trace_id % 2 = 1 EXCEPT SELECT file, func, src, dst FROM e WHERE src <> dst AND trace_id = 2""")),
+        lambda s, d: tr.edges_beyond_first(trace_events(s, d)),
+        with_views(_TE, """WITH w AS (SELECT trace_id, file, func, lag(line) OVER (PARTITION BY trace_id, file, func ORDER BY seq) AS src, line AS dst FROM trace_events),
+ e AS (SELECT DISTINCT trace_id, file, func, src, dst FROM w WHERE src <> dst), b AS (SELECT file, min(trace_id) AS b FROM e GROUP BY 1)
+ SELECT e.trace_id, e.file, e.func, e.src, e.dst FROM e JOIN b USING (file) WHERE NOT EXISTS (SELECT 1 FROM e AS x WHERE x.trace_id = b.b AND x.file = e.file AND x.func = e.func AND x.src = e.src AND x.dst = e.dst)""")),
     "st1_first_seen_lines": (
         lambda s, d: tr.first_seen_lines(trace_events(s, d)),
         with_views(_TE, "SELECT min(trace_id) AS trace_id, file, line FROM trace_events WHERE event = 'line' GROUP BY file, line")),
