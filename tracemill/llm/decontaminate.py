@@ -39,7 +39,7 @@ from pyspark.sql import types as T
 from .common import require
 
 MAX_EDIT_SHARE = 0.2
-RECALL = 0.97
+RECALL = 0.98
 MIN_ITEM_WORDS = 5
 BLOCK_WORDS = 200_000
 SAMPLED = 3
