@@ -65,4 +65,4 @@ def test_read_files(spark, tmp_path):
 def test_functions_of_a_file(spark):
     code = "class A:\n    def run(self, x):\n" + "        x += 1\n" * 8 + "        return x\n    def __init__(self):\n" + "        pass\n" * 9
     rows = so.functions(spark.createDataFrame([("a.py", code), ("b.py", "def ("), ("c.py", None)], "path string, text string")).collect()
-    assert [(r.qualname, r.assigns, r.returns) for r in rows] == [("A.run", 8, 1)]
+    assert [(r.qualname, r.assigns, r.augassigns, r.returns) for r in rows] == [("A.run", 0, 8, 1)]  # each kind for itself
