@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import xxhash
 
 from tracemill.llm import line_dedup as ld
@@ -172,3 +173,23 @@ def test_near_copies_at_five_words(spark, make_docs, odd_docs):
     out = mh.keep_one(odd_docs)
     assert out.columns == odd_docs.columns and out.where("text = 'one'").count() == 1
     assert mh.keep_one(odd_docs.limit(0)).count() == 0
+
+
+def test_crowded_keys_by_all_pairs(spark, make_docs, prose):
+    """Copies of two texts with up to a fifth of changed words, one run of changes each: keys are full and hold many components."""
+    r = random.Random(17)
+    rows = []
+    for base in (prose(150, r).split(), prose(110, r).split()):
+        for _ in range(70):
+            copy, at, n = list(base), r.randrange(80), r.choice([0, 1, 2, 9, 12, 14, 16, 20, 24])
+            copy[at : at + n] = [f"new{r.randrange(10**6)}" for _ in range(n)]
+            rows.append((len(rows), " ".join(copy), "en", "s"))
+    prints = mh._prints(make_docs(rows), "doc_id", "text")
+    sets = {x.point: set(np.frombuffer(x.grams, np.uint32).tolist()) for x in prints.collect()}
+    near = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    for full in (32, 3):  # a low limit sends keys through the longer ones and their components
+        found = mh.links(prints, full=full)
+        assert {(x.a, x.b) for x in found.collect()} <= near
+        roots = {x.node: x.root for x in sh.connected(found).collect()}
+        missed = [p for p in near if roots.get(p[0], p[0]) != roots.get(p[1], p[1])]
+        assert len(near) > 300 and not missed, full
