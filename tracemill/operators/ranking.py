@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import row_numbers
+
 LEVELS = ["easy", "medium", "hard", "very_hard"]
 
 
@@ -59,13 +61,16 @@ def weighted_effort(rows: DataFrame, by: str, weights: dict[str, float], key: st
 
 
 def relabel_by_outcome(rows: DataFrame, by: str, outcome: str, key: str, label: str = "label") -> DataFrame:
-    """Labels by rank of the outcome (best first, then key), with as many of each label as before."""
-    order = Window.partitionBy(by).orderBy(F.desc(outcome), key)
+    """Labels by rank of the outcome (best first, then key), with as many of each label as before.
+
+    Ranks come from ranges of (by, outcome, key), so one group of any size is dealt over all tasks.
+    """
     sizes = rows.groupBy(by, label).agg(F.count("*").alias("_n")).withColumn("_l", F.array_position(F.array(*map(F.lit, LEVELS)), F.col(label)))
     up_to = Window.partitionBy(by).orderBy("_l").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    spans = sizes.withColumn("_to", F.sum("_n").over(up_to)).select(by, F.col(label).alias("outcome_label"), (F.col("_to") - F.col("_n")).alias("_from"), "_to")
-    ranked = rows.withColumn("_r", F.row_number().over(order))
-    return ranked.join(spans, by).where((F.col("_r") > F.col("_from")) & (F.col("_r") <= F.col("_to"))).drop("_r", "_from", "_to")
+    spans = sizes.withColumn("_to", F.sum("_n").over(up_to)).select(F.col(by).alias("_of"), F.col(label).alias("outcome_label"), (F.col("_to") - F.col("_n")).alias("_from"), "_to")
+    ranked = row_numbers(rows, [by], [F.desc(outcome), F.asc(key)], "_r")
+    found = ranked.join(spans, F.col(by).eqNullSafe(F.col("_of")) & (F.col("_r") > F.col("_from")) & (F.col("_r") <= F.col("_to")))
+    return found.drop("_r", "_from", "_to", "_of")
 
 
 def latest_verdicts(verdicts: DataFrame) -> DataFrame:
@@ -80,8 +85,14 @@ def sample_first(rows: DataFrame, by: str, key: str, n: int, cap: int | None = N
 
 
 def capped_candidates(rows: DataFrame, caps: list[tuple[list[str], int]], score: str, key: str) -> DataFrame:
-    """The best by score, with at most so many in each group; the caps apply in turn."""
-    for columns, n in caps:
+    """The best by score, with at most so many in each group; the caps apply in turn.
+
+    Spark cuts each group to its cap within the tasks, before the shuffle, so that a
+    group of any size sends a cap's rows from each task; a cap on all rows is a top-k.
+    """
+    for k, (columns, n) in enumerate(caps):
+        if k and not columns:
+            return rows.orderBy(F.desc(score), key).limit(n)
         order = Window.partitionBy(*columns).orderBy(F.desc(score), key)
         rows = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= n).drop("_r")
     return rows

@@ -2,16 +2,38 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under ``spark.checkpoint.dir``; a local folder where the session names none."""
+def shared_dir(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``, the folder that all executors share.
+
+    Only where the session names none and runs on one machine (tests) a local folder
+    is made and set; on a cluster its executors would not see each other's files.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", found)
-    return f"{found.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return found.rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage: write ``df`` as Parquet in the shared folder and read it.
+
+    The result survives the loss of any executor, and each row is computed once.
+    """
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
