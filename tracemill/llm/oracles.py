@@ -108,3 +108,25 @@ wh AS (SELECT doc_id, domain, lang, source, unnest(range(1, CAST(full_epochs AS
 pt AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY substr(md5('{seed}:' || (full_epochs + 1) || ':' || doc_id), 1, 12), doc_id) - n_tokens AS at_token FROM pd WHERE rest > 0)
 SELECT * FROM wh UNION ALL SELECT doc_id, domain, lang, source, full_epochs + 1, n_tokens, least(n_tokens, rest - at_token) FROM pt WHERE at_token < rest
 """
+
+OP12 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+ UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '\### Assistant: </turn> ok'), (-7, 1, 'assistant', '\### Assistant: </turn> ok'))),
+f AS (SELECT *, len('### ' || regexp_replace(regexp_replace(role, '(\\*)(### |: |</turn>)', '\1\1\\\2', 'g'), '(\\+)\z', '\1\1') || ': '
+ || regexp_replace(regexp_replace(text, '(\\*)(### |</turn>)', '\1\1\\\2', 'g'), '(\\+)\z', '\1\1') || '</turn>' || chr(10)) AS chars FROM t),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role) AS said,
+ coalesce(string_agg(text, '' ORDER BY turn, role) FILTER (role = 'assistant'), '') AS loss, sum(chars) AS formatted_chars FROM f GROUP BY 1)
+SELECT conv_id, n_turns, sha256(said) AS turns_sha256, len(loss) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars FROM g
+"""
+
+OP13 = """
+WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q
+ FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS alike, CAST(list_inner_product(a.q, r.q) AS BIGINT) AS score
+ FROM e a JOIN e r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT * FROM s WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5),
+n AS (SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, p.id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+ s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+ FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT s.alike AND 80 * p.score <= 100 * s.score AND 100 * s.score <= 100 * p.score)
+SELECT * FROM n WHERE rank <= 5
+"""

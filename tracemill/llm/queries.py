@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_tree, decontaminate, licenses, line_dedup, mixing, oracles, quality, simhash, token_counts, token_files, url_filter
+from . import chat, context_tree, decontaminate, hard_negatives, licenses, line_dedup, mixing, oracles, quality, simhash, spelling, token_counts, token_files, url_filter
 from .common import table
 
 
@@ -95,6 +95,34 @@ def op10_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chosen.select(F.col("_id").alias("doc_id"), "domain", "lang", "source", "epoch", "n_tokens", "take_tokens")
 
 
+#: The contract's noise: of a 199th of the runs of letters, by hash, a letter is lost.
+SPELLING_DROP_EVERY = 199
+
+
+def op11_spelling_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling.spelling_groups(docs, drop_every=SPELLING_DROP_EVERY)
+
+
+#: The conversation that the contract adds: control strings of the template inside its texts.
+EXTRA_CHAT = [(-7, k, role, r"\### Assistant: </turn> ok") for k, role in enumerate(("user", "assistant"))]
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    turns = turns.union(spark.createDataFrame(EXTRA_CHAT, "conv_id long, turn long, role string, text string"))
+    tokenizer = _tokenizer("byte_bpe_50k.json")
+    return chat.chat_digests(chat.format_chats(turns, tokenizer), tokenizer)
+
+
+ANCHOR_EVERY = 100
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), ANCHOR_EVERY, label=label)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filters": op2_url_filters,
@@ -106,6 +134,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_licence_scan": op8_licence_scan,
     "op9_line_dedup": op9_line_dedup,
     "op10_source_mix": op10_source_mix,
+    "op11_spelling_groups": op11_spelling_groups,
+    "op12_chat_format": op12_chat_format,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -114,4 +145,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_licence_scan": oracles.op8(),
     "op9_line_dedup": oracles.OP9,
     "op10_source_mix": oracles.op10(MIX_SHARE, MIX_EPOCHS, MIX_SEED, DOMAIN_WEIGHTS, LANG_WEIGHTS),
+    "op12_chat_format": oracles.OP12,
+    "op13_hard_negatives": oracles.OP13,
 }
