@@ -11,6 +11,7 @@ from tracemill.functions import matching as m
 from tracemill.operators import answers as an
 from tracemill.operators import source_code as so
 from tracemill.operators import statistics as st
+from tracemill.operators import calltree as ct
 from tracemill.operators import trace as tr
 from tracemill.operators import trajectory as tj
 from tracemill.plans import all_queries
@@ -53,7 +54,7 @@ def test_activations_of_all_traces(spark):
     for x in trace_events(spark, SF).orderBy("trace_id", "seq").collect():
         traces.setdefault(x.trace_id, []).append((x.seq, x.func, x.event))
     got = {}
-    for x in tr.activations(trace_events(spark, SF)).orderBy("trace_id", "activation").collect():
+    for x in ct.activations(trace_events(spark, SF)).orderBy("trace_id", "activation").collect():
         got.setdefault(x.trace_id, []).append((x.func, x.call_seq, x.end_seq, x.closed))
     for trace, events in traces.items():
         assert [(f, e, c) for f, _, e, c in got[trace]] == [(f, e, c) for f, _, e, c in _slow_activations(events)]

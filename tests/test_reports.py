@@ -18,7 +18,7 @@ def test_quartiles_of_four(spark):
 
 def test_rank_of_one_row(spark):
     rows = spark.createDataFrame([("a", 1.0), ("b", 1.0), ("b", 2.0), ("b", 2.0)], "m string, v double")
-    got = {(r.m, r.v): r.rank10 for r in rk.percentile_ranks(rows, "m", "v").collect()}
+    got = {(r.m, r.v): r.rank10 for r in rk.percentile_ranks(rows, ["m"], "v").collect()}
     assert got == {("a", 1.0): 5.0, ("b", 1.0): 0.0, ("b", 2.0): 7.5}
 
 

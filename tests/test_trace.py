@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from tracemill.operators import calltree as ct
 from tracemill.operators import trace as tr
 
 SAMPLE = [
@@ -41,14 +42,14 @@ def test_transitions_of_the_sample(spark):
 def test_activations_recover(spark):
     seq = [("call", "a"), ("call", "b"), ("return", "a"), ("return", "c"), ("call", "a")]
     events = spark.createDataFrame([(1, i, f, e) for i, (e, f) in enumerate(seq)], "trace_id long, seq long, func string, event string")
-    rows = {r.activation: r for r in tr.activations(events).collect()}
+    rows = {r.activation: r for r in ct.activations(events).collect()}
     assert rows[1].closed and not rows[2].closed and rows[2].parent == 1
     assert rows[3].orphan and rows[3].closed and not rows[4].closed
 
 
 def test_empty_events(spark):
     events = spark.createDataFrame([], "trace_id long, seq long, file string, line int, func string, event string, x int")
-    assert tr.activations(events).count() == 0
+    assert ct.activations(events).count() == 0
     assert tr.line_counts(events, 1, 3).count() == 0
     assert tr.transition_entropy(events).count() == 0
     assert tr.event_statistics(events).select(F.sum("events")).first()[0] is None
@@ -60,5 +61,5 @@ def test_activations_in_chunks(spark):
     r = random.Random(3)
     rows = [(t, i, r.choice("abcd"), r.choice(["call", "call", "line", "return", "exception"])) for t, n in ((1, 120), (2, 7), (3, 40)) for i in range(n)]
     events = spark.createDataFrame(rows, "trace_id long, seq long, func string, event string")
-    whole, cut = ([tuple(x) for x in tr.activations(events, chunk).orderBy("trace_id", "activation").collect()] for chunk in (10**6, 25))
+    whole, cut = ([tuple(x) for x in ct.activations(events, chunk).orderBy("trace_id", "activation").collect()] for chunk in (10**6, 25))
     assert whole == cut and len(whole) > 40

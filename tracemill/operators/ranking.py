@@ -2,19 +2,42 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .prefix import row_numbers
+from ..sources.shared import written
+from .prefix import row_numbers, running_total
 
 LEVELS = ["easy", "medium", "hard", "very_hard"]
 
 
+def quantiles(rows: DataFrame, by: list[str], value: str, at: dict[str, float]) -> DataFrame:
+    """``by``, ``members`` and a column for each of ``at``: exact quantiles with linear interpolation.
+
+    Values are counted, and the counts summed over ranges of (by, value); of these, only
+    the two neighbours of each place are kept. No group's values meet in one buffer or
+    task, and all groups and quantiles take the same two passes. Null values do not
+    count; a group without others has no row. Nulls in ``by`` are a group.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = written(running_total(counts, by, [F.asc("_v")], F.col("_n"), "_below"), "values")
+    totals = placed.groupBy(*by).agg(F.sum("_n").alias("members")).select(*[F.col(c).alias(f"_by_{c}") for c in by], "members")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.lit(True))
+    found = placed.join(totals, same) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    place = {name: (F.col("members") - 1) * F.lit(float(p)) for name, p in at.items()}
+    holds = lambda i: (F.col("_below") <= i) & (i < F.col("_below") + F.col("_n"))
+    ends = {f"_{k}_{name}": F.max(F.when(holds(f(h)), F.col("_v").cast("double"))) for name, h in place.items() for k, f in (("lo", F.floor), ("hi", F.ceil))}
+    kept = found.where(reduce(lambda a, b: a | b, [holds(f(h)) for h in place.values() for f in (F.floor, F.ceil)]))
+    picked = kept.groupBy(*by).agg(F.max("members").alias("members"), *[c.alias(n) for n, c in ends.items()])
+    mixed = [(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * (h - F.floor(h))).alias(n) for n, h in place.items()]
+    return picked.select(*by, "members", *mixed)
+
+
 def cutoffs(scores: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     """q25, q50, q75 (linear interpolation) and members of each stratum."""
-    q = F.percentile(score, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return scores.groupBy(*by).agg(q.alias("q"), F.count("*").alias("members")).select(
-        *by, F.get("q", 0).alias("q25"), F.get("q", 1).alias("q50"), F.get("q", 2).alias("q75"), "members")
+    return quantiles(scores, by, score, {"q25": 0.25, "q50": 0.5, "q75": 0.75}).select(*by, "q25", "q50", "q75", "members")
 
 
 def level_label(score: Column, q25: Column, q50: Column, q75: Column, members: Column | None = None) -> Column:
@@ -37,27 +60,31 @@ def frozen_labels(scores: DataFrame, thresholds: DataFrame, by: str, unknown: st
     return joined.withColumn("label", label).drop("q25", "q50", "q75")
 
 
-def percentile_ranks(rows: DataFrame, by: str, value: str, name: str = "rank10") -> DataFrame:
+def percentile_ranks(rows: DataFrame, by: list[str], value: str, name: str = "rank10") -> DataFrame:
     """Tie-averaged percentile rank from 0 to 10 within ``by``; 5 for a single row.
 
     Values are counted first: the running sum goes over distinct values only, so a
     group of any size sends no more rows than it has values.
     """
-    counts = rows.groupBy(by, value).agg(F.count("*").alias("_n"))
-    order = Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     below = F.coalesce(F.sum("_n").over(order), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy(by))
+    total = F.sum("_n").over(Window.partitionBy(*by))
     rank = F.when(total == 1, 5.0).otherwise(10.0 * (below + (F.col("_n") - 1) / 2) / (total - 1))
-    return rows.join(counts.withColumn(name, rank).drop("_n"), [by, value])
+    return rows.join(counts.withColumn(name, rank).drop("_n"), [*by, value])
 
 
 def weighted_effort(rows: DataFrame, by: str, weights: dict[str, float], key: str) -> DataFrame:
-    """key, by, effort: weighted sum of the percentile ranks of the components, all to three digits."""
-    out = rows.select(key, by, *weights)
-    for m in weights:
-        out = percentile_ranks(out, by, m, f"_r_{m}")
-    exact = [F.round(f"_r_{m}", 3).cast("decimal(9,3)") * F.lit(str(w)).cast("decimal(5,4)") for m, w in weights.items()]  # so that halves round alike
-    return out.select(key, by, F.round(sum(exact[1:], exact[0]), 3).cast("double").alias("effort"))
+    """key, by, effort: weighted sum of the percentile ranks of the components, all to three digits.
+
+    All components are ranked at once, in long form. A row with a null component has none.
+    """
+    parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"), F.lit(str(w)).cast("decimal(5,4)").alias("w")) for m, w in weights.items()])
+    long = rows.select(key, by, F.explode(parts).alias("m")).select(key, by, "m.*")
+    ranked = percentile_ranks(long, [by, "metric"], "v", "_rank")
+    exact = F.sum(F.round("_rank", 3).cast("decimal(9,3)") * F.col("w"))  # so that halves round alike
+    summed = ranked.groupBy(key, by).agg(exact.alias("effort"), F.count("*").alias("_n")).where(F.col("_n") == len(weights))
+    return summed.select(key, by, F.round("effort", 3).cast("double").alias("effort"))
 
 
 def relabel_by_outcome(rows: DataFrame, by: str, outcome: str, key: str, label: str = "label") -> DataFrame:
@@ -99,20 +126,23 @@ def capped_candidates(rows: DataFrame, caps: list[tuple[list[str], int]], score:
 
 
 def quota_split(groups: DataFrame, total: int, size: str = "n", key: str = "category") -> DataFrame:
-    """``quota``: an equal share each, and one more for the largest groups until ``total`` is dealt."""
+    """``quota``: an equal share each, and one more for the largest groups until ``total`` is dealt. As many rows as categories."""
     count = groups.agg(F.count("*").alias("_k"))
-    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(size), key)))  # as many rows as categories
+    ranked = groups.withColumn("_r", F.row_number().over(Window.orderBy(F.desc(size), key)))
     return ranked.crossJoin(F.broadcast(count)).withColumn("quota", F.expr(f"{total} div _k") + F.when(F.col("_r") <= total % F.col("_k"), 1).otherwise(0)).drop("_r", "_k")
 
 
-def largest_remainder(groups: DataFrame, share: float, size: str = "n", key: str = "category") -> DataFrame:
-    """``slots``: the share of each group rounded so that the sum is the rounded share of all."""
-    exact = groups.withColumn("_x", F.col(size) * F.lit(share)).withColumn("_f", F.floor("_x"))
-    total = Window.partitionBy()  # as many rows as categories
-    left = F.round(F.sum("_x").over(total)) - F.sum("_f").over(total)
-    rank = F.row_number().over(Window.orderBy(F.desc(F.col("_x") - F.col("_f")), key))
-    return exact.withColumn("_left", left).withColumn("_r", rank).withColumn(
-        "slots", (F.col("_f") + F.when(F.col("_r") <= F.col("_left"), 1).otherwise(0)).cast("long")).drop("_x", "_f", "_left", "_r")
+def share_slots(quotas: DataFrame, share: float, quota: str = "quota", key: str = "category") -> DataFrame:
+    """``slots`` of each quota: floors of the share, and one more for the largest remainders until the share of all quotas is dealt.
+
+    Ties go to the larger quota, then by key; no quota gets more slots than it has. As many rows as categories.
+    """
+    part = F.col(quota).cast("decimal(18,0)") * F.lit(str(share)).cast("decimal(9,6)")  # exact, as remainders are compared
+    exact = quotas.withColumn("_x", part).withColumn("_f", F.floor("_x").cast("long"))
+    left = F.bround(F.sum("_x").over(Window.partitionBy()), 0).cast("long") - F.sum("_f").over(Window.partitionBy())
+    order = Window.orderBy(F.desc(F.col("_x") - F.col("_f")), F.desc(quota), key)
+    return exact.withColumns({"_left": left, "_r": F.row_number().over(order)}).withColumn(
+        "slots", F.least(F.col("_f") + F.when(F.col("_r") <= F.col("_left"), 1).otherwise(0), F.col(quota)).cast("long")).drop("_x", "_f", "_left", "_r")
 
 
 # Whether a function suits a category of questions, and how well, by its metrics.
@@ -143,5 +173,21 @@ def eligibility(rows: DataFrame, rules: dict[str, tuple[Column, Column]], key: s
     return rows.select(key, F.explode(each).alias("r")).where("r.ok").select(key, "r.category", "r.affinity")
 
 
-def best_attempts(attempts: DataFrame, source: str, order: list[Column]) -> DataFrame:
-    return attempts.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(*order))).where("_r = 1").drop("_r")
+#: Fixed order: what makes one attempt better than another, the first first; all descending.
+ATTEMPT_ORDER = ["flipped", "target_met", "increased", "delta", "oracle_and_trace_changed", "oracle_changed", "trace_changed", "new_lines_and_edges", "new_edges"]
+
+
+def best_attempts(attempts: DataFrame, source: str, key: str) -> DataFrame:
+    """The best attempt of each source by the nine parts of ``ATTEMPT_ORDER``; ties by key.
+
+    Columns: flipped, target_met, increased, oracle_changed, trace_changed (boolean, null is
+    false), delta (null is 0), new_lines, new_edges. A top one of each source, cut in the tasks.
+    """
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    parts = {
+        "flipped": yes("flipped"), "target_met": yes("target_met"), "increased": yes("increased"), "delta": F.coalesce("delta", F.lit(0.0)),
+        "oracle_and_trace_changed": yes("oracle_changed") & yes("trace_changed"), "oracle_changed": yes("oracle_changed"), "trace_changed": yes("trace_changed"),
+        "new_lines_and_edges": F.col("new_lines") + F.col("new_edges"), "new_edges": F.col("new_edges"),
+    }
+    order = [F.desc(parts[p]) for p in ATTEMPT_ORDER]
+    return attempts.withColumn("_r", F.row_number().over(Window.partitionBy(source).orderBy(*order, F.asc(key)))).where("_r = 1").drop("_r")

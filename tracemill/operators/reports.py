@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranking import quantiles
 
 def grouped_accuracy(results: DataFrame, sets: list[list[str]], correct: Column) -> DataFrame:
     """Total, correct and accuracy over several groupings at once, absent columns null, with ``level`` naming the grouping."""
@@ -68,7 +69,9 @@ def effort_summary(rollouts: DataFrame, metrics: list[str], by: list[str]) -> Da
     long = rollouts.select(*by, F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v")) for m in metrics])).alias("m")).select(*by, "m.*")
     for c in by:
         long = long.where(F.col(c).isNotNull())
-    return long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.median("v").alias("median"), F.percentile("v", 0.9).alias("p90"), F.sum("v").alias("total"))
+    sums = long.groupBy(*by, "metric").agg(F.avg("v").alias("mean"), F.sum("v").alias("total"))
+    middle = quantiles(long, [*by, "metric"], "v", {"median": 0.5, "p90": 0.9}).drop("members")
+    return sums.join(middle, [*by, "metric"], "left").select(*by, "metric", "mean", "median", "p90", "total")
 
 
 def activity_histogram(tools: DataFrame) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from ..sources.shared import written
 from .ranking import LEVELS
 
 
@@ -184,15 +189,40 @@ def ridge_fit(rows: DataFrame, features: list[str], group: str, target: str, alp
     return rows.sparkSession.createDataFrame(list(zip(terms, map(float, weights))), "term string, weight double")
 
 
+def fold_fits(matrix: DataFrame, names: list[str], fold: str, alphas: list[float], salts: int = 64) -> DataFrame:
+    """fold, alpha, w: ridge weights fitted on all rows but those of the fold.
+
+    The sums of products of each fold are one row of a table; those of all folds (one
+    row, whose size the columns bound) are joined to it, and each task subtracts and
+    solves for its folds. No fold passes through the driver.
+    """
+    terms = [F.lit(1.0), *map(F.col, names), F.col("y")]
+    k = len(terms)
+    sums = F.array(*[F.sum(terms[i] * terms[j]) for i in range(k) for j in range(i, k)])
+    own = written(matrix.groupBy(F.col(fold).alias("fold")).agg(sums.alias("g")), "grams")
+    whole = own.agg(F.array(*[F.sum(F.get("g", i)) for i in range(k * (k + 1) // 2)]).alias("t"))
+    upper = np.triu_indices(k)
+
+    def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for f, g, t in zip(pdf["fold"], pdf["g"], pdf["t"]):
+                gram = np.zeros((k, k))
+                gram[upper] = np.asarray(t) - np.asarray(g)
+                gram += np.triu(gram, 1).T
+                rows += [(f, float(a), ridge(gram, a).tolist()) for a in alphas]
+            yield pd.DataFrame(rows, columns=["fold", "alpha", "w"])
+
+    schema = T.StructType([own.schema["fold"], T.StructField("alpha", T.DoubleType()), T.StructField("w", T.ArrayType(T.DoubleType()))])
+    dealt = own.repartition(salts, "fold").crossJoin(F.broadcast(whole))  # one row
+    return dealt.mapInPandas(solve, schema)
+
+
 def choose_alpha(rows: DataFrame, features: list[str], group: str, target: str, fold: str, alphas: list[float]) -> DataFrame:
-    """alpha, rho: rank correlation of predictions for each left-out fold's rows, fitted on the others."""
+    """alpha, rho: rank correlation of predictions for each left-out fold's rows, fitted on the others. A null fold is a fold."""
     matrix, names, _ = design(rows, features, group, target, fold)
-    grams = gram_sums(matrix, names, fold)
-    total = sum(grams.values())
-    spark = rows.sparkSession
-    fits = [(f, float(a), ridge(total - g, a).tolist()) for f, g in grams.items() for a in alphas]
-    weights = spark.createDataFrame(fits, "_f string, alpha double, w array<double>")
-    joined = matrix.withColumn("_f", F.col(fold).cast("string")).join(F.broadcast(weights), "_f")
+    weights = fold_fits(matrix, names, fold, alphas)
+    joined = matrix.join(weights, matrix[fold].eqNullSafe(weights["fold"]))
     predicted = joined.withColumn("p", F.get("w", 0) + sum((F.get("w", i + 1) * F.col(n) for i, n in enumerate(names)), F.lit(0.0)))
     return spearman(predicted.select("alpha", F.round("p", 9).alias("p"), "y"), "p", "y", ["alpha"])
 

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_path
+from ..sources.shared import written
+from .prefix import row_numbers, running_total
 
 #: One event: time, path:line, function, kind, tail.
 RECORD = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) (\S+):(\d+) (\S+) event=(call|line|return|exception)(.*)$"
@@ -30,15 +31,18 @@ def _running(*more: str) -> Window:
 def join_continuations(lines: DataFrame) -> DataFrame:
     """trace_id, pos, text -> trace_id, pos, record: lines that start nothing continue the record before.
 
-    A marker line ends a record; what follows it up to the next record is dropped.
+    A marker line ends a record; what follows it up to the next record is dropped. The
+    records are counted over ranges of lines, so one long log is dealt over all tasks.
     """
-    begun = lines.withColumn("start", F.col("text").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \S+:\d+ \S+ event=") | F.col("text").startswith(MARKER))
-    numbered = begun.withColumn("rec", F.sum(F.col("start").cast("int")).over(
-        Window.partitionBy("trace_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where("rec > 0")
-    whole = numbered.groupBy("trace_id", "rec").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
-    joined = whole.select("trace_id", F.get("parts", 0)["pos"].alias("pos"),
-                          F.when(F.get("parts", 0)["text"].startswith(MARKER), F.get("parts", 0)["text"]).otherwise(F.array_join("parts.text", "\n")).alias("record"))
-    return joined
+    marker = F.col("text").startswith(MARKER)
+    begun = lines.select("trace_id", "pos", "text", (marker | F.col("text").rlike(r"^\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+ \S+:\d+ \S+ event=")).alias("start"))
+    before = running_total(begun, ["trace_id"], [F.asc("pos")], F.col("start").cast("long"), "rec")
+    numbered = before.withColumn("rec", F.col("rec") + F.col("start").cast("long")).where("rec > 0")
+    ends = numbered.where(F.col("start") & marker)
+    told = numbered.join(ends.select("trace_id", "rec"), ["trace_id", "rec"], "left_anti")
+    whole = told.groupBy("trace_id", "rec").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("parts"))
+    joined = whole.select("trace_id", F.get("parts", 0)["pos"].alias("pos"), F.array_join("parts.text", "\n").alias("record"))
+    return joined.union(ends.select("trace_id", "pos", F.col("text").alias("record")))
 
 
 def parse_records(records: DataFrame) -> DataFrame:
@@ -104,74 +108,6 @@ def call_depth(events: DataFrame) -> DataFrame:
     return summed.withColumn("depth", F.col("_s") - F.least(F.lit(0), F.min("_s").over(_running()))).drop("_s")
 
 
-ACTIVATIONS = "trace_id long, activation long, func string, parent long, depth int, call_seq long, end_seq long, orphan boolean, closed boolean"
-
-
-#: Events of a trace that one worker holds at a time.
-ACTIVATION_CHUNK = 100_000
-
-
-def activations(events: DataFrame, chunk: int = ACTIVATION_CHUNK) -> DataFrame:
-    """One row an activation, from a call stack that recovers from missing returns.
-
-    A return closes the nearest open activation of its function and all above it; an
-    event of a function that is not open begins an orphan activation. Traces are cut
-    into chunks of events; one round of jobs takes the next chunk of every trace and
-    the activations still open, which are written to the shared folder between rounds.
-    """
-    names = [c.split()[0] for c in ACTIVATIONS.split(", ")]
-
-    def run(opened: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Closed activations, open ones (no end_seq), and the number reached in a row without a function."""
-        pdf = pdf.sort_values("seq")
-        trace = (pdf if len(pdf) else opened)["trace_id"].iloc[0]
-        done, stack, places, n = [], [], {}, 0
-        for e in opened.astype(object).where(opened.notna(), None).sort_values("depth")[names].values.tolist():
-            if e[2] is None and e[4] == 0:
-                n = e[1]
-            else:
-                places.setdefault(e[2], []).append(len(stack))
-                stack.append(e)
-
-        def close(seq: int, closed: bool) -> None:
-            entry = stack.pop()
-            places[entry[2]].pop()
-            entry[6], entry[8] = seq, closed
-            done.append(entry)
-
-        for seq, func, event in zip(pdf["seq"], pdf["func"], pdf["event"]):
-            open_at = places[func][-1] if places.get(func) else None
-            if event == "call" or open_at is None:
-                n += 1
-                open_at = len(stack)
-                stack.append([trace, n, func, stack[-1][1] if stack else None, len(stack) + 1, seq, None, event != "call", False])
-                places.setdefault(func, []).append(open_at)
-            while len(stack) - 1 > open_at:
-                close(seq, False)
-            if event == "return":
-                close(seq, True)
-        rest = [*done, *stack, [trace, n, None, None, 0, None, None, False, False]]
-        return pd.DataFrame(rest, columns=names).astype({"parent": "Int64", "call_seq": "Int64", "end_seq": "Int64"})
-
-    spark = events.sparkSession
-    place = F.floor((F.row_number().over(_trace()) - 1) / chunk).cast("long")
-    path = shared_path(spark, "activations")
-    events.select("trace_id", "seq", "func", "event", place.alias("chunk")).write.parquet(f"{path}/events")
-    cut = spark.read.parquet(f"{path}/events")
-    last = cut.groupBy("trace_id").agg(F.max("seq").alias("last"))
-    rounds = cut.agg(F.max("chunk")).first()[0] or 0
-    state, parts = spark.createDataFrame([], ACTIVATIONS), []
-    for k in range(rounds + 1):
-        now = cut.where(F.col("chunk") == k)
-        step = state.groupBy("trace_id").cogroup(now.drop("chunk").groupBy("trace_id")).applyInPandas(run, ACTIVATIONS)
-        step.write.parquet(f"{path}/round-{k}")
-        parts.append(f"{path}/round-{k}")
-        state = spark.read.schema(ACTIVATIONS).parquet(parts[-1]).where("end_seq is null")
-    ended = spark.read.schema(ACTIVATIONS).parquet(*parts).where("end_seq is not null")
-    still = state.where("depth > 0").join(last, "trace_id").withColumn("end_seq", F.col("last")).drop("last")
-    return ended.unionByName(still)
-
-
 def event_statistics(events: DataFrame) -> DataFrame:
     """Per trace: events of each kind, distinct lines and functions, most hits of a line."""
     hits = events.groupBy("trace_id", "file", "line").agg(F.count_if(F.col("event") == "line").alias("n"))
@@ -437,7 +373,36 @@ def first_seen_edges(events: DataFrame) -> DataFrame:
     return _edges(events).groupBy("file", "func", "src", "dst").agg(F.min("trace_id").alias("trace_id"))
 
 
+#: Two primes below 2^31 and a base for each: sums of products modulo both tell paths apart.
+_MODULI = [(2147483647, 1103515245), (2147483629, 69069)]
+_DIGIT, _DIGITS = 256, 5
+
+
+def _power(base: int, modulus: int, exponent: Column) -> Column:
+    """base ** exponent modulo a prime, from tables of the digits of the exponent (below 256 ** 5)."""
+    out = None
+    for k in range(_DIGITS):
+        table = F.lit([pow(base, d * _DIGIT**k, modulus) for d in range(_DIGIT)])
+        factor = F.get(table, F.shiftright(exponent, 8 * k).bitwiseAND(F.lit(_DIGIT - 1)).cast("int")).cast("long")
+        out = factor if out is None else out * factor % modulus
+    return out
+
+
 def path_digest(events: DataFrame) -> DataFrame:
-    """trace_id, steps, digest of the ordered lines: equal digests are equal paths."""
-    return events.where(F.col("event") == "line").groupBy("trace_id").agg(F.array_sort(F.collect_list(F.struct("seq", "file", "line"))).alias("p")).select(
-        "trace_id", F.size("p").alias("steps"), F.md5(F.array_join(F.transform("p", lambda s: F.concat_ws(":", s["file"], s["line"].cast("string"))), ",")).alias("digest"))
+    """trace_id, steps, digest of the ordered lines: equal paths have equal digests, and others have not, but for a chance of 2^-60.
+
+    The digest is a sum over the lines, each times a power of its place, so tasks add up
+    their parts; places are counted over ranges. No path stands in one row or one task.
+    """
+    lines = events.where(F.col("event") == "line").select("trace_id", "seq", "file", "line")
+    placed = row_numbers(lines, ["trace_id"], [F.asc("seq"), F.asc("file"), F.asc("line")], "place")
+    sums = [(F.sum(F.pmod(F.xxhash64(F.lit(k), "file", "line"), F.lit(p)) * _power(b, p, F.col("place")) % p) % p).alias(f"_d{k}") for k, (p, b) in enumerate(_MODULI)]
+    return placed.groupBy("trace_id").agg(F.count("*").alias("steps"), *sums).select(
+        "trace_id", "steps", (F.col("_d0") * F.lit(1 << 31) + F.col("_d1")).alias("digest"))
+
+
+def equal_paths(events: DataFrame) -> DataFrame:
+    """trace_id, steps, first: the least trace with the same path, and how many there are (``traces``)."""
+    digests = written(path_digest(events), "digests")
+    groups = digests.groupBy("steps", "digest").agg(F.min("trace_id").alias("first"), F.count("*").alias("traces"))
+    return digests.join(groups, ["steps", "digest"]).select("trace_id", "steps", "first", "traces")

@@ -78,6 +78,24 @@ def _effort(s, d):
         (F.col("tokens") % 97).alias("deliberation"), (F.col("instance_id") % 11).alias("friction"), F.col("rollout").alias("resources"))
 
 
+#: Attempts at perturbing an instance, one for each rollout.
+_ATTEMPT_COLUMNS = {
+    "source_id": "instance_id", "attempt_id": "rollout", "category": "concat('c', CAST(instance_id % 3 AS STRING))",
+    "flipped": "CASE WHEN tokens % 4 = 0 THEN NULL ELSE tokens % 9 = 1 END", "delta": "CASE WHEN tokens % 7 <> 0 THEN CAST(tokens % 5 AS DOUBLE) - 2 END",
+    "increased": "CASE WHEN tokens % 7 <> 0 THEN tokens % 5 > 2 END", "target_met": "CASE WHEN tokens % 6 <> 0 THEN tokens % 5 > 3 END",
+    "oracle_changed": "CASE WHEN tokens % 11 <> 0 THEN duration % 2 = 0 END", "trace_changed": "tokens % 3 = 0",
+    "new_lines": "tokens % 4", "new_edges": "tokens % 2",
+    "trace_ratio": "CASE WHEN tokens % 13 = 0 THEN 0.0 ELSE CAST(tokens % 40 AS DOUBLE) / 20 END",
+    "stage": "CASE WHEN tokens % 13 = 0 THEN 'harvest' WHEN tokens % 5 = 1 THEN 'screen' WHEN tokens % 6 = 2 THEN 'complexity' WHEN tokens % 9 = 3 THEN 'flip' ELSE 'kept' END",
+    "infra_error": "tokens % 37 = 0", "cost": "CASE WHEN tokens % 4 <> 0 THEN CAST(tokens % 8 AS DOUBLE) / 8 END",
+}
+_ATTEMPTS_SQL = "SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in _ATTEMPT_COLUMNS.items()) + " FROM rollouts"
+
+
+def _attempts(s, d):
+    return rollouts(s, d).select(*[F.expr(e).alias(n) for n, e in _ATTEMPT_COLUMNS.items()])
+
+
 QUERIES = {
     "ag1_grouped_accuracy": (
         lambda s, d: rp.grouped_accuracy(rollouts(s, d).withColumn("kind", F.col("rollout") % 3), [["model", "kind"], ["model"], ["kind"], []], F.col("passed")),
@@ -166,7 +184,7 @@ QUERIES = {
         with_views(_I, """SELECT instance_id, CASE WHEN q25 IS NULL THEN 'medium' WHEN score <= q25 THEN 'easy' WHEN score <= q50 THEN 'medium' WHEN score >= q75 THEN 'very_hard' ELSE 'hard' END AS label
  FROM instances LEFT JOIN (VALUES ('1-URGENT', 5e4, 1e5, 2e5), ('2-HIGH', 4e4, 9e4, 1.5e5)) AS t(archetype, q25, q50, q75) USING (archetype)""")),
     "wn4_percentile_ranks": (
-        lambda s, d: rk.percentile_ranks(rollouts(s, d).select("model", "instance_id", "rollout", "duration"), "model", "duration"),
+        lambda s, d: rk.percentile_ranks(rollouts(s, d).select("model", "instance_id", "rollout", "duration"), ["model"], "duration"),
         with_views(_R, """SELECT model, instance_id, rollout, duration, CASE WHEN count(*) OVER (PARTITION BY model) = 1 THEN 5.0 ELSE
  10.0 * (rank() OVER (PARTITION BY model ORDER BY duration) - 1 + (count(*) OVER (PARTITION BY model, duration) - 1) / 2) / (count(*) OVER (PARTITION BY model) - 1) END AS rank10 FROM rollouts""")),
     "wn5_weighted_effort": (
@@ -210,16 +228,20 @@ QUERIES = {
  b AS (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r2 FROM a WHERE r1 <= 2),
  c AS (SELECT *, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS r3 FROM b WHERE r2 <= 30) SELECT p_partkey FROM c WHERE r3 <= 300"""),
     "wn12_quotas": (
-        lambda s, d: rk.largest_remainder(rk.quota_split(instances(s, d).groupBy("category").agg(F.count("*").alias("n")), 43), 0.3),
-        with_views(_I, """WITH g AS (SELECT category, count(*) AS n FROM instances GROUP BY 1), q AS (SELECT *, 43 // count(*) OVER () + CASE WHEN row_number() OVER (ORDER BY n DESC, category) <= 43 % count(*) OVER () THEN 1 ELSE 0 END AS quota,
- CAST(n AS DOUBLE) * 0.3::DOUBLE AS x FROM g), f AS (SELECT *, floor(x) AS fl, round(sum(x) OVER ()) - sum(floor(x)) OVER () AS lft, row_number() OVER (ORDER BY x - floor(x) DESC, category) AS r FROM q)
- SELECT category, n, quota, fl + CASE WHEN r <= lft THEN 1 ELSE 0 END AS slots FROM f""")),
+        lambda s, d: rk.share_slots(rk.quota_split(instances(s, d).groupBy("category").agg(F.count("*").alias("n")), 43), 0.3),
+        with_views(_I, """WITH g AS (SELECT category, count(*) AS n FROM instances GROUP BY 1), k AS (SELECT count(*) AS k FROM g),
+ q AS (SELECT category, n, 43 // k + CASE WHEN row_number() OVER (ORDER BY n DESC, category) <= 43 % k THEN 1 ELSE 0 END AS quota FROM g CROSS JOIN k),
+ x AS (SELECT *, quota * 0.3 AS e, CAST(floor(quota * 0.3) AS BIGINT) AS f FROM q),
+ l AS (SELECT *, round_even(sum(e) OVER (), 0) - sum(f) OVER () AS rest, row_number() OVER (ORDER BY e - f DESC, quota DESC, category) AS r FROM x)
+ SELECT category, n, quota, least(f + CASE WHEN r <= rest THEN 1 ELSE 0 END, quota) AS slots FROM l""")),
     "wn13_target_ranks": (
         lambda s, d: table(s, d, "part").withColumn("score", F.col("p_size") * 2 + F.length("p_name")).select("p_partkey", "score", rp.first_by([F.desc("score"), F.col("p_partkey")], "p_brand").alias("place")),
         "SELECT p_partkey, p_size * 2 + length(p_name) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY p_size * 2 + length(p_name) DESC, p_partkey) AS place FROM part"),
     "wn14_best_attempts": (
-        lambda s, d: rk.best_attempts(rollouts(s, d), "instance_id", [F.desc("passed"), F.desc("duration"), F.col("tokens"), F.col("rollout")]).select("instance_id", "rollout"),
-        with_views(_R, "SELECT instance_id, rollout FROM (SELECT *, row_number() OVER (PARTITION BY instance_id ORDER BY passed DESC, duration DESC, tokens, rollout) AS r FROM rollouts) WHERE r = 1")),
+        lambda s, d: rk.best_attempts(_attempts(s, d), "source_id", "attempt_id").select("source_id", "attempt_id"),
+        with_views("rollouts", f"""WITH a AS ({_ATTEMPTS_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(flipped, false) DESC, coalesce(target_met, false) DESC,
+ coalesce(increased, false) DESC, coalesce(delta, 0) DESC, coalesce(oracle_changed, false) AND coalesce(trace_changed, false) DESC, coalesce(oracle_changed, false) DESC, coalesce(trace_changed, false) DESC,
+ new_lines + new_edges DESC, new_edges DESC, attempt_id) AS rn FROM a) SELECT source_id, attempt_id FROM r WHERE rn = 1""")),
     "st3_set_agreement": (
         lambda s, d: st.set_agreement(expected_elements(s, d), predicted_elements(s, d), ["answer_id"], ["pos"]),
         with_views("expected_elements predicted_elements", """WITH b AS (SELECT answer_id, a, b FROM (SELECT answer_id, pos, 1 AS a FROM expected_elements) FULL JOIN (SELECT answer_id, pos, 1 AS b FROM predicted_elements) USING (answer_id, pos))

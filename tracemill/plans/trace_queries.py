@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import calltree as ct
 from ..operators import trace as tr
 from ..sources.fixtures import table, trace_events, with_views
 
@@ -55,7 +56,7 @@ QUERIES = {
     "tr7_call_depth": (
         lambda s, d: tr.call_depth(trace_events(s, d)).groupBy("trace_id").agg(F.max("depth").alias("max_depth"), F.sum("depth").alias("depth_sum")),
         with_views(_TE, f"WITH {_DEPTH} SELECT trace_id, max(depth) AS max_depth, sum(depth) AS depth_sum FROM deep GROUP BY 1")),
-    "tr8_activations": (lambda s, d: tr.activations(trace_events(s, d)), None),
+    "tr8_activations": (lambda s, d: ct.activations(trace_events(s, d)), None),
     "tr9_event_statistics": (
         lambda s, d: tr.event_statistics(trace_events(s, d)),
         with_views(_TE, """WITH h AS (SELECT trace_id, max(n) AS max_line_hits FROM (SELECT trace_id, file, line, count(*) FILTER (event = 'line') AS n FROM trace_events GROUP BY ALL) GROUP BY 1)
@@ -177,8 +178,10 @@ QUERIES = {
         with_views(_TE, """WITH e AS (SELECT trace_id, file, func, lag(line) OVER (PARTITION BY trace_id, file, func ORDER BY seq) AS src, line AS dst FROM trace_events)
  SELECT min(trace_id) AS trace_id, file, func, src, dst FROM e WHERE src <> dst GROUP BY file, func, src, dst""")),
     "st2_equal_paths": (
-        lambda s, d: tr.path_digest(trace_events(s, d)),
-        with_views(_TE, "SELECT trace_id, count(*) AS steps, md5(string_agg(file || ':' || line, ',' ORDER BY seq)) AS digest FROM trace_events WHERE event = 'line' GROUP BY 1")),
+        lambda s, d: tr.equal_paths(trace_events(s, d).unionByName(trace_events(s, d).where("line % 2 = 0").withColumns({"trace_id": F.expr("-1 - trace_id % 7"), "seq": F.expr("seq * 1000 + trace_id div 7")}))),
+        with_views(_TE, """WITH t AS (SELECT trace_id, seq, file, line, event FROM trace_events UNION ALL SELECT -1 - trace_id % 7, seq * 1000 + trace_id // 7, file, line, event FROM trace_events WHERE line % 2 = 0),
+ p AS (SELECT trace_id, count(*) AS steps, string_agg(file || ':' || line, ',' ORDER BY seq, file, line) AS path FROM t WHERE event = 'line' GROUP BY 1)
+ SELECT trace_id, steps, min(trace_id) OVER (PARTITION BY path) AS first, count(*) OVER (PARTITION BY path) AS traces FROM p""")),
     "st4_line_sets": (
         lambda s, d: trace_events(s, d).where("event = 'line'").groupBy("line").agg(F.count_distinct("trace_id").alias("traces")).select(
             "line", "traces", (F.col("traces") == 1).alias("only_one")),

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prefix import row_numbers
 from ..operators.trace import join_continuations, parse_records, split_tail
 
 # Layouts of answer files below a run, the rollout only in the last.
@@ -38,11 +39,23 @@ def answer_keys(files: DataFrame) -> DataFrame:
     return parts
 
 
+def log_lines(spark: SparkSession, path: str, names: str = "*.log") -> DataFrame:
+    """trace_id, pos, text: the lines of all logs, a file is a trace.
+
+    Files are cut into splits of ``spark.sql.files.maxPartitionBytes``, so a log of any
+    size is read by many tasks. A line's place comes from where its split begins in the
+    file and its place in the split, counted over ranges.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("lineSep", "\n").text(path)
+    lines = files.select(F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("split"),
+                         F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
+    placed = row_numbers(lines, ["trace_id"], [F.asc("split"), F.asc("row")], "pos")
+    return placed.select("trace_id", (F.col("pos") - 1).alias("pos"), "text")
+
+
 def read_traces(spark: SparkSession, path: str, names: str = "*.log") -> DataFrame:
     """Events of all trace logs; a trace is a file, ``seq`` its line order."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).text(path, wholetext=True)
-    lines = files.select(F.col("_metadata.file_path").alias("trace_id"), F.posexplode(F.split("value", "\n")).alias("pos", "text"))
-    return split_tail(parse_records(join_continuations(lines)))
+    return split_tail(parse_records(join_continuations(log_lines(spark, path, names))))
 
 
 def flat_verdicts(reports: DataFrame) -> DataFrame:
