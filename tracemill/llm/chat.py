@@ -26,7 +26,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,28 +37,32 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.prefix import carried_on
 from .common import require, written
+from .token_files import BYTE_SIGNS, ByteEncoder
 
 TURN, ROLE_END, TURN_END = "### ", ": ", "</turn>"
 #: What the reserved ids stand for, in the order of their numbers above the vocabulary.
 RESERVED = [TURN, ROLE_END, TURN_END + "\n"]
-#: Ids after which a conversation goes on in a further piece; texts encoded in one call.
+#: Ids after which a conversation goes on in a further piece; roles whose ids a worker remembers.
 PIECE = 1 << 16
-GROUP_BYTES = 4 << 20
+MANY_ROLES = 4096
 
 
 class Escape:
     """Escapes control strings by backslashes, and takes them out again."""
 
     def __init__(self, control: list[str]) -> None:
+        self.control = control
         signs = "|".join(map(re.escape, control))
         self._any = re.compile(rf"(\\*)({signs}|\Z)")
         self._there = re.compile(rf"(?<!\\)(?:\\\\)*(?P<sign>{signs})")
 
     def __call__(self, text: str) -> str:
+        if not text.endswith("\\") and not any(c in text for c in self.control):
+            return text
         return self._any.sub(lambda m: m[1] * 2 + ("\\" + m[2] if m[2] else ""), text)
 
     def back(self, text: str) -> str:
-        return self._any.sub(lambda m: m[1][: len(m[1]) // 2] + m[2], text)
+        return text if "\\" not in text else self._any.sub(lambda m: m[1][: len(m[1]) // 2] + m[2], text)
 
     def first(self, text: str, at: int) -> re.Match[str] | None:
         """The first control string of ``text`` from ``at`` that is not escaped."""
@@ -88,27 +92,39 @@ class ChatTokens:
     """Encodes segments and decodes them again, exactly, by a byte-level vocabulary of the tokenizers library."""
 
     def __init__(self, path: str) -> None:
-        import os
-
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.first = self.model.get_vocab_size()
-
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        found: list[list[int]] = []
-        lo, size = 0, 0
-        for i, text in enumerate(texts):
-            size += len(text)
-            if size > GROUP_BYTES or i == len(texts) - 1:
-                found += [e.ids for e in self.model.encode_batch_fast(texts[lo : i + 1], add_special_tokens=False)]
-                lo, size = i + 1, 0
-        return found
-
-    def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.model.decode_batch(ids, skip_special_tokens=False)
+        self.encoder = ByteEncoder(path)
+        model = self.encoder.model
+        model.encode_special_tokens = True
+        self.first = model.get_vocab_size()
+        byte_of = {chr(c): b for b, c in enumerate(BYTE_SIGNS.tolist())}
+        own = [b""] * self.first
+        for token, i in model.get_vocab(with_added_tokens=False).items():
+            own[i] = bytes(byte_of[c] for c in token)
+        for i, token in model.get_added_tokens_decoder().items():
+            own[i] = token.content.encode("utf-8")
+        self.bytes = pa.array(own, pa.large_binary())
+        self.heads: dict[str, np.ndarray] = {}
+
+    def head(self, role: str) -> np.ndarray:
+        """The ids before a turn's text."""
+        if role not in self.heads:
+            if len(self.heads) >= MANY_ROLES:
+                self.heads.clear()
+            ids = self.encoder.model.encode(ROLE(role), add_special_tokens=False).ids
+            self.heads[role] = np.array([self.first, *ids, self.first + 1], np.int32)
+        return self.heads[role]
+
+    def bodies(self, texts: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each text and the sign behind it."""
+        for n, ids, sizes in self.encoder(pa.array([TEXT(t) for t in texts], pa.large_string()), self.first + 2):
+            yield from np.split(ids, np.cumsum(sizes)[:-1]) if n else ()
+
+    def texts(self, ids: np.ndarray, spans: list[tuple[int, int]]) -> list[str]:
+        """The texts of spans of ids; reserved ids stand in none of them."""
+        flat = self.bytes.take(pa.array(np.where(ids < self.first, ids, 0)))
+        ends = np.frombuffer(flat.buffers()[1], np.int64)
+        data = memoryview(flat.buffers()[2] or b"")
+        return [str(data[ends[lo] : ends[hi]], "utf-8") for lo, hi in spans]
 
 
 @functools.cache
@@ -117,12 +133,9 @@ def chat_tokens(path: str) -> ChatTokens:
     return ChatTokens(path)
 
 
-def _turn_ids(roles: list[str], texts: list[str], tokens: ChatTokens) -> Iterator[tuple[list[int], int, int]]:
-    """Of each turn the ids, and where its text begins and ends in them."""
-    turn, role_end, turn_end = range(tokens.first, tokens.first + len(RESERVED))
-    for head, body in zip(tokens.encode([ROLE(r) for r in roles]), tokens.encode([TEXT(t) for t in texts])):
-        begin = len(head) + 2
-        yield [turn, *head, role_end, *body, turn_end], begin, begin + len(body)
+def _turn_ids(roles: list[str], texts: list[str], tokens: ChatTokens) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of each turn the ids before its text, and those of the text with the sign behind it."""
+    return zip(map(tokens.head, roles), tokens.bodies(texts))
 
 
 def loss_mask(sizes: np.ndarray, begins: np.ndarray, ends: np.ndarray, learned: np.ndarray) -> np.ndarray:
@@ -139,17 +152,18 @@ class _Piece:
 
     def __init__(self, conv: object, at: int, start: int) -> None:
         self.conv, self.at, self.start, self.n = conv, at, start, 0
-        self.ids: list[list[int]] = []
+        self.ids: list[np.ndarray] = []
         self.spans: list[tuple[int, int, int, bool]] = []
 
-    def add(self, ids: list[int], begin: int, end: int, learned: bool) -> None:
-        self.ids.append(ids)
-        self.spans.append((len(ids), begin, end, learned))
-        self.n += len(ids)
+    def add(self, head: np.ndarray, body: np.ndarray, learned: bool) -> None:
+        self.ids += [head, body]
+        size = len(head) + len(body)
+        self.spans.append((size, len(head), size - 1, learned))
+        self.n += size
 
     def row(self) -> tuple:
         sizes, begins, ends, learned = (np.array(c) for c in zip(*self.spans))
-        return self.conv, self.at, self.start, len(self.spans), np.concatenate([np.array(i, np.int32) for i in self.ids]), loss_mask(sizes, begins, ends, learned.astype(bool))
+        return self.conv, self.at, self.start, len(self.spans), np.concatenate(self.ids, dtype=np.int32), loss_mask(sizes, begins, ends, learned.astype(bool))
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], tokens: ChatTokens, learn: tuple[str, ...], most: int) -> Iterator[tuple]:
@@ -157,12 +171,12 @@ def _pieces(batches: Iterator[pa.RecordBatch], tokens: ChatTokens, learn: tuple[
     now: _Piece | None = None
     for batch in batches:
         convs, ranges, roles = (batch.column(c).to_pylist() for c in ("conv_id", "range", "role"))
-        for conv, at, role, (ids, begin, end) in zip(convs, ranges, roles, _turn_ids(roles, batch.column("text").to_pylist(), tokens)):
+        for conv, at, role, (head, body) in zip(convs, ranges, roles, _turn_ids(roles, batch.column("text").to_pylist(), tokens)):
             if now is None or now.conv != conv or now.n >= most:
                 if now is not None:
                     yield now.row()
                 now = _Piece(conv, at, now.start + now.n if now is not None and now.conv == conv else 0)
-            now.add(ids, begin, end, role in learn)
+            now.add(head, body, role in learn)
     if now is not None:
         yield now.row()
 
@@ -209,7 +223,7 @@ def _read_piece(ids: np.ndarray, mask: np.ndarray, tokens: ChatTokens) -> tuple[
     """The turns (role, text) of a piece, the learned texts, and the code points of the written-out form."""
     spans = _segments(ids, mask, tokens.first)
     plain = [s for s in spans if ids[s[0]] < tokens.first]
-    words = dict(zip(plain, tokens.decode([ids[lo:hi].tolist() for lo, hi, _ in plain])))
+    words = dict(zip(plain, tokens.texts(ids, [s[:2] for s in plain])))
     turns, learned, chars, parts, role = [], [], 0, [], ""
     for span in spans:
         if span in words:

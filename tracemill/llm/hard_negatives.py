@@ -60,15 +60,16 @@ def _matrix(column: pa.ChunkedArray, width: int) -> np.ndarray:
     return out
 
 
-def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact inner products of integer-valued rows, as longs."""
+def _scores(a: np.ndarray, b: np.ndarray, itself: np.ndarray) -> np.ndarray:
+    """Exact inner products of integer-valued rows, as longs; those marked as of a row with itself are not needed."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2.0**53:
         return (a @ b.T).astype(np.int64)
-    exact = np.array([[sum(int(x) * int(y) for x, y in zip(p, q)) for q in b.tolist()] for p in a.tolist()], object).reshape(len(a), len(b))
-    if exact.size and max(abs(int(x)) for x in exact.flat) >= _SIGN:
+    left, right = ([[int(x) for x in row] for row in m.tolist()] for m in (a, b))
+    exact = [[0 if same else sum(x * y for x, y in zip(p, q)) for q, same in zip(right, marks)] for p, marks in zip(left, itself.tolist())]
+    if any(not -_SIGN <= s < _SIGN for row in exact for s in row):
         raise ValueError("an inner product is beyond a long")
-    return exact.astype(np.int64)
+    return np.array(exact, np.int64).reshape(len(a), len(b))
 
 
 def _width(column: pa.ChunkedArray) -> int:
@@ -90,9 +91,10 @@ class Block:
     def each(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """Place of the anchor, its scores with all rows, and whether a row is a positive (1), a negative (0) or itself (-1)."""
         for lo in range(0, len(self.anchors), _STEP):
-            for i, score in enumerate(_scores(self.a[lo : lo + _STEP], self.b), lo):
+            itself = self.anchors[lo : lo + _STEP, None] == self.ids
+            for i, score in enumerate(_scores(self.a[lo : lo + _STEP], self.b, itself), lo):
                 kind = (self.labels == self.anchor_labels[i]).astype(np.int8)
-                kind[self.ids == self.anchors[i]] = -1
+                kind[itself[i - lo]] = -1
                 yield i, score, kind
 
 
@@ -128,7 +130,7 @@ def _keys_of(block: Block, first: dict[int, list[int]], negatives: int, least: i
         others = kind == 0
         for s in set(asked):
             if s >= 0:
-                inside = np.flatnonzero(others & (score <= s) & (100 * score >= least * s))
+                inside = np.flatnonzero(others & (score <= s) & (score >= -(-least * s // 100)))
                 wanted |= {(int(k), False) for k in _first(score, inside, negatives)}
         for k, positive in wanted:
             yield pair_key(anchor, int(score[k]), int(block.ids[k]), positive)

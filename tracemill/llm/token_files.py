@@ -54,7 +54,7 @@ _RUN_PARTS = 4096
 #: Byte-level vocabularies write printable bytes as themselves and the others, in order, from U+0100 on.
 _PRINTED = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 _OTHERS = [b for b in range(256) if b not in _PRINTED]
-_SIGNS = np.array([b if b in _PRINTED else 0x100 + _OTHERS.index(b) for b in range(256)], "<u4")
+BYTE_SIGNS = np.array([b if b in _PRINTED else 0x100 + _OTHERS.index(b) for b in range(256)], "<u4")
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -83,8 +83,8 @@ class ByteEncoder:
         self.model = Tokenizer.from_file(path)
         # the same model for words of letters after a space or a line end
         self.words, self.lines = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.words.pre_tokenizer = Split(chr(_SIGNS[ord(" ")]), "merged_with_next")
-        self.lines.pre_tokenizer = Split(chr(_SIGNS[ord(_LINE)]), "isolated")
+        self.words.pre_tokenizer = Split(chr(BYTE_SIGNS[ord(" ")]), "merged_with_next")
+        self.lines.pre_tokenizer = Split(chr(BYTE_SIGNS[ord(_LINE)]), "isolated")
         size = self.model.get_vocab_size()
         self.kind = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.entries = entries
@@ -206,7 +206,7 @@ class ByteEncoder:
         for i in range(0, len(parts), _RUN_PARTS):
             text = before + before.join(parts.slice(i, _RUN_PARTS).to_pylist())
             if signs:
-                text = _SIGNS[np.frombuffer(text.encode("utf-8"), np.uint8)].tobytes().decode("utf-32-le")
+                text = BYTE_SIGNS[np.frombuffer(text.encode("utf-8"), np.uint8)].tobytes().decode("utf-32-le")
             ids = np.array(model.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.int64)
             ends = np.searchsorted(np.cumsum(self.bytes_of[ids]), np.cumsum(lengths[i : i + _RUN_PARTS])) + 1
             flats.append(ids)
