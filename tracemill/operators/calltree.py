@@ -99,7 +99,7 @@ def _stack(pdf: pd.DataFrame) -> Stack:
 
 def _summary(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     rows = reduced(_rows(pdf))
-    return pd.DataFrame({"trace_id": [key[0]] * len(rows), "node": [key[1]] * len(rows), **dict(zip(("seq", "func", "event"), map(list, zip(*rows)) if rows else ([], [], [])))})
+    return _frame([(*key, *row) for row in rows], _EVENT, ("seq",))
 
 
 def _open_rows(trace: int, node: int, stack: Stack) -> list[list]:
@@ -108,7 +108,7 @@ def _open_rows(trace: int, node: int, stack: Stack) -> list[list]:
 
 def _frame(rows: list, schema: str, whole: tuple[str, ...]) -> pd.DataFrame:
     names = [c.split()[0] for c in schema.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in whole})
+    return pd.DataFrame(rows, columns=names, dtype=object).astype({c: "Int64" for c in whole})
 
 
 def activations(events: DataFrame, chunk: int = ACTIVATION_CHUNK, fan: int = FAN) -> DataFrame:

@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import ast
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..sources.shared import shared_path
-from ..functions import compare as c
 from ..functions.literals import canonical_json
+from ..sources.shared import shared_path
 from .joins import suffix_pairs
-from .trace import invocations
+from .trace import path_digest, trace_edges
 
 
 def depth_class(depth: Column) -> Column:
@@ -17,20 +21,6 @@ def depth_class(depth: Column) -> Column:
     return F.when(depth < 0, "upstream").when(depth == 0, "target").when(depth == 1, "direct").otherwise("deeper")
 
 
-def shortest_depths(edges: DataFrame, roots: DataFrame, rounds: int) -> DataFrame:
-    """func, depth: least number of calls from a root; one join a round, up to ``rounds`` deep.
-
-    The frontier holds only functions not met before, so each edge is used once.
-    """
-    seen = roots.select("func").distinct().withColumn("depth", F.lit(0))
-    frontier = seen
-    for k in range(1, rounds + 1):
-        reached = edges.join(frontier.select(F.col("func").alias("caller")), "caller").select(F.col("callee").alias("func")).distinct()
-        frontier = reached.join(seen.select("func"), "func", "left_anti").withColumn("depth", F.lit(k))
-        seen = seen.union(frontier)
-    return seen
-
-
 def depths_from_roots(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """module, root, func, depth: least number of calls from each root within its module, until no function is new.
 
@@ -63,11 +53,34 @@ def seen_lines(required: DataFrame, seen: DataFrame) -> DataFrame:
     return _lines(read.withColumnRenamed("file_a", "file"), "instance_id", "file")
 
 
-def coverage(executed: DataFrame, seen: DataFrame, sufficient: float = 0.9) -> DataFrame:
-    """Recall of executed lines (instance_id, file, line) and whether enough of them was read."""
-    marked = executed.distinct().join(seen.withColumn("_s", F.lit(1)), ["instance_id", "file", "line"], "left")
-    return marked.groupBy("instance_id").agg(F.count("*").alias("lines"), F.count("_s").alias("read")).select(
-        "instance_id", "lines", "read", (F.col("read") / F.col("lines")).alias("recall"), (F.col("read") / F.col("lines") >= sufficient).alias("sufficient"))
+CLASSES = ["target", "direct", "deeper"]
+
+
+def class_coverage(functions: DataFrame, seen: DataFrame) -> DataFrame:
+    """instance_id, class, functions, functions_read, lines, lines_read, recall of executed functions by class of depth.
+
+    ``functions``: instance_id, file, function, depth, line, a row for each executed line;
+    ``seen``: instance_id, file, line. A function is read if every line of it was.
+    """
+    lines = functions.select("instance_id", "file", "function", depth_class(F.col("depth")).alias("class"), "line").distinct()
+    marked = lines.join(seen.select("instance_id", "file", "line").distinct().withColumn("_s", F.lit(1)), ["instance_id", "file", "line"], "left")
+    each = marked.groupBy("instance_id", "class", "file", "function").agg(F.count("*").alias("n"), F.count("_s").alias("hit"))
+    return each.groupBy("instance_id", "class").agg(
+        F.count("*").alias("functions"), F.count_if(F.col("hit") == F.col("n")).alias("functions_read"), F.sum("n").alias("lines"), F.sum("hit").alias("lines_read")).withColumn(
+        "recall", F.col("lines_read") / F.col("lines"))
+
+
+def coverage(functions: DataFrame, seen: DataFrame) -> DataFrame:
+    """instance_id, required_functions, required_lines, recall, function_recall, sufficient: the target, direct and deeper classes together.
+
+    Reading is sufficient if every required function was read whole; upstream code is not required.
+    """
+    own = F.col("class").isin(CLASSES)
+    part = lambda c: F.coalesce(F.sum(F.when(own, F.col(c))), F.lit(0))
+    agg = class_coverage(functions, seen).groupBy("instance_id").agg(*[part(c).alias(c) for c in ("functions", "functions_read", "lines", "lines_read")])
+    return agg.select(
+        "instance_id", F.col("functions").alias("required_functions"), F.col("lines").alias("required_lines"), (F.col("lines_read") / F.nullif("lines", F.lit(0))).alias("recall"),
+        (F.col("functions_read") / F.nullif("functions", F.lit(0))).alias("function_recall"), ((F.col("functions") > 0) & (F.col("functions_read") == F.col("functions"))).alias("sufficient"))
 
 
 def read_precision(executed: DataFrame, seen: DataFrame) -> DataFrame:
@@ -76,14 +89,24 @@ def read_precision(executed: DataFrame, seen: DataFrame) -> DataFrame:
     return marked.groupBy("instance_id").agg((F.count("_x") / F.count("*")).alias("precision"))
 
 
-def required_recall(ranges: DataFrame, seen: DataFrame, enough: float = 0.9) -> DataFrame:
-    """Entries read at ``enough`` of their lines, over all and over essential entries."""
-    lines = _lines(ranges, "instance_id", "file", "range_id", "necessity").join(seen.withColumn("_s", F.lit(1)), ["instance_id", "file", "line"], "left")
-    entry = lines.groupBy("instance_id", "range_id", "necessity").agg((F.count("_s") / F.count("*")).alias("share"))
-    ok, essential = F.col("share") >= enough, F.col("necessity") == "essential"
+def required_recall(ranges: DataFrame, seen: DataFrame, enough: float = 0.9, code: DataFrame | None = None) -> DataFrame:
+    """Entries read at ``enough`` of their lines, over all and over essential entries; ``complete`` if all were.
+
+    With ``code`` (file, line) only lines that carry code count; an entry without any keeps all its lines.
+    """
+    lines = _lines(ranges, "instance_id", "file", "range_id", "necessity")
+    if code is not None:
+        marked = lines.join(code.select("file", "line").distinct().withColumn("_c", F.lit(1)), ["file", "line"], "left")
+        some = F.count("_c").over(Window.partitionBy("instance_id", "range_id"))  # one entry's lines
+        lines = marked.withColumn("_n", some).where("_c is not null or _n = 0").drop("_c", "_n")
+    lines = lines.join(seen.withColumn("_s", F.lit(1)), ["instance_id", "file", "line"], "left")
+    entry = lines.groupBy("instance_id", "range_id", "necessity").agg(F.count("*").alias("n"), F.count("_s").alias("hit"))
+    ok, essential = F.col("hit") >= enough * F.col("n"), F.col("necessity") == "essential"
     return entry.groupBy("instance_id").agg(
         F.count("*").alias("entries"), F.count_if(ok).alias("read_entries"), (F.count_if(ok) / F.count("*")).alias("recall"),
-        F.when(F.count_if(essential) > 0, F.count_if(ok & essential) / F.count_if(essential)).alias("essential_recall"))
+        F.when(F.count_if(essential) > 0, F.count_if(ok & essential) / F.count_if(essential)).alias("essential_recall"),
+        F.sum("n").alias("lines"), F.sum("hit").alias("lines_read"), (F.count_if(ok) == F.count("*")).alias("complete"),
+        ((F.count_if(essential) > 0) & (F.count_if(ok & essential) == F.count_if(essential))).alias("essential_complete"))
 
 
 def downgraded(entries: DataFrame, test_names: DataFrame) -> DataFrame:
@@ -94,33 +117,55 @@ def downgraded(entries: DataFrame, test_names: DataFrame) -> DataFrame:
     return named.withColumn("necessity", F.when(short & F.col("_t").isNotNull(), "supporting").otherwise(F.col("necessity"))).drop("_n", "_t")
 
 
-def code_lines(lines: DataFrame) -> DataFrame:
-    """(file, line, text) without blank lines and comment lines."""
-    return lines.where(~F.col("text").rlike(r"^\s*(#.*)?$"))
+def docstring_lines(files: DataFrame) -> DataFrame:
+    """file, line of the docstrings of modules, classes and functions of Python files (file, text); other texts have none."""
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for file, text in zip(pdf["file"], pdf["text"]):
+                try:
+                    tree = ast.parse(text or "")
+                except (SyntaxError, ValueError, MemoryError, RecursionError):
+                    continue
+                for node in ast.walk(tree):
+                    if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and node.body:
+                        first = node.body[0]
+                        if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
+                            rows += [(file, n) for n in range(first.lineno, first.end_lineno + 1)]
+            yield pd.DataFrame(rows, columns=["file", "line"])
+
+    kind = files.schema["file"].dataType
+    return files.select("file", "text").mapInPandas(of, T.StructType([T.StructField("file", kind), T.StructField("line", T.LongType())]))
+
 
+def code_lines(files: DataFrame) -> DataFrame:
+    """file, line of (file, text): lines, from 1, that are not blank, a comment or part of a docstring."""
+    lines = files.select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "text")).where(~F.col("text").rlike(r"^\s*(#.*)?$"))
+    return lines.select("file", (F.col("pos") + 1).cast("long").alias("line")).join(docstring_lines(files), ["file", "line"], "left_anti")
 
-def two_by_two(rows: DataFrame, a: Column, b: Column) -> DataFrame:
-    return rows.groupBy(a.alias("a"), b.alias("b")).agg(F.count("*").alias("n"))
 
+def coverage_summary(rows: DataFrame, means: list[str], rates: list[str]) -> DataFrame:
+    """scope, name, instances, means (nulls skipped) and rates: overall, correct, wrong and by category.
 
-def line_set_f1(expected: DataFrame, predicted: DataFrame, by: list[str]) -> DataFrame:
-    """f1 of two sets of lines for each checkpoint."""
-    both = expected.select(*by, "line").distinct().withColumn("_e", F.lit(1)).join(predicted.select(*by, "line").distinct().withColumn("_p", F.lit(1)), [*by, "line"], "full")
-    agg = both.groupBy(*by).agg(F.count("_e").alias("e"), F.count("_p").alias("p"), F.count_if(F.col("_e").isNotNull() & F.col("_p").isNotNull()).alias("h"))
-    n = [F.col("h"), F.col("p"), F.col("e")]
-    return agg.select(*by, c.f1(c.precision(*n), c.recall(*n)).alias("score"))
+    ``rows``: category, correct (null without an answer), the columns named. An instance without an answer counts in its category and overall.
+    """
+    each = F.array_compact(F.array(
+        F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("name")),
+        F.when(F.col("correct").isNotNull(), F.struct(F.lit("answer").alias("scope"), F.when(F.col("correct"), "correct").otherwise("wrong").alias("name"))),
+        F.struct(F.lit("category").alias("scope"), F.coalesce(F.col("category").cast("string"), F.lit("unknown")).alias("name"))))
+    scoped = rows.withColumn("_s", F.explode(each)).select("*", "_s.scope", "_s.name")
+    return scoped.groupBy("scope", "name").agg(
+        F.count("*").alias("instances"), *[F.avg(m).alias(m) for m in means], *[F.avg(F.coalesce(F.col(r), F.lit(False)).cast("double")).alias(f"{r}_rate") for r in rates])
 
 
-def checkpoint_score(kind: Column, expected: Column, answer: Column, accepted: Column) -> Column:
-    """Credit of a scalar checkpoint: whole numbers and lines must be equal (a line may be any accepted one), names by last component."""
-    whole = answer.try_cast("long")
-    last = lambda x: F.element_at(F.split(F.trim(x), r"\."), -1)
-    ok = (
-        F.when(kind == "int", whole == expected.try_cast("long"))
-        .when(kind == "line", (whole == expected.try_cast("long")) | F.array_contains(accepted, whole))
-        .when(kind == "enum", F.lower(F.trim(answer)) == F.lower(expected))
-        .when(kind == "name", last(answer) == last(expected)).otherwise(answer == expected))
-    return F.coalesce(ok, F.lit(False)).cast("double")
+def correctness_table(rows: DataFrame, condition: str) -> DataFrame:
+    """One row: instances, how many meet the condition, and each combination with a right or wrong answer; unanswered apart. Null is not met."""
+    met, right = F.coalesce(F.col(condition), F.lit(False)), F.col("correct")
+    return rows.agg(
+        F.count("*").alias("instances"), F.count_if(met).alias("met"), F.count_if(met & right).alias("met_correct"), F.count_if(met & ~right).alias("met_wrong"),
+        F.count_if(~met & right).alias("unmet_correct"), F.count_if(~met & ~right).alias("unmet_wrong"), F.count_if(right.isNull()).alias("no_answer"),
+        (F.count_if(met) / F.nullif(F.count("*"), F.lit(0))).alias("met_rate"))
 
 
 def level_results(scores: DataFrame) -> DataFrame:
@@ -139,11 +184,6 @@ def ladder(levels: DataFrame) -> DataFrame:
                       (F.col("_fail").isNull() | F.col("_pass").isNull() | (F.col("_pass") < F.col("_fail"))).alias("monotone"))
 
 
-def ladder_summary(ladders: DataFrame, by: list[str]) -> DataFrame:
-    return ladders.groupBy(*by).agg(F.count("*").alias("n"), F.avg("depth").alias("mean_depth"), F.avg(F.col("monotone").cast("double")).alias("monotone_rate"),
-                                    F.count("first_failed").alias("failed"))
-
-
 def source_pool(instances: DataFrame, validated: DataFrame, rejected: DataFrame, passing: DataFrame | None = None) -> DataFrame:
     """Easy, validated instances that were not rejected, optionally only passing ones."""
     pool = instances.where(F.col("label") == "easy").join(validated, "instance_id", "left_semi").join(rejected, "instance_id", "left_anti")
@@ -155,24 +195,59 @@ def canonical_changed(a: Column, b: Column) -> Column:
     return canonical_json(a) != canonical_json(b)
 
 
-def checkpoints(events: DataFrame) -> DataFrame:
-    """trace_id, checkpoint, func, value in long form: calls, first line, executed lines, exit kind and exit line of each function."""
-    inner = invocations(events).where("inv > 0")
-    per = inner.groupBy("trace_id", "func").agg(
-        F.max("inv").alias("calls"), F.min_by("line", "seq").alias("first_line"), F.count_distinct(F.when(F.col("event") == "line", F.col("line"))).alias("executed_lines"),
-        F.max_by("event", "seq").alias("exit_kind"), F.max_by("line", "seq").alias("exit_line"))
-    names = ["calls", "first_line", "executed_lines", "exit_kind", "exit_line"]
-    return per.select("trace_id", "func", F.explode(F.array(*[F.struct(F.lit(n).alias("checkpoint"), F.col(n).cast("string").alias("value")) for n in names])).alias("c")).select(
-        "trace_id", "func", "c.checkpoint", "c.value")
+# The order of difficulty labels that a goal asks for.
+GOALS = {"medium": 1, "hard": 2, "very_hard": 3}
+METRICS = ["semantic_reasoning", "answer_construction", "repository_navigation"]
+
 
+def score_deltas(rows: DataFrame, metrics: list[str], goal: str = "increased", combined: str = "combined", label: str = "label", all_up: bool = False) -> DataFrame:
+    """``rows`` with d_<metric> to three digits, increased, all_up and target_met.
 
-def score_deltas(rows: DataFrame, metrics: list[str], goal: Column | None = None) -> DataFrame:
-    """Deltas of perturbed against original scores, whether all went up, and whether the goal is met."""
-    deltas = {f"d_{m}": F.col(f"new_{m}") - F.col(f"old_{m}") for m in metrics}
+    Columns old_<m> and new_<m> for the metrics and ``combined``, and the new ``label``.
+    The goal is none, increased, or a label to be reached by an increase; with ``all_up``
+    any goal but none asks for an increase of every metric besides. A row without a new
+    combined score meets no goal.
+    """
+    if goal not in ("none", "increased", *GOALS):
+        raise ValueError(f"no such goal: {goal}")
+    number = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    deltas = {f"d_{m}": F.bround(number(f"new_{m}") - number(f"old_{m}"), 3) for m in [*metrics, combined]}
+    out = rows.withColumns(deltas).withColumn("increased", F.col(f"d_{combined}") > 0)
     up = F.lit(True)
     for m in metrics:
-        up = up & (F.col(f"new_{m}") > F.col(f"old_{m}"))
-    return rows.withColumns(deltas).withColumns({"all_up": up, "target_met": up if goal is None else goal})
+        up = up & (F.col(f"d_{m}") > 0)
+    rank = F.array_position(F.array(*map(F.lit, ["easy", "medium", "hard", "very_hard"])), F.col(label)) - 1
+    met = F.lit(True) if goal == "none" else F.col("increased") if goal == "increased" else F.col("increased") & (F.coalesce(rank, F.lit(-1)) >= GOALS[goal])
+    if all_up and goal != "none":
+        met = met & up
+    return out.withColumns({"all_up": up, "target_met": F.coalesce(F.col(f"new_{combined}").isNotNull() & met, F.lit(False))})
+
+
+def trace_changes(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """trace_id, baseline_id, line_events, baseline_line_events, trace_ratio, new_lines, new_edges, same_path of each pair of traces.
+
+    The ratio is that of the line events, to three digits (null without any in the
+    baseline); lines and edges are counted that the baseline does not have; paths are
+    compared by digest. Joins on (trace, line) and (trace, edge), so a pair costs its own rows.
+    """
+    seen = pairs.select("trace_id", "baseline_id").distinct()
+    counts = events.groupBy("trace_id").agg(F.count_if(F.col("event") == "line").alias("n"))
+    digests = path_digest(events).select("trace_id", "steps", "digest")
+    lines = events.where(F.col("event") == "line").select("trace_id", "file", "line").distinct()
+
+    def beyond(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+        own = seen.join(rows, "trace_id")
+        base = seen.join(rows.withColumnRenamed("trace_id", "baseline_id"), "baseline_id").select("trace_id", "baseline_id", *keys)
+        return own.join(base, ["trace_id", "baseline_id", *keys], "left_anti").groupBy("trace_id", "baseline_id").agg(F.count("*").alias(name))
+
+    base = lambda df: df.select(F.col("trace_id").alias("baseline_id"), *[F.col(c).alias(f"b_{c}") for c in df.columns if c != "trace_id"])
+    both = ["trace_id", "baseline_id"]
+    out = seen.join(counts, "trace_id", "left").join(base(counts), "baseline_id", "left").join(digests, "trace_id", "left").join(base(digests), "baseline_id", "left")
+    out = out.join(beyond(lines, ["file", "line"], "new_lines"), both, "left").join(beyond(trace_edges(events), ["file", "func", "src", "dst"], "new_edges"), both, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return out.select(
+        *both, zero("n").alias("line_events"), zero("b_n").alias("baseline_line_events"), F.bround(zero("n") / F.nullif(zero("b_n"), F.lit(0)), 3).alias("trace_ratio"),
+        zero("new_lines").alias("new_lines"), zero("new_edges").alias("new_edges"), (F.col("steps").eqNullSafe(F.col("b_steps")) & F.col("digest").eqNullSafe(F.col("b_digest"))).alias("same_path"))
 
 
 def flips(original: DataFrame, perturbed: DataFrame) -> DataFrame:
@@ -191,8 +266,21 @@ def first_failing_gate(gates: list[tuple[str, Column]]) -> Column:
 
 
 def funnel(attempts: DataFrame) -> DataFrame:
-    """gate, n: how many attempts ended where."""
-    return attempts.groupBy("gate").agg(F.count("*").alias("n"))
+    """One row: the counts of the attempts, and the upper median of the trace ratios of the harvested.
+
+    Columns: stage (harvest, screen, complexity, flip, kept), oracle_changed, trace_changed,
+    target_met, increased, flipped (null: not checked), trace_ratio (0: not harvested),
+    infra_error, cost.
+    """
+    kept, at = F.col("stage") == "kept", lambda s: F.count_if(F.col("stage") == s)
+    counts = attempts.agg(
+        F.count("*").alias("attempts"), F.count_if(kept).alias("kept"), at("harvest").alias("harvest_failures"), at("screen").alias("screening_failures"), at("complexity").alias("complexity_failures"),
+        F.count_if(~F.col("oracle_changed")).alias("oracle_unchanged"), F.count_if(kept & F.col("oracle_changed")).alias("oracle_changed"), F.count_if(kept & F.col("trace_changed")).alias("trace_changed"),
+        F.count("target_met").alias("complexity_checked"), F.count_if("increased").alias("complexity_increased"), F.count_if("target_met").alias("complexity_target_met"),
+        F.count_if(F.col("trace_ratio") > 1).alias("longer"), F.count_if((F.col("trace_ratio") > 0) & (F.col("trace_ratio") < 1)).alias("shorter"),
+        F.count("flipped").alias("flip_checked"), F.count_if("flipped").alias("flipped"), F.count_if("infra_error").alias("flip_infra_errors"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("flip_cost"))
+    middle = upper_median(attempts.where("trace_ratio <> 0").withColumn("_all", F.lit(1)), ["_all"], "trace_ratio").select("upper_median")
+    return counts.join(middle, how="left").withColumn("median_trace_ratio", F.coalesce("upper_median", F.lit(0.0))).drop("upper_median")  # one row each
 
 
 def upper_median(rows: DataFrame, by: list[str], value: str) -> DataFrame:

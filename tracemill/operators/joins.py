@@ -50,6 +50,28 @@ def backfill(plan: DataFrame, manifest: DataFrame, targets: DataFrame, key: str,
     return both.select(key, *[F.coalesce(c, f"_t_{c}").alias(c) for c in columns])
 
 
+# Fixed value: what heads the metrics of a target in a prompt.
+PROMPT_METRICS = r"Structural metrics of the target \(from static analysis\):\s*\n\s*(\{[^\n]+\})"
+
+
+def plan_entries(plan: DataFrame, manifest: DataFrame, targets: DataFrame, prompts: DataFrame) -> DataFrame:
+    """instance_id, category, file, qualname, metrics, origin: the plan, and what the manifest names besides.
+
+    ``plan``: instance_id, category, file, qualname, metrics; ``manifest``: instance_id,
+    category, file, qualname; ``targets``: file, qualname, metrics (JSON; one of each
+    target counts); ``prompts``: instance_id, text. An instance without a target takes the
+    metrics that its prompt states, {} where they are none or not JSON.
+    """
+    lacking = manifest.where("instance_id is not null and instance_id <> ''").join(plan.select("instance_id"), "instance_id", "left_anti").dropDuplicates(["instance_id"])
+    known = targets.groupBy("file", "qualname").agg(F.max("metrics").alias("known"))
+    told = prompts.groupBy("instance_id").agg(F.max("text").alias("text"))
+    stated = F.regexp_extract("text", PROMPT_METRICS, 1)
+    stated = F.when(F.coalesce(F.try_parse_json(stated).isNotNull(), F.lit(False)), stated).otherwise(F.lit("{}"))
+    made = lacking.join(known, ["file", "qualname"], "left").join(told, "instance_id", "left").select(
+        "instance_id", "category", "file", "qualname", F.coalesce("known", stated).alias("metrics"), F.when(F.col("known").isNotNull(), "target").otherwise("prompt").alias("origin"))
+    return plan.select("instance_id", "category", "file", "qualname", "metrics", F.lit("plan").alias("origin")).unionByName(made)
+
+
 def caller_hops(edges: DataFrame, cap: int = 6) -> DataFrame:
     """module, func, callers and callers of callers in the module, without the function itself and those seen before."""
     one = edges.where("caller <> callee").select("module", F.col("callee").alias("func"), "caller").distinct()

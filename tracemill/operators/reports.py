@@ -35,6 +35,24 @@ def field_summary(fields: DataFrame, by: str, metrics: list[str]) -> DataFrame:
                                   *[F.avg(F.when(failed, F.col(m))).alias(f"failed_{m}") for m in metrics])
 
 
+# What is averaged over the failed fields of a shape.
+FIELD_METRICS = ["key_f1", "value_accuracy", "prefix_ratio", "relative_error", "median_relative_error", "precision", "recall"]
+
+
+def shape_summary(fields: DataFrame) -> DataFrame:
+    """shape, fields, mean_score, labels (label:count, in order), failed_mean_<metric> of the seven metrics over the fields that are not correct.
+
+    ``fields``: shape, label, score and the metrics, null where a shape has none of them.
+    """
+    failed = F.col("label") != "correct"
+    by_label = fields.groupBy("shape", "label").agg(
+        F.count("*").alias("n"), F.sum("score").alias("score"), *[F.sum(F.when(failed, F.col(m))).alias(m) for m in FIELD_METRICS], *[F.count(F.when(failed, F.col(m))).alias(f"n_{m}") for m in FIELD_METRICS])
+    return by_label.groupBy("shape").agg(
+        F.sum("n").alias("fields"), (F.sum("score") / F.sum("n")).alias("mean_score"),
+        F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "label", F.col("n").cast("string")))), ",").alias("labels"),
+        *[(F.sum(m) / F.nullif(F.sum(f"n_{m}"), F.lit(0))).alias(f"failed_mean_{m}") for m in FIELD_METRICS])
+
+
 def answer_statistics(leaves: DataFrame) -> DataFrame:
     """Per answer: leaves, top-level fields, elements of lists, longest list, depth, characters, digits."""
     path = F.col("path")
@@ -136,6 +154,78 @@ def required_profile(entries: DataFrame, executed: DataFrame) -> DataFrame:
     return counts.join(ran, "instance_id").select("instance_id", "entries", "essential", "supporting", "lines", (F.col("ran") / F.col("lines")).alias("executed_share"))
 
 
+# Roles of required code, and how it was verified.
+ROLES, VERIFIED = ["target", "callee", "data", "configuration", "other"], ["executed", "trace", "read"]
+
+
+def required_description(entries: DataFrame, executed: DataFrame) -> DataFrame:
+    """Per instance how the required code relates to what ran: entries, files, lines, executed lines, roles, verification, reach.
+
+    ``entries``: instance_id, file, start_line, end_line, role, necessity, verified (others
+    than the known values count as other, essential and none); ``executed``: instance_id,
+    file, line, depth. ``reachable_share``: of the lines executed at or below the target
+    (depth of 0 or more), those that some entry requires.
+    """
+    role = F.when(F.col("role").isin(ROLES), F.col("role")).otherwise("other")
+    own = entries.withColumns({"role": role, "essential": ~F.coalesce(F.col("necessity") == "supporting", F.lit(False))})
+    counts = own.groupBy("instance_id").agg(
+        F.count("*").alias("entries"), F.count_if("essential").alias("essential_entries"), F.count_distinct("file").alias("files"),
+        *[F.count_if(F.col("role") == r).alias(f"role_{r}") for r in ROLES], *[F.count_if(F.col("verified") == v).alias(f"verified_{v}") for v in VERIFIED])
+    lines = own.select("instance_id", "file", "essential", F.explode(F.sequence("start_line", "end_line")).alias("line")).groupBy("instance_id", "file", "line").agg(F.bool_or("essential").alias("essential"))
+    ran = executed.groupBy("instance_id", "file", "line").agg(F.bool_or(F.col("depth") >= 0).alias("reachable"))
+    both = lines.withColumn("_q", F.lit(1)).join(ran.withColumn("_x", F.lit(1)), ["instance_id", "file", "line"], "full")
+    q, x, near = F.col("_q").isNotNull(), F.col("_x").isNotNull(), F.coalesce("reachable", F.lit(False))
+    sums = both.groupBy("instance_id").agg(
+        F.count_if(q).alias("lines"), F.count_if(q & F.col("essential")).alias("essential_lines"), F.count_if(q & x).alias("executed_lines"),
+        (F.count_if(q & near) / F.nullif(F.count_if(near), F.lit(0))).alias("reachable_share"))
+    return counts.join(sums, "instance_id")
+
+
+def required_corpus(described: DataFrame) -> DataFrame:
+    """One row: analysed instances, upper median of their lines, mean of the reachable share (nulls skipped)."""
+    counted = described.groupBy("lines").agg(F.count("*").alias("n"))
+    up_to = F.sum("n").over(Window.orderBy("lines").rowsBetween(Window.unboundedPreceding, Window.currentRow))  # as many rows as there are lengths
+    middle = counted.withColumns({"c": up_to, "t": F.sum("n").over(Window.partitionBy())}).where("c > floor(t / 2)").agg(F.min("lines").alias("median_lines"))
+    return described.agg(F.count("*").alias("analysed"), F.avg("reachable_share").alias("mean_reachable_share")).join(middle, how="left").select("analysed", "median_lines", "mean_reachable_share")
+
+
+def tier_costs(costs: DataFrame) -> DataFrame:
+    """tier, instances, rollouts, zero_cost_rollouts, cost, per_instance, per_rollout, and a row for all tiers (null tier); an unknown cost is none."""
+    paid = costs.select("tier", "instance_id", F.coalesce("cost", F.lit(0.0)).alias("cost"))
+    by_instance = paid.groupBy("tier", "instance_id").agg(F.count("*").alias("rollouts"), F.count_if(F.col("cost") == 0).alias("zero"), F.sum("cost").alias("cost"))
+    rolled = by_instance.rollup("tier").agg(F.count("*").alias("instances"), F.sum("rollouts").alias("rollouts"), F.sum("zero").alias("zero_cost_rollouts"), F.sum("cost").alias("cost"))
+    return rolled.withColumns({"per_instance": F.col("cost") / F.col("instances"), "per_rollout": F.col("cost") / F.col("rollouts")})
+
+
+def pipeline_costs(generation: DataFrame, validation: DataFrame, kept: DataFrame) -> DataFrame:
+    """One row: generated, kept, both costs and their sum, for each generated and each surviving instance. (instance_id, cost) each."""
+    g = generation.agg(F.count_distinct("instance_id").alias("generated"), F.coalesce(F.sum("cost"), F.lit(0.0)).alias("generation_cost"))
+    v, k = validation.agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("validation_cost")), kept.agg(F.count_distinct("instance_id").alias("kept"))
+    total = F.col("generation_cost") + F.col("validation_cost")
+    return g.join(v, how="left").join(k, how="left").select(  # one row each
+        "*", total.alias("cost"), (total / F.nullif("generated", F.lit(0))).alias("per_generated"), (total / F.nullif("kept", F.lit(0))).alias("per_survivor"))
+
+
+def verified_report(records: DataFrame, difficulties: list[str], named: Column) -> DataFrame:
+    """variant, scope, name, total, answer_files, missing_answer_files, correct, incorrect, accuracy.
+
+    ``records``: instance_id, repository, category, verified, answered, correct (null is
+    wrong), and a column of labels for each of ``difficulties``. The strict variant holds verified
+    instances, overall, by repository, category and label; the sensitivity variant adds
+    ``named`` unverified ones without an answer as wrong, overall and by label.
+    """
+    right = F.coalesce(F.col("correct") & F.col("answered"), F.lit(False))
+    strict, extra = F.col("verified"), ~F.col("verified") & named & ~F.col("answered")
+    labels = [F.struct(F.lit(f"difficulty {d}").alias("scope"), F.coalesce(F.col(d), F.lit("unknown")).alias("name")) for d in difficulties]
+    whole = F.struct(F.lit("overall").alias("scope"), F.lit("all").alias("name"))
+    scopes = F.array(whole, F.struct(F.lit("repository").alias("scope"), F.col("repository").alias("name")), F.struct(F.lit("category").alias("scope"), F.col("category").alias("name")), *labels)
+    rows = records.where(strict).select(F.lit("strict").alias("variant"), F.explode(scopes).alias("s"), "answered", right.alias("ok"))
+    more = records.where(strict | extra).select(F.lit("sensitivity").alias("variant"), F.explode(F.array(whole, *labels)).alias("s"), "answered", right.alias("ok"))
+    agg = rows.unionByName(more).groupBy("variant", "s.scope", "s.name").agg(F.count("*").alias("total"), F.count_if("answered").alias("answer_files"), F.count_if("ok").alias("correct"))
+    return agg.select("variant", "scope", "name", "total", "answer_files", (F.col("total") - F.col("answer_files")).alias("missing_answer_files"), "correct",
+                      (F.col("total") - F.col("correct")).alias("incorrect"), (F.col("correct") / F.col("total")).alias("accuracy"))
+
+
 def verified_with_unanswered(verified: DataFrame, answers: DataFrame, by: list[str]) -> DataFrame:
     """Accuracy over verified instances; one without an answer counts as wrong."""
     return verified.join(answers, "instance_id", "left").withColumn("ok", F.coalesce("correct", F.lit(False))).groupBy(*by).agg(

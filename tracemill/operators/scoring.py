@@ -7,6 +7,7 @@ Element tables are (answer_id, pos, token, measure); everything is keyed by
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -220,45 +221,61 @@ def accuracy_buckets(oracle: DataFrame, predicted: DataFrame, valid: Column, cor
         F.count_if(o & p & ~sure(valid)).alias("invalid_prediction"), F.count_if(o & p & sure(valid) & sure(correct)).alias("correct"))
 
 
-@F.pandas_udf(T.StringType())
-def final_json(text: pd.Series) -> pd.Series:
-    """The answer in a model's text: the whole, else the last fenced block that parses, else the last balanced object."""
-    import re
+# What heads the answer of a reasoned reply; a fenced object; objects and lists of two levels.
+ANSWER_HEAD = "## Answer"
+FENCED_OBJECT = r"```(?:json)?\s*(\{.*?\})\s*```"
+SHALLOW = [r"\{[^{}]*(?:\{[^{}]*\}[^{}]*)*\}", r"\[[^\[\]]*(?:\[[^\[\]]*\][^\[\]]*)*\]"]
 
-    def parses(s: str) -> bool:
+
+def _parses(text: str) -> bool:
+    try:
+        json.loads(text)
+    except ValueError:
+        return False
+    return True
+
+
+def _first_json(text: str) -> str | None:
+    """A text that is JSON as a whole, else its first fenced object if that is JSON, else its first object."""
+    whole = text.strip()
+    if whole and _parses(whole):
+        return whole
+    fenced = re.search(FENCED_OBJECT, whole, re.DOTALL | re.IGNORECASE)
+    if fenced and _parses(fenced[1]):
+        return fenced[1]
+    decoder, at = json.JSONDecoder(), whole.find("{")
+    while at >= 0:
         try:
-            json.loads(s)
+            return whole[at : decoder.raw_decode(whole, at)[1]]
         except ValueError:
-            return False
-        return True
+            at = whole.find("{", at + 1)
+    return None
 
-    def find(t: str | None) -> str | None:
-        if not t:
-            return None
-        if parses(t.strip()):
-            return t.strip()
-        tail = t[t.rfind("## Answer") + 9:] if "## Answer" in t else t
-        fenced = [b for b in re.findall(r"```(?:json)?\s*([\s\S]*?)```", tail) if parses(b.strip())]
-        if fenced:
-            return fenced[-1].strip()
-        decoder, found, at = json.JSONDecoder(), None, tail.find("{")
-        while at >= 0:
-            try:
-                _, end = decoder.raw_decode(tail, at)
-                found, at = tail[at:end], tail.find("{", end)
-            except ValueError:
-                at = tail.find("{", at + 1)
-        return found
-
-    return text.map(find)
-
-
-def conforms(template_leaves: DataFrame, answer_leaves: DataFrame) -> DataFrame:
-    """answer_id, conforms: every leaf path of the template, list places as [*], occurs in the answer."""
-    anyplace = lambda d: d.select("answer_id", F.regexp_replace("path", r"\[\d+\]", "[*]").alias("path")).distinct()
-    lacking = anyplace(template_leaves).join(anyplace(answer_leaves), ["answer_id", "path"], "left_anti").select("answer_id").distinct()
-    return template_leaves.select("answer_id").distinct().join(lacking.withColumn("_l", F.lit(True)), "answer_id", "left").select(
-        "answer_id", F.col("_l").isNull().alias("conforms"))
+
+def _last_json(text: str) -> str | None:
+    """Behind the last head, the last object, else the last list, else what the whole gives."""
+    _, head, tail = text.rpartition(ANSWER_HEAD)
+    tail = re.sub(r"^```(?:json)?\s*", "", tail.strip(), flags=re.MULTILINE)
+    tail = re.sub(r"\s*```$", "", tail, flags=re.MULTILINE).strip()
+    for pattern in SHALLOW:
+        found = re.findall(pattern, tail, re.DOTALL)
+        if found and _parses(found[-1]):
+            return found[-1]
+    return tail if _parses(tail) else _first_json(tail if head else text)
+
+
+def final_json(text: Column, mode: str = "json") -> Column:
+    """The answer in a model's text, as JSON text; null where there is none.
+
+    In ``json`` mode the first object counts, in ``reasoning`` mode the last one behind the answer's head.
+    """
+    find = {"json": _first_json, "reasoning": _last_json}[mode]
+
+    @F.pandas_udf(T.StringType())
+    def found(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: find(t) if t else None)
+
+    return found(text)
 
 
 def unordered_equal(expected: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -9,11 +9,20 @@ from pyspark.sql import functions as F
 
 #: A rule gives (passed, reason) as columns over the item's row.
 Rule = Callable[[], tuple[Column, Column]]
-# Signatures of failed infrastructure, the first that is found names the cause.
+# Signatures of a provider's refusal in a log; the first that is found names the cause.
 INFRASTRUCTURE = [
-    ("session limit", "rate_limit"), ("rate limit", "rate_limit"), ("usage limit", "rate_limit"), ("timed out", "timeout"), ("timeout", "timeout"),
-    ("connection", "network"), ("container", "container"), ("out of memory", "memory"), ("no answer", "no_answer"),
+    ("out of usage credits", "provider usage limit"), ("usage limit reached", "provider usage limit"), ("credit balance is too low", "provider usage limit"),
+    ("session limit", "provider usage limit"), ("hit your usage limit", "provider usage limit"), ("weekly limit", "provider usage limit"),
+    ("limit \u00b7 resets", "provider usage limit"), ("rate_limit_error", "provider rate limit"), ('"error": "rate_limit"', "provider rate limit"),
+    ('"api_error_status": 429', "provider rate limit"), ("too many requests", "provider rate limit"), ("invalid api key", "auth failure"),
+    ("authentication_error", "auth failure"), ("please run /login", "auth failure"), ("oauth token has expired", "auth failure"),
 ]
+# What a refusal says, and what else says that no answer was given.
+REFUSALS = [
+    "insufficient balance", "exceeded_current_quota", "quota", "rate_limit", "ratelimiterror", "429", "too many requests", "insufficient_quota", "authentication",
+    "invalid api key", "permission denied", "does not exist or you do not have access", "model_not_found", "overloaded", "service unavailable", "502", "503", "504",
+]
+NO_ANSWER = ["llm inference failed", "no valid json", "produced no answer"]
 
 
 def oracle_valid(kind: Column, planned: Column, question: Column, answer: Column) -> Column:
@@ -91,6 +100,24 @@ def infrastructure_cause(reason: Column) -> Column:
     return out
 
 
+def _says(text: Column, parts: list[str]) -> Column:
+    low = F.lower(F.coalesce(text, F.lit("")))
+    found = low.contains(parts[0])
+    for p in parts[1:]:
+        found = found | low.contains(p)
+    return found
+
+
+def refused(message: Column) -> Column:
+    """A provider's refusal: quota, access or availability."""
+    return _says(message, REFUSALS)
+
+
+def never_answered(reason: Column) -> Column:
+    """No answer was obtained, for any reason: such a verdict says nothing about the instance."""
+    return _says(reason, REFUSALS + NO_ANSWER)
+
+
 def without_answers(files: DataFrame, path: str = "path") -> DataFrame:
     """Files that may be handed out: no oracle answers, no parsers, no reports."""
     return files.where(~F.col(path).rlike(r"(^|/)(oracle[^/]*\.json|parser\.py|answer\.json|difficulty\.json)$"))
@@ -121,3 +148,24 @@ def unexecuted_runs(entries: DataFrame, executed: DataFrame, by: list[str]) -> D
     runs = idle.groupBy("range_id", "_g").agg(F.count("*").alias("n")).groupBy("range_id").agg(F.max("n").alias("longest_idle"))
     counts = marked.groupBy("range_id").agg(F.count("*").alias("lines"), F.count("_ran").alias("executed"))
     return counts.join(runs, "range_id", "left").select("range_id", "lines", "executed", F.coalesce("longest_idle", F.lit(0)).alias("longest_idle"))
+
+
+def range_warnings(entries: DataFrame, executed: DataFrame, most_idle: int = 15) -> DataFrame:
+    """range_id, warning: overlaps an earlier entry, no line executed (but for data and configuration), a long run of lines not executed.
+
+    ``entries``: instance_id, file, range_id (in order), start_line, end_line, role.
+    """
+    by = ["instance_id", "file"]
+    lines = entries.select(*by, "range_id", F.explode(F.sequence("start_line", "end_line")).alias("line"))
+    again = lines.withColumn("first", F.min("range_id").over(Window.partitionBy(*by, "line"))).where(F.col("range_id") > F.col("first")).select("range_id").distinct()
+    runs = unexecuted_runs(entries, executed, by).join(entries.select("range_id", "role"), "range_id")
+    static = F.coalesce(F.lower("role").isin("data", "configuration"), F.lit(False))
+    told = runs.withColumn("warning", F.when(F.col("executed") == 0, F.when(~static, "not executed")).when(F.col("longest_idle") >= most_idle, "long idle run"))
+    return again.withColumn("warning", F.lit("overlap")).union(told.where("warning is not null").select("range_id", "warning"))
+
+
+def missed_target_lines(entries: DataFrame, executed: DataFrame) -> DataFrame:
+    """instance_id, missed, first_missed: executed lines of the target (instance_id, file, line, depth 0) that are in no entry."""
+    covered = entries.select("instance_id", "file", F.explode(F.sequence("start_line", "end_line")).alias("line")).distinct()
+    target = executed.where("depth = 0").select("instance_id", "file", "line").distinct()
+    return target.join(covered, ["instance_id", "file", "line"], "left_anti").groupBy("instance_id").agg(F.count("*").alias("missed"), F.min("line").alias("first_missed"))

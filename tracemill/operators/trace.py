@@ -368,6 +368,11 @@ def _edges(events: DataFrame) -> DataFrame:
         "trace_id", "file", "func", "src", F.col("line").alias("dst"))
 
 
+def trace_edges(events: DataFrame) -> DataFrame:
+    """trace_id, file, func, src, dst: the distinct edges of each trace."""
+    return _edges(events).distinct()
+
+
 def first_seen_edges(events: DataFrame) -> DataFrame:
     """trace_id, file, func, src, dst of every edge that no trace before took."""
     return _edges(events).groupBy("file", "func", "src", "dst").agg(F.min("trace_id").alias("trace_id"))

@@ -37,17 +37,37 @@ def tool_calls(blocks: DataFrame) -> DataFrame:
 
 
 def path_class(path: Column, root: str = "/testbed") -> Column:
-    """answer, question, test_bundle, helper, repository or external."""
-    name = F.element_at(F.split(path, "/"), -1)
+    """By the folder: answer, validation_workspace, question, test_bundle, qa_bundle, workspace_helper, repository or external."""
+    p = F.regexp_replace(path, r"\\\\", "/")
+    answers, questions, own = p.contains("/validation_answers/"), p.contains("/qa_instances_eval/"), p.startswith(f"{root}/")
     return (
-        F.when(path.isNull(), None).when(name == "answer.json", "answer").when(name.isin("question.md", "question.json", "prompt.md"), "question")
-        .when(name.rlike(r"^test_.*\.py$|_test\.py$|^conftest\.py$"), "test_bundle").when(path.contains("/.helper/") | name.startswith("helper"), "helper")
-        .when(path.startswith(root) | ~path.startswith("/"), "repository").otherwise("external"))
+        F.when(path.isNull(), None)
+        .when(answers, F.when(p.rlike(r"/answer\.json[/ ]*$"), "answer").otherwise("validation_workspace"))
+        .when(questions, F.when(p.endswith("question.json"), "question").when(p.contains("/files/"), "test_bundle").otherwise("qa_bundle"))
+        .when(own, F.when(F.substring(p, len(root) + 2, 1 << 30).contains("/"), "repository").otherwise("workspace_helper"))
+        .otherwise("external"))
+
+
+# Suffixes of source files.
+SOURCE_SUFFIXES = ["py", "pyi", "js", "jsx", "ts", "tsx", "java", "go", "rs", "rb", "php", "c", "cc", "cpp", "h", "hpp", "cs", "kt", "kts", "scala", "sh", "sql", "toml", "yaml", "yml"]
+
+
+def is_source(path: Column) -> Column:
+    """The last component has a name and a suffix of source files."""
+    return F.lower(F.regexp_extract(path, r"[^/]\.([^./]*)/*$", 1)).isin(SOURCE_SUFFIXES)
+
+
+# Paths that a redirection or tee names, what else writes a file, and the path that stands for such an answer.
+REDIRECTED = r"(?:>>?|\btee(?:\s+-a)?\s+)[ \t]*[\"']?(/testbed/[^\s\"'|;&]+)"
+SHELL_WRITE = r"write_text|json\.dump|\bopen\s*\([^)]*,\s*['\"][wax+]|\bcp\s|\bmv\s"
+INFERRED_ANSWER = "/testbed/validation_answers/<shell-write>/answer.json"
 
 
 def written_paths(command: Column) -> Column:
-    """Targets of redirections and tee in a command."""
-    return F.concat(F.regexp_extract_all(command, F.lit(r">>?\s*([^\s;&|>]+)"), F.lit(1)), F.regexp_extract_all(command, F.lit(r"\btee\s+(?:-a\s+)?([^\s;&|>]+)"), F.lit(1)))
+    """Paths that a command writes: those of redirections and tee, and an answer that something else in it writes."""
+    named = F.coalesce(F.regexp_extract_all(command, F.lit(REDIRECTED), F.lit(1)), F.array().cast("array<string>"))
+    inferred = command.contains("/validation_answers/") & command.rlike(SHELL_WRITE) & ~F.exists(named, lambda p: path_class(p) == "answer")
+    return F.when(F.coalesce(inferred, F.lit(False)), F.concat(named, F.array(F.lit(INFERRED_ANSWER)))).otherwise(named)
 
 
 def command_effort(commands: DataFrame) -> DataFrame:
@@ -74,6 +94,31 @@ def usage_totals(usage: DataFrame) -> DataFrame:
         F.sum(context + zero("output_tokens")).alias("total_tokens"), F.sum(F.coalesce("cost", F.lit(0.0))).alias("cost"))
 
 
+_USAGE = """modelUsage map<string,struct<inputTokens:double,outputTokens:double,cacheCreationInputTokens:double,cacheReadInputTokens:double,costUSD:double>>,
+ usage struct<input_tokens:double,output_tokens:double,cache_creation_input_tokens:double,cache_read_input_tokens:double>, total_cost_usd double"""
+
+
+def result_usage(results: DataFrame, doc: str = "doc") -> DataFrame:
+    """The rows with input_tokens, output_tokens, cache_creation, cache_read and cost of a result document.
+
+    The sums over its models, or, where it names none, its flat usage and total cost; missing numbers are zero.
+    """
+    rest = [c for c in results.columns if c != doc]
+    read = results.select(*rest, F.from_json(doc, _USAGE).alias("_u"))
+    models = F.map_values("_u.modelUsage")
+    many = F.coalesce(F.size(models) > 0, F.lit(False))
+
+    def total(model: str, flat: str, whole: bool = True) -> Column:
+        one = (lambda c: F.floor(F.coalesce(c, F.lit(0.0)))) if whole else (lambda c: F.coalesce(c, F.lit(0.0)))
+        zero = F.lit(0).cast("bigint") if whole else F.lit(0.0)
+        return F.when(many, F.aggregate(models, zero, lambda a, m: a + one(m[model]))).otherwise(one(F.col(f"_u.{flat}")))
+
+    return read.select(
+        *rest, total("inputTokens", "usage.input_tokens").alias("input_tokens"), total("outputTokens", "usage.output_tokens").alias("output_tokens"),
+        total("cacheCreationInputTokens", "usage.cache_creation_input_tokens").alias("cache_creation"),
+        total("cacheReadInputTokens", "usage.cache_read_input_tokens").alias("cache_read"), total("costUSD", "total_cost_usd", False).alias("cost"))
+
+
 def raw_effort(rows: DataFrame) -> DataFrame:
     """The five raw effort scores of rollouts, rounded to six digits.
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare as cmp
 from ..functions.literals import canonical_json
+from ..operators import checkpoints as ck
 from ..operators import evidence as ev
 from ..operators import reports as rp
 from ..operators import scoring as sc
@@ -86,7 +87,7 @@ QUERIES = {
         lambda s, d: rp.answer_statistics(sc.leaves(_docs(s, d))).select("answer_id", st.answer_score(F.col("leaves"), F.col("elements"), F.col("depth"), F.lit(0), F.lit(0)).alias("score")),
         with_views("base_items", """SELECT answer_id, (10 * (1 - exp(-(2 * count(*) + 1) / 35.0::DOUBLE)) + 10 * (1 - exp(-count(*) / 30.0::DOUBLE)) + 10 * (1 - exp(-2 / 3.0::DOUBLE)) + 0) / 4 AS score FROM base_items GROUP BY 1""")),
     "ck1_checkpoints": (
-        lambda s, d: ev.checkpoints(trace_events(s, d)),
+        lambda s, d: ck.call_facts(trace_events(s, d)),
         with_views("trace_events", """WITH i AS (SELECT *, sum(CASE WHEN event = 'call' THEN 1 ELSE 0 END) OVER (PARTITION BY trace_id, func ORDER BY seq) AS inv FROM trace_events),
  p AS (SELECT trace_id, func, CAST(max(inv) AS VARCHAR) AS calls, CAST(arg_min(line, seq) AS VARCHAR) AS first_line, CAST(count(DISTINCT line) FILTER (event = 'line') AS VARCHAR) AS executed_lines, arg_max(event, seq) AS exit_kind,
   CAST(arg_max(line, seq) AS VARCHAR) AS exit_line FROM i WHERE inv > 0 GROUP BY ALL) UNPIVOT p ON calls, first_line, executed_lines, exit_kind, exit_line INTO NAME checkpoint VALUE value""").replace(

@@ -89,13 +89,55 @@ _ATTEMPT_COLUMNS = {
     "stage": "CASE WHEN tokens % 13 = 0 THEN 'harvest' WHEN tokens % 5 = 1 THEN 'screen' WHEN tokens % 6 = 2 THEN 'complexity' WHEN tokens % 9 = 3 THEN 'flip' ELSE 'kept' END",
     "infra_error": "tokens % 37 = 0", "cost": "CASE WHEN tokens % 4 <> 0 THEN CAST(tokens % 8 AS DOUBLE) / 8 END",
 }
-_ATTEMPTS_SQL = "SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in _ATTEMPT_COLUMNS.items()) + " FROM rollouts"
+ATTEMPTS_SQL = "SELECT " + ", ".join(f"{e.replace('STRING', 'VARCHAR')} AS {n}" for n, e in _ATTEMPT_COLUMNS.items()) + " FROM rollouts"
 
 
-def _attempts(s, d):
+def attempts(s, d):
     return rollouts(s, d).select(*[F.expr(e).alias(n) for n, e in _ATTEMPT_COLUMNS.items()])
 
 
+#: Scored fields of four shapes, one a rollout.
+_SHAPE_COLUMNS = {
+    "shape": "CASE tokens % 4 WHEN 0 THEN 'set' WHEN 1 THEN 'sequence' WHEN 2 THEN 'keyed_records' ELSE 'scalar_number' END",
+    "label": "CASE WHEN tokens % 3 = 0 THEN 'correct' WHEN tokens % 4 = 0 THEN 'missing_elements' WHEN tokens % 4 = 1 THEN 'truncated' WHEN tokens % 4 = 2 THEN 'values_wrong' ELSE 'scalar_wrong' END",
+    "score": "CASE WHEN tokens % 3 = 0 THEN 1.0 ELSE CAST(tokens % 8 AS DOUBLE) / 8 END",
+    **{m: f"CASE WHEN tokens % 4 = {k} THEN CAST(tokens % {16 if k else 32} AS DOUBLE) / 32 END" for m, k in
+       {"key_f1": 2, "value_accuracy": 2, "prefix_ratio": 1, "relative_error": 3, "median_relative_error": 2, "precision": 0, "recall": 0}.items()},
+}
+
+
+def _shapes(s, d):
+    return rollouts(s, d).select(*[F.expr(e).alias(n) for n, e in _SHAPE_COLUMNS.items()])
+
+
+_DESCRIBED = """en AS (SELECT *, CASE range_id % 6 WHEN 0 THEN 'target' WHEN 1 THEN 'callee' WHEN 2 THEN 'data' WHEN 3 THEN 'configuration' ELSE 'other' END AS role, CASE range_id % 4 WHEN 0 THEN 'executed' WHEN 1 THEN 'trace' WHEN 2 THEN 'read' END AS verified FROM line_ranges),
+ ln AS (SELECT instance_id, file, line, bool_or(necessity <> 'supporting') AS e FROM (SELECT instance_id, file, necessity, unnest(range(start_line, end_line + 1)) AS line FROM line_ranges) GROUP BY ALL),
+ rn AS (SELECT instance_id, file, line, bool_or(start_line % 5 > 0) AS near FROM (SELECT instance_id, 'src/' || file AS file, start_line, unnest(range(start_line, end_line + 1)) AS line FROM seen_ranges) GROUP BY ALL),
+ bo AS (SELECT coalesce(ln.instance_id, rn.instance_id) AS instance_id, ln.line AS q, rn.line AS x, coalesce(e, false) AS e, coalesce(near, false) AS near FROM ln FULL JOIN rn ON ln.instance_id = rn.instance_id AND ln.file = rn.file AND ln.line = rn.line),
+ su AS (SELECT instance_id, count(q) AS lines, count(*) FILTER (e) AS essential_lines, count(*) FILTER (q IS NOT NULL AND x IS NOT NULL) AS executed_lines, count(q) FILTER (near) / nullif(count(*) FILTER (near), 0) AS reachable_share FROM bo GROUP BY 1),
+ de AS (SELECT instance_id, count(*) AS entries, count(*) FILTER (necessity = 'essential') AS essential_entries, count(DISTINCT file) AS files, count(*) FILTER (role = 'target') AS role_target, count(*) FILTER (role = 'callee') AS role_callee,
+ count(*) FILTER (role = 'data') AS role_data, count(*) FILTER (role = 'configuration') AS role_configuration, count(*) FILTER (role = 'other') AS role_other, count(*) FILTER (verified = 'executed') AS verified_executed,
+ count(*) FILTER (verified = 'trace') AS verified_trace, count(*) FILTER (verified = 'read') AS verified_read, any_value(lines) AS lines, any_value(essential_lines) AS essential_lines, any_value(executed_lines) AS executed_lines, any_value(reachable_share) AS reachable_share
+ FROM en JOIN su USING (instance_id) GROUP BY 1)"""
+
+
+def _entries(s, d):
+    return line_ranges(s, d).withColumns({
+        "role": F.expr("CASE range_id % 6 WHEN 0 THEN 'target' WHEN 1 THEN 'callee' WHEN 2 THEN 'data' WHEN 3 THEN 'configuration' WHEN 4 THEN 'caller' END"),
+        "verified": F.expr("CASE range_id % 4 WHEN 0 THEN 'executed' WHEN 1 THEN 'trace' WHEN 2 THEN 'read' ELSE 'guessed' END")})
+
+
+def _ran(s, d):
+    return seen_ranges(s, d).select("instance_id", F.concat(F.lit("src/"), "file").alias("file"), (F.col("start_line") % 5 - 1).alias("depth"), F.explode(F.sequence("start_line", "end_line")).alias("line"))
+
+
+def _records(s, d):
+    told = rollouts(s, d).where("rollout = 2").select("instance_id", F.col("passed").alias("correct"))
+    rows = instances(s, d).join(told, "instance_id", "left")
+    return rows.select("instance_id", F.col("repo").alias("repository"), "category", (F.col("instance_id") % 3 != 0).alias("verified"), F.col("correct").isNotNull().alias("answered"), "correct",
+                       F.expr("CASE instance_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'hard' WHEN 2 THEN 'medium' END").alias("combined"), F.expr("CASE WHEN instance_id % 5 > 1 THEN 'easy' ELSE 'very_hard' END").alias("navigation"))
+
+
 QUERIES = {
     "ag1_grouped_accuracy": (
         lambda s, d: rp.grouped_accuracy(rollouts(s, d).withColumn("kind", F.col("rollout") % 3), [["model", "kind"], ["model"], ["kind"], []], F.col("passed")),
@@ -117,6 +159,10 @@ QUERIES = {
         lambda s, d: rp.field_summary(_scored(s, d), "category", ["precision", "recall"]),
         with_views("expected_elements predicted_elements", f"""WITH {_OVERLAP}, f AS (SELECT *, answer_id % 7 AS category, {_LABEL.format(p='precision', r='recall')} AS label FROM pr)
  SELECT category, count(*) AS fields, count(*) FILTER (label = 'correct') AS correct, avg(precision) FILTER (label <> 'correct') AS failed_precision, avg(recall) FILTER (label <> 'correct') AS failed_recall FROM f GROUP BY 1""")),
+    "ag4_shape_summary": (
+        lambda s, d: rp.shape_summary(_shapes(s, d)).select("shape", "fields", "mean_score", "labels", *[f"failed_mean_{m}" for m in rp.FIELD_METRICS]),
+        with_views("rollouts", f"""WITH f AS (SELECT {", ".join(f"{e} AS {n}" for n, e in _SHAPE_COLUMNS.items())} FROM rollouts), l AS (SELECT shape, string_agg(label || ':' || n, ',' ORDER BY label) AS labels FROM (SELECT shape, label, count(*) AS n FROM f GROUP BY ALL) GROUP BY 1)
+ SELECT f.shape, count(*) AS fields, avg(score) AS mean_score, any_value(labels) AS labels, {", ".join(f"avg({m}) FILTER (label <> 'correct') AS failed_mean_{m}" for m in rp.FIELD_METRICS)} FROM f JOIN l USING (shape) GROUP BY 1""")),
     "ag5_answer_statistics": (
         lambda s, d: rp.answer_statistics(sc.leaves(_docs(s, d))).select("answer_id", "leaves", "fields", "lists", "elements", "longest_list", "depth"),
         with_views("base_items", "SELECT answer_id, 2 * count(*) + 1 AS leaves, 2 AS fields, 1 AS lists, count(*) AS elements, count(*) AS longest_list, 3 AS depth FROM base_items GROUP BY 1")),
@@ -150,6 +196,15 @@ QUERIES = {
         lambda s, d: rp.instance_costs(_costs(s, d), rollouts(s, d).where("passed and rollout = 1")),
         with_views(_R, f"""WITH c AS (SELECT instance_id, sum({_COST}) AS cost FROM rollouts GROUP BY 1), k AS (SELECT DISTINCT instance_id FROM rollouts WHERE passed AND rollout = 1)
  SELECT count(*) AS instances, count(k.instance_id) AS survivors, sum(cost) AS cost, sum(cost) / count(*) AS per_instance, sum(cost) / nullif(count(k.instance_id), 0) AS per_survivor FROM c LEFT JOIN k USING (instance_id)""")),
+    "ag16_tier_costs": (
+        lambda s, d: rp.tier_costs(_costs(s, d).select(F.col("model").alias("tier"), "instance_id", "cost")),
+        with_views(_R, f"""WITH c AS (SELECT model AS tier, instance_id, coalesce({_COST}, 0) AS cost FROM rollouts), i AS (SELECT tier, instance_id, count(*) AS rollouts, count(*) FILTER (cost = 0) AS zero, sum(cost) AS cost FROM c GROUP BY ALL)
+ SELECT tier, count(*) AS instances, sum(rollouts) AS rollouts, sum(zero) AS zero_cost_rollouts, sum(cost) AS cost, sum(cost) / count(*) AS per_instance, sum(cost) / sum(rollouts) AS per_rollout FROM i GROUP BY ROLLUP (tier)""")),
+    "ag16_pipeline_costs": (
+        lambda s, d: rp.pipeline_costs(_costs(s, d).where("rollout = 1"), _costs(s, d).where("rollout > 1"), rollouts(s, d).where("passed")),
+        with_views(_R, f"""WITH c AS (SELECT instance_id, rollout, passed, {_COST} AS cost FROM rollouts), t AS (SELECT count(DISTINCT instance_id) FILTER (rollout = 1) AS generated, sum(cost) FILTER (rollout = 1) AS generation_cost,
+  sum(cost) FILTER (rollout > 1) AS validation_cost, count(DISTINCT instance_id) FILTER (passed) AS kept FROM c)
+ SELECT *, generation_cost + validation_cost AS cost, (generation_cost + validation_cost) / generated AS per_generated, (generation_cost + validation_cost) / kept AS per_survivor FROM t""")),
     "ag17_token_cost": (
         lambda s, d: _costs(s, d).select("instance_id", "rollout", "cost"),
         with_views(_R, f"SELECT instance_id, rollout, {_COST} AS cost FROM rollouts")),
@@ -168,6 +223,21 @@ QUERIES = {
  r AS (SELECT instance_id, count(*) AS lines, count(ran) AS ran FROM l LEFT JOIN s USING (instance_id, file, line) GROUP BY 1)
  SELECT e.instance_id, count(*) AS entries, count(*) FILTER (necessity = 'essential') AS essential, count(*) FILTER (necessity = 'supporting') AS supporting, any_value(lines) AS lines, any_value(ran / lines) AS executed_share
  FROM line_ranges e JOIN r USING (instance_id) GROUP BY 1""")),
+    "ag20_required_description": (
+        lambda s, d: rp.required_description(_entries(s, d), _ran(s, d)),
+        with_views("line_ranges seen_ranges", f"""WITH {_DESCRIBED} SELECT * FROM de""")),
+    "ag20_required_corpus": (
+        lambda s, d: rp.required_corpus(rp.required_description(_entries(s, d), _ran(s, d))),
+        with_views("line_ranges seen_ranges", f"""WITH {_DESCRIBED}, o AS (SELECT lines, row_number() OVER (ORDER BY lines) AS r, count(*) OVER () AS t FROM de)
+ SELECT count(*) AS analysed, (SELECT lines FROM o WHERE r = t // 2 + 1) AS median_lines, avg(reachable_share) AS mean_reachable_share FROM de""")),
+    "ag13_verified_scopes": (
+        lambda s, d: rp.verified_report(_records(s, d), ["combined", "navigation"], F.col("repository") == "FRANCE"),
+        with_views("instances rollouts", f"""WITH r AS (SELECT i.instance_id, repo AS repository, category, i.instance_id % 3 <> 0 AS verified, o.passed IS NOT NULL AS answered, coalesce(o.passed, false) AS ok,
+  CASE i.instance_id % 4 WHEN 0 THEN 'easy' WHEN 1 THEN 'hard' WHEN 2 THEN 'medium' END AS combined, CASE WHEN i.instance_id % 5 > 1 THEN 'easy' ELSE 'very_hard' END AS navigation
+  FROM instances i LEFT JOIN (SELECT * FROM rollouts WHERE rollout = 2) o USING (instance_id)),
+ x AS (SELECT 'strict' AS variant, unnest(['overall', 'repository', 'category', 'difficulty combined', 'difficulty navigation']) AS scope, unnest(['all', repository, category, coalesce(combined, 'unknown'), navigation]) AS name, answered, ok FROM r WHERE verified
+  UNION ALL SELECT 'sensitivity', unnest(['overall', 'difficulty combined', 'difficulty navigation']), unnest(['all', coalesce(combined, 'unknown'), navigation]), answered, ok FROM r WHERE verified OR (repository = 'FRANCE' AND NOT answered))
+ SELECT variant, scope, name, count(*) AS total, count(*) FILTER (answered) AS answer_files, count(*) FILTER (NOT answered) AS missing_answer_files, count(*) FILTER (ok) AS correct, count(*) FILTER (NOT ok) AS incorrect, count(*) FILTER (ok) / count(*) AS accuracy FROM x GROUP BY ALL""")),
     "ag13_verified_report": (
         lambda s, d: rp.verified_with_unanswered(instances(s, d).select("instance_id", "repo"), rollouts(s, d).where("rollout = 2").select("instance_id", F.col("passed").alias("correct")), ["repo"]),
         with_views("instances rollouts", """SELECT repo, count(*) AS verified, count(passed) AS answered, count(*) FILTER (passed) AS "right", avg(CASE WHEN coalesce(passed, false) THEN 1.0 ELSE 0 END) AS accuracy
@@ -238,8 +308,8 @@ QUERIES = {
         lambda s, d: table(s, d, "part").withColumn("score", F.col("p_size") * 2 + F.length("p_name")).select("p_partkey", "score", rp.first_by([F.desc("score"), F.col("p_partkey")], "p_brand").alias("place")),
         "SELECT p_partkey, p_size * 2 + length(p_name) AS score, row_number() OVER (PARTITION BY p_brand ORDER BY p_size * 2 + length(p_name) DESC, p_partkey) AS place FROM part"),
     "wn14_best_attempts": (
-        lambda s, d: rk.best_attempts(_attempts(s, d), "source_id", "attempt_id").select("source_id", "attempt_id"),
-        with_views("rollouts", f"""WITH a AS ({_ATTEMPTS_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(flipped, false) DESC, coalesce(target_met, false) DESC,
+        lambda s, d: rk.best_attempts(attempts(s, d), "source_id", "attempt_id").select("source_id", "attempt_id"),
+        with_views("rollouts", f"""WITH a AS ({ATTEMPTS_SQL}), r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY coalesce(flipped, false) DESC, coalesce(target_met, false) DESC,
  coalesce(increased, false) DESC, coalesce(delta, 0) DESC, coalesce(oracle_changed, false) AND coalesce(trace_changed, false) DESC, coalesce(oracle_changed, false) DESC, coalesce(trace_changed, false) DESC,
  new_lines + new_edges DESC, new_edges DESC, attempt_id) AS rn FROM a) SELECT source_id, attempt_id FROM r WHERE rn = 1""")),
     "st3_set_agreement": (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compare as cmp
 from ..operators import scoring as sc
+from ..operators.conformity import conformity
 from ..sources.fixtures import base_items, expected_elements, instances, predicted_elements, table, with_views
 
 _EP = "expected_elements predicted_elements"
@@ -56,6 +57,22 @@ def _fields(s, d):
     return one.union(two)
 
 
+TEMPLATE = '{"items":[{"file":"str","lines":["int"]}],"by":{"<name>":{"n":"int"}},"note":"str","opt":{"x":"int"}}'
+#: Answers of eight shapes; the same expression in both engines.
+_SHAPES = """CASE o_orderkey % 8 WHEN 0 THEN '{"items":[{"file":"a","lines":[1,2]},{"file":"b"}],"by":{"x":{"n":1},"y":{"n":"z"}},"note":{"any":[1]},"opt":{"x":1},"more":7}'
+ WHEN 1 THEN '{"items":[]}' WHEN 2 THEN '{"items":{"file":"a"}}' WHEN 3 THEN '{"items":[{"file":"a","lines":[1]},{"lines":5}],"by":{}}' WHEN 4 THEN '{"items":[{"lines":[[1],{"a":1}]}],"by":{"x":[1],"y":3}}'
+ WHEN 5 THEN '{"opt":3,"items":[1,{"lines":null}]}' WHEN 6 THEN '[]' ELSE concat('{"items":[{"file":', o_custkey, '}],"by":{"', o_orderstatus, '":{"n":[]}},"opt":{"x":{}}}') END"""
+
+
+def _reply():
+    """A model's reply: the bare answer, fenced, among others, with braces in text, or none."""
+    turn = F.col("turn").cast("string")
+    a = F.concat(F.lit('{"turn": '), turn, F.lit("}"))
+    return F.when(F.col("turn") % 5 == 0, a).when(F.col("turn") % 5 == 1, F.concat(F.lit("so ```json\n"), a, F.lit('\n``` or ```json\n{"k": {"turn": -1}}\n```'))).when(
+        F.col("turn") % 5 == 2, F.concat(F.lit("first "), a, F.lit(' then {"turn": -2} end'))).when(
+        F.col("turn") % 5 == 3, F.concat(F.lit("a {b} "), F.lit('{"turn": '), turn, F.lit(', "s": "}{"} end'))).otherwise(F.lit("nothing {here}"))
+
+
 QUERIES = {
     "sc3_number_equality": (
         lambda s, d: table(s, d, "orders").select("o_orderkey", cmp.numbers_equal(F.col("o_totalprice"), F.col("o_totalprice") * (1 + (F.col("o_orderkey") % 5) * 4e-7)).alias("same")),
@@ -136,9 +153,13 @@ QUERIES = {
  SELECT o_orderstatus, count(o) AS total, count(*) FILTER (o IS NULL) AS missing_oracle, count(*) FILTER (o AND p IS NULL) AS missing_prediction,
  count(*) FILTER (o AND p AND answer IS NULL) AS invalid_prediction, count(*) FILTER (o AND p AND starts_with(answer, '1')) AS correct FROM o FULL JOIN p USING (o_orderkey) GROUP BY 1"""),
     "sc26_conformity": (
-        lambda s, d: sc.conforms(sc.leaves(_docs(s, d)), sc.leaves(_docs(s, d).where("answer_id % 4 <> 0"))),
-        "SELECT DISTINCT l_orderkey AS answer_id, l_orderkey % 4 <> 0 AS conforms FROM lineitem"),
+        lambda s, d: conformity(table(s, d, "orders").select(F.col("o_orderkey").alias("answer_id"), F.lit(TEMPLATE).alias("template"), F.expr(_SHAPES).alias("doc"))).select("answer_id", "conforms", "errors"),
+        f"""WITH d AS (SELECT o_orderkey AS answer_id, {_SHAPES} AS doc FROM orders), t AS (SELECT *, json_type(doc) AS r, json_type(doc, '$.items') AS i, json_type(doc, '$.by') AS b, json_type(doc, '$.opt') AS o FROM d),
+ e AS (SELECT answer_id, CASE WHEN r <> 'OBJECT' THEN 1 ELSE CASE WHEN i IS NULL THEN 0 WHEN i <> 'ARRAY' THEN 1 ELSE len(list_filter(json_extract(doc, '$.items[*]'), lambda x: json_type(x) <> 'OBJECT' OR coalesce(json_type(x, '$.lines') <> 'ARRAY', false))) END
+  + CASE WHEN b IS NULL THEN 0 WHEN b <> 'OBJECT' THEN 1 ELSE len(list_filter(json_extract(doc, '$.by.*'), lambda x: json_type(x) <> 'OBJECT')) END + CASE WHEN o IS NOT NULL AND o <> 'OBJECT' THEN 1 ELSE 0 END END AS errors FROM t)
+ SELECT answer_id, errors = 0 AS conforms, errors FROM e"""),
     "sc27_final_json": (
-        lambda s, d: table(s, d, "conversations").select("conv_id", "turn", sc.final_json(F.concat(F.coalesce("text", F.lit("")), F.lit('\n## Answer\nso {"turn": '), F.col("turn").cast("string"), F.lit("} end"))).alias("answer")),
-        """SELECT conv_id, turn, '{"turn": ' || turn || '}' AS answer FROM conversations"""),
+        lambda s, d: table(s, d, "conversations").select("conv_id", "turn", sc.final_json(_reply()).alias("first"), sc.final_json(F.concat(_reply(), F.lit("\n## Answer\n"), _reply()), "reasoning").alias("last")),
+        """WITH t AS (SELECT conv_id, turn, '{"turn": ' || turn || '}' AS a, '{"turn": ' || turn || ', "s": "}{"}' AS q FROM conversations)
+ SELECT conv_id, turn, CASE turn % 5 WHEN 3 THEN q WHEN 4 THEN NULL ELSE a END AS first, CASE turn % 5 WHEN 0 THEN a WHEN 1 THEN '{"k": {"turn": -1}}' WHEN 2 THEN '{"turn": -2}' WHEN 3 THEN q END AS last FROM t"""),
 }

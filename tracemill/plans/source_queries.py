@@ -124,9 +124,16 @@ QUERIES = {
  h AS (SELECT answer_id, count(*) AS h FROM e JOIN p USING (answer_id, pos, token) GROUP BY 1), ne AS (SELECT answer_id, count(*) AS e FROM e GROUP BY 1), np AS (SELECT answer_id, count(*) AS p FROM p GROUP BY 1)
  SELECT answer_id, coalesce(h, 0) AS hits, CASE WHEN coalesce(h, 0) = e AND h = p THEN 'correct' WHEN coalesce(h, 0) = p THEN 'missing_elements' WHEN h = e THEN 'extra_elements' ELSE 'wrong_elements' END AS label
  FROM ne LEFT JOIN np USING (answer_id) LEFT JOIN h USING (answer_id)""")),
-    "pt3_trace_ratio": (
-        lambda s, d: event_statistics(trace_events(s, d)).select("trace_id", (F.col("line_events") / F.col("events")).alias("ratio")),
-        with_views("trace_events", "SELECT trace_id, count(*) FILTER (event = 'line') / count(*) AS ratio FROM trace_events GROUP BY 1")),
+    "pt3_trace_changes": (
+        lambda s, d: ev.trace_changes(trace_events(s, d), trace_events(s, d).select("trace_id").distinct().join(
+            trace_events(s, d).groupBy((F.col("trace_id") % 5).alias("g")).agg(F.min("trace_id").alias("baseline_id")), F.col("trace_id") % 5 == F.col("g")).select("trace_id", "baseline_id")),
+        with_views("trace_events", """WITH p AS (SELECT trace_id, min(trace_id) OVER (PARTITION BY trace_id % 5) AS baseline_id FROM (SELECT DISTINCT trace_id FROM trace_events)),
+ n AS (SELECT trace_id, count(*) FILTER (event = 'line') AS n, string_agg(file || ':' || line, ',' ORDER BY seq) FILTER (event = 'line') AS path FROM trace_events GROUP BY 1), l AS (SELECT DISTINCT trace_id, file, line FROM trace_events WHERE event = 'line'),
+ w AS (SELECT trace_id, file, func, lag(line) OVER (PARTITION BY trace_id, file, func ORDER BY seq) AS src, line AS dst FROM trace_events), e AS (SELECT DISTINCT * FROM w WHERE src <> dst),
+ nl AS (SELECT p.trace_id, count(*) AS k FROM p JOIN l USING (trace_id) WHERE NOT EXISTS (SELECT 1 FROM l b WHERE b.trace_id = p.baseline_id AND b.file = l.file AND b.line = l.line) GROUP BY 1),
+ ne AS (SELECT p.trace_id, count(*) AS k FROM p JOIN e USING (trace_id) WHERE NOT EXISTS (SELECT 1 FROM e b WHERE b.trace_id = p.baseline_id AND b.file = e.file AND b.func = e.func AND b.src = e.src AND b.dst = e.dst) GROUP BY 1)
+ SELECT p.trace_id, p.baseline_id, a.n AS line_events, b.n AS baseline_line_events, round_even(a.n / nullif(b.n, 0), 3) AS trace_ratio, coalesce(nl.k, 0) AS new_lines, coalesce(ne.k, 0) AS new_edges, a.path IS NOT DISTINCT FROM b.path AS same_path
+ FROM p JOIN n a ON a.trace_id = p.trace_id JOIN n b ON b.trace_id = p.baseline_id LEFT JOIN nl ON nl.trace_id = p.trace_id LEFT JOIN ne ON ne.trace_id = p.trace_id""")),
     "pt6_gates": (
         lambda s, d: rollouts(s, d).select("instance_id", "rollout", ev.first_failing_gate([("harvest", F.col("tokens") % 7 != 0), ("complexity", F.col("duration") > 20)]).alias("gate")),
         with_views("rollouts", "SELECT instance_id, rollout, CASE WHEN tokens % 7 = 0 THEN 'harvest' WHEN duration <= 20 THEN 'complexity' ELSE 'kept' END AS gate FROM rollouts")),
