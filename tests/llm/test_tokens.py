@@ -82,12 +82,20 @@ def test_token_files_round_trip(spark, make_docs, odd_docs):
         ids = [*model.encode(texts[i], add_special_tokens=False).ids, 0]
         assert (got[i].start, got[i].n_tokens, got[i].ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
         start, stream = start + len(ids), stream + ids
-    read = []
-    for row in manifest.orderBy("shard").collect():
-        ids, mask = tf.sequences(f"{row.stem}.tokens.arrow")
-        assert all(a.shape[1] == 16 for a in ids)
-        read += np.concatenate(ids)[np.concatenate(mask)].tolist()
+    files, read = tf.TokenFiles(manifest), []
+    for k in range(len(files)):
+        ids, mask = files[k]
+        assert len(ids) == len(mask) == 16 and not ids.flags.owndata and not mask.flags.owndata  # views
+        read += ids[mask == 1].tolist()
     assert read == stream
+    one = tf.TokenFiles(tf.write_tokens(make_docs([(1, " ".join(texts.values()) * 20, "en", "s")]), tf.byte_encoder(P.path("byte_bpe_50k.json")), length=8))
+    ids = [*model.encode(" ".join(texts.values()) * 20, add_special_tokens=False).ids, 0]
+    assert len(one) > 3 * tf.BATCH_SEQUENCES  # several batches of one shard, in any order
+    for k in r.sample(range(len(one)), 60):
+        part = ids[8 * k : 8 * k + 8]
+        assert one[k][0].tolist() == part + [0] * (8 - len(part)) and one[k][1].sum() == len(part)
+    with pytest.raises(IndexError):
+        one[len(one)]
     load = tf.byte_encoder(P.path("byte_bpe_50k.json"))
     named = docs.withColumn("doc_id", F.concat(F.lit("d"), "doc_id"))
     whole = tf.read_documents(tf.write_tokens(named, load, shards=60), "string")

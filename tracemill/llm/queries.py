@@ -18,7 +18,9 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.quality_report(table(spark, sf_dir, "documents"))
+    report = quality.quality_report(table(spark, sf_dir, "documents"))
+    first = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return report.select(*first, *[c for c in report.columns if c not in first])
 
 
 #: Rules of the query: host, path, verdict.

@@ -2,10 +2,11 @@
 
 Documents are range-partitioned by id and sorted, so that the shards, taken in
 order, hold them in ascending id order. Each shard is one Arrow stream file whose
-batches have two fixed-size-list columns, ``input_ids`` and ``mask`` (false on
-the padding of the last sequence), and a second stream file with the id, start
-and length of its documents. Reading maps the file and hands out views: sequence
-``i`` is found without parsing what stands before it. A shard is written under a
+batches have two fixed-size-list columns, ``input_ids`` and ``mask`` (a byte each, 0 on
+the padding of a shard's last sequence), and a second stream file with the id, start
+and length of its documents. All batches of a shard but the last have one size, so
+sequence ``i`` is found by its number alone: the manifest says in which shard, a
+product where its batch begins, and the file is mapped and viewed there. A shard is written under a
 fresh name and counts only once its row stands in the written manifest, so tasks
 that are lost or run twice leave no trace in the result.
 
@@ -16,6 +17,7 @@ often as they come; an empty table gives no shard and no row.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import uuid
@@ -238,7 +240,7 @@ class _Shard:
         self.kind, self.length, self.n, self.docs = kind, length, 0, 0
         self.pending, self.size = [], 0
         item = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("input_ids", pa.list_(item, length)), ("mask", pa.list_(pa.bool_(), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
         self.tokens = self._open("tokens", self.schema)
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.index = self._open("docs", self.index_schema)
@@ -269,8 +271,8 @@ class _Shard:
         self.pending, self.size = [rest.copy()], len(rest)
 
     def _batch(self, ids: np.ndarray, size: int) -> None:
-        mask = np.ones(size, bool)
-        mask[len(ids):] = False
+        mask = np.ones(size, np.uint8)
+        mask[len(ids):] = 0
         values = np.zeros(size, self.kind)
         values[: len(ids)] = ids
         lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (values, mask)]
@@ -283,7 +285,9 @@ class _Shard:
             out.close()
 
 
-MANIFEST = "shard long, stem string, n_tokens long, n_docs long"
+#: Text of one shard, about, where there is more than the session has shuffle partitions.
+SHARD_BYTES = 256 << 20
+MANIFEST = "shard long, stem string, n_tokens long, n_docs long, n_sequences long"
 _SHARD_BLOCK = 1024
 
 
@@ -291,15 +295,18 @@ def write_tokens(
     docs: DataFrame, load: Callable[[], ByteEncoder], uri: str | None = None,
     id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, length: int = SEQUENCE, shards: int | None = None,
 ) -> DataFrame:
-    """Write all documents and give the manifest: shard, stem, n_tokens, n_docs, start.
+    """Write all documents and give the manifest: shard, stem, n_tokens, n_docs, n_sequences, start, first_sequence.
 
-    ``start`` is the number of ids in all shards before. One row a shard. There are
-    as many shards as the session has shuffle partitions, if ``shards`` is not given.
+    ``start`` and ``first_sequence`` are the numbers of ids and sequences in all shards
+    before. One row a shard. If ``shards`` is not given there is one for each
+    ``SHARD_BYTES`` of text, and one for each shuffle partition of the session at least.
     """
     require(docs, id_col, text_col)
     spark = docs.sparkSession
     where = uri or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if not shards:
+        size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // SHARD_BYTES))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("body"), F.xxhash64(text_col).alias("h"))
     # the number is given, so that few rows are not drawn together into one task
     sorted_rows = rows.repartitionByRange(shards, "id", "h").sortWithinPartitions("id", "h").select("id", "body")
@@ -320,14 +327,16 @@ def write_tokens(
         if shard is not None:
             shard.close()
             yield pa.RecordBatch.from_pydict({
-                "shard": [TaskContext.get().partitionId()], "stem": [shard.stem], "n_tokens": [shard.n], "n_docs": [shard.docs]})
+                "shard": [TaskContext.get().partitionId()], "stem": [shard.stem], "n_tokens": [shard.n], "n_docs": [shard.docs], "n_sequences": [-(-shard.n // length)]})
 
     manifest = written(sorted_rows.mapInArrow(write, MANIFEST), "manifest").withColumn("block", F.expr(f"shard div {_SHARD_BLOCK}"))
     # running sums over blocks of shards, then within each block
-    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = manifest.groupBy("block").agg(F.sum("n_tokens").alias("n_tokens")).select("block", before(Window.orderBy("block")).alias("base"))
-    return manifest.withColumn("inner", before(Window.partitionBy("block").orderBy("shard"))).join(blocks, "block").select(
-        "shard", "stem", "n_tokens", "n_docs", (F.col("base") + F.col("inner")).alias("start"))
+    sums = {"n_tokens": "start", "n_sequences": "first_sequence"}
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = manifest.groupBy("block").agg(*[F.sum(c).alias(c) for c in sums]).select("block", *[before(c, Window.orderBy("block")).alias(f"base_{c}") for c in sums])
+    inner = manifest.withColumns({f"inner_{c}": before(c, Window.partitionBy("block").orderBy("shard")) for c in sums})
+    return inner.join(blocks, "block").select(
+        "shard", "stem", "n_tokens", "n_docs", "n_sequences", *[(F.col(f"base_{c}") + F.col(f"inner_{c}")).alias(name) for c, name in sums.items()])
 
 
 def _batches(uri: str) -> Iterator[pa.RecordBatch]:
@@ -340,17 +349,34 @@ def _batches(uri: str) -> Iterator[pa.RecordBatch]:
             yield from ipc.open_stream(source)
 
 
-def sequences(uri: str) -> tuple[np.ndarray, np.ndarray]:
-    """Views of one local token file: ids and mask, a row for each sequence of its first batches.
-
-    All batches but the last have the same size; each is viewed in place.
-    """
-    with pa.memory_map(_place(uri)[1]) as source:
-        table = ipc.open_stream(source).read_all()
-    length = table.schema.field("input_ids").type.list_size
-    ids = [c.flatten().to_numpy(zero_copy_only=True).reshape(-1, length) for c in table["input_ids"].chunks]
-    mask = [c.flatten().to_numpy(zero_copy_only=False).reshape(-1, length) for c in table["mask"].chunks]
-    return ids, mask
+class TokenFiles:
+    """Random access to the sequences of a manifest by number; keeps the manifest's few numbers of each shard."""
+
+    def __init__(self, manifest: DataFrame) -> None:
+        rows = sorted(manifest.select("first_sequence", "stem", "n_sequences").collect())  # one a shard
+        self.firsts, self.stems = [r[0] for r in rows], [r[1] for r in rows]
+        self.n = sum(r[2] for r in rows)
+
+    def __len__(self) -> int:
+        return self.n
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and the mask of sequence ``i``: views of the mapped file, or of the one batch that is read."""
+        if not 0 <= i < self.n:
+            raise IndexError(i)
+        shard = bisect.bisect_right(self.firsts, i) - 1
+        batch, row = divmod(i - self.firsts[shard], BATCH_SEQUENCES)
+        place, path = _place(f"{self.stems[shard]}.tokens.arrow")
+        with pa.memory_map(path) if isinstance(place, fs.LocalFileSystem) else place.open_input_file(path) as source:
+            schema = ipc.read_schema(source)
+            first = source.tell()
+            if batch:  # all batches but the last are as long as the first
+                ipc.read_message(source)
+                source.seek(first + batch * (source.tell() - first))
+            found = ipc.read_record_batch(ipc.read_message(source), schema)
+        length = schema.field("input_ids").type.list_size
+        ids, mask = (found.column(c).flatten().to_numpy(zero_copy_only=True)[row * length : (row + 1) * length] for c in range(2))
+        return ids, mask
 
 
 def _documents(stem: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[int]]]:
