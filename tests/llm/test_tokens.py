@@ -84,16 +84,16 @@ def test_token_files_round_trip(spark, make_docs, odd_docs):
         start, stream = start + len(ids), stream + ids
     files, read = tf.TokenFiles(manifest), []
     for k in range(len(files)):
-        ids, mask = files[k]
-        assert len(ids) == len(mask) == 16 and not ids.flags.owndata and not mask.flags.owndata  # views
-        read += ids[mask == 1].tolist()
+        ids, bits = files[k]
+        assert len(ids) == 16 and len(bits) == 2 and not ids.flags.owndata and not bits.flags.owndata  # views
+        read += ids[tf.mask_of(bits, 16) == 1].tolist()
     assert read == stream
     one = tf.TokenFiles(tf.write_tokens(make_docs([(1, " ".join(texts.values()) * 20, "en", "s")]), tf.byte_encoder(P.path("byte_bpe_50k.json")), length=8))
     ids = [*model.encode(" ".join(texts.values()) * 20, add_special_tokens=False).ids, 0]
     assert len(one) > 3 * tf.BATCH_SEQUENCES  # several batches of one shard, in any order
     for k in r.sample(range(len(one)), 60):
         part = ids[8 * k : 8 * k + 8]
-        assert one[k][0].tolist() == part + [0] * (8 - len(part)) and one[k][1].sum() == len(part)
+        assert one[k][0].tolist() == part + [0] * (8 - len(part)) and tf.mask_of(one[k][1], 8).sum() == len(part)
     with pytest.raises(IndexError):
         one[len(one)]
     load = tf.byte_encoder(P.path("byte_bpe_50k.json"))

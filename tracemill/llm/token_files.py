@@ -2,9 +2,9 @@
 
 Documents are range-partitioned by id and sorted, so that the shards, taken in
 order, hold them in ascending id order. Each shard is one Arrow stream file whose
-batches have two fixed-size-list columns, ``input_ids`` and ``mask`` (a byte each, 0 on
-the padding of a shard's last sequence), and a second stream file with the id, start
-and length of its documents. All batches of a shard but the last have one size, so
+batches have two columns of one width, ``input_ids`` (fixed-size lists) and ``mask`` (a
+bit for each id in fixed-size binaries, 0 on the padding of a shard's last sequence),
+and a second stream file with the id, start and length of its documents. All batches of a shard but the last have one size, so
 sequence ``i`` is found by its number alone: the manifest says in which shard, a
 product where its batch begins, and the file is mapped and viewed there. A shard is written under a
 fresh name and counts only once its row stands in the written manifest, so tasks
@@ -240,7 +240,7 @@ class _Shard:
         self.kind, self.length, self.n, self.docs = kind, length, 0, 0
         self.pending, self.size = [], 0
         item = pa.from_numpy_dtype(kind)
-        self.schema = pa.schema([("input_ids", pa.list_(item, length)), ("mask", pa.list_(pa.uint8(), length))])
+        self.schema = pa.schema([("input_ids", pa.list_(item, length)), ("mask", pa.binary(-(-length // 8)))])
         self.tokens = self._open("tokens", self.schema)
         self.index_schema = pa.schema([("doc_id", id_type), ("start", pa.int64()), ("n_tokens", pa.int64())])
         self.index = self._open("docs", self.index_schema)
@@ -271,12 +271,14 @@ class _Shard:
         self.pending, self.size = [rest.copy()], len(rest)
 
     def _batch(self, ids: np.ndarray, size: int) -> None:
-        mask = np.ones(size, np.uint8)
-        mask[len(ids):] = 0
+        mask = np.zeros((size // self.length, self.length), np.uint8)
+        mask.reshape(-1)[: len(ids)] = 1
+        bits = np.packbits(mask, axis=1, bitorder="little")
         values = np.zeros(size, self.kind)
         values[: len(ids)] = ids
-        lists = [pa.FixedSizeListArray.from_arrays(pa.array(v), self.length) for v in (values, mask)]
-        self.tokens[1].write_batch(pa.record_batch(lists, schema=self.schema))
+        columns = [pa.FixedSizeListArray.from_arrays(pa.array(values), self.length),
+                   pa.Array.from_buffers(self.schema.field("mask").type, len(bits), [None, pa.py_buffer(bits)])]
+        self.tokens[1].write_batch(pa.record_batch(columns, schema=self.schema))
 
     def close(self) -> None:
         self._flush(last=True)
@@ -361,7 +363,7 @@ class TokenFiles:
         return self.n
 
     def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ids and the mask of sequence ``i``: views of the mapped file, or of the one batch that is read."""
+        """The ids and the mask bits of sequence ``i``: views of the mapped file, or of the one batch that is read."""
         if not 0 <= i < self.n:
             raise IndexError(i)
         shard = bisect.bisect_right(self.firsts, i) - 1
@@ -374,9 +376,14 @@ class TokenFiles:
                 ipc.read_message(source)
                 source.seek(first + batch * (source.tell() - first))
             found = ipc.read_record_batch(ipc.read_message(source), schema)
-        length = schema.field("input_ids").type.list_size
-        ids, mask = (found.column(c).flatten().to_numpy(zero_copy_only=True)[row * length : (row + 1) * length] for c in range(2))
-        return ids, mask
+        length, width = schema.field("input_ids").type.list_size, schema.field("mask").type.byte_width
+        ids = found.column(0).flatten().to_numpy(zero_copy_only=True)[row * length : (row + 1) * length]
+        return ids, np.frombuffer(found.column(1).buffers()[1], np.uint8, width, row * width)
+
+
+def mask_of(bits: np.ndarray, length: int) -> np.ndarray:
+    """A byte for each of ``length`` ids from the bits of their mask."""
+    return np.unpackbits(bits, count=length, bitorder="little")
 
 
 def _documents(stem: str) -> Iterator[tuple[pa.Array, np.ndarray, np.ndarray, list[int]]]:
