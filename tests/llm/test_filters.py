@@ -280,3 +280,93 @@ def test_licence_in_a_long_text(spark, make_docs):
 
 def test_licences_of_odd_rows(odd_docs):
     assert licenses.scan_licences(odd_docs.withColumn("text", F.concat("text", F.lit("\nAll rights reserved.")))).count() == 7
+
+
+_NOTICES = {
+    "MIT": """Copyright (c) 2020 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.""",
+    "LGPL-2.1-or-later": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version.""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+}
+_STEPS = {"MIT": ["mit-grant", "mit-condition", "as-is"], "Apache-2.0": ["apache-line", "apache-comply", "apache-basis"], "BSD-3-Clause": ["bsd-grant", "bsd-source", "bsd-binary", "bsd-names"],
+          "GPL-3.0-or-later": ["gpl-free", "gpl-hope"], "LGPL-2.1-or-later": ["lgpl-terms", "version-2.1-or-later"], "MPL-2.0": ["mpl-line"]}
+
+
+def _forms(text):
+    lines = text.split("\n")
+    yield text
+    for mark in ("# ", " * ", "// ", "-- ", ";; "):
+        yield "\n".join((mark + x).rstrip() for x in lines)
+    yield "/*\n" + "\n".join((" * " + x).rstrip() for x in lines) + "\n */\nimport x;"
+    yield "\r\n".join(lines)
+    yield "\r\n".join(("# " + x).rstrip() for x in lines)
+    yield "#!/bin/sh\n" + "\n".join(("# " + x).rstrip() for x in lines) + "\nset -e\n"
+
+
+def test_notices_in_comments(make_docs):
+    rows, want = [], {}
+    for name, text in _NOTICES.items():
+        for form in _forms(text):
+            want[len(rows)] = name
+            rows.append((len(rows), form, "en", "s"))
+    got = {x.doc_id: x for x in licenses.scan_licences(make_docs(rows)).collect()}
+    for i, name in want.items():
+        assert i in got and got[i].licence == name, (name, rows[i][1])
+        ids = iter(got[i].sentence_ids)
+        assert all(step in ids for step in _STEPS[name]), (name, rows[i][1], got[i].sentence_ids)  # the longest rule
+
+
+def test_rules_take_steps_in_order(spark):
+    rules = [("abab", ["a", "b", "a", "b"]), ("aa", ["a", "a"]), ("bac", ["b", "a", "c"]), ("c", ["c"])]
+    rows = [(i, 1, r, pos, x) for i, r, text in [(1, 0, "abab"), (2, 0, "ab"), (2, 1, "ba"), (3, 0, "xbxaxc"), (4, 0, "bbaab"), (None, 0, "c")] for pos, x in enumerate(text)]
+    found = spark.createDataFrame(rows, "_id long, _text long, reading int, pos int, sentence_id string")
+    got = {x._id: [rules[k][0] for k in x.fits] for x in licenses.fitting_rules(found, rules).collect()}
+    assert got == {1: ["abab", "aa"], 3: ["bac", "c"], 4: ["aa"], None: ["c"]}

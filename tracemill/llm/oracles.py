@@ -51,9 +51,12 @@ FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(
 def op8() -> str:
     known = list(licenses.known_sentences().items())
     rules = [(k, name, " " + " (?:.* )?".join(map(re.escape, ids)).replace("\\-", "-") + " ") for k, (name, ids) in enumerate(licenses.all_rules())]
+    body = "text"
+    for pattern, by in licenses.READING:
+        body = f"regexp_replace({body}, '{pattern}', E'{by.replace('$', chr(92) * 2).replace(chr(10), chr(92) + 'n')}', 'g')"
     return f"""
 WITH k AS (SELECT * FROM {_values(known, 'sentence, sentence_id')}), ru AS (SELECT * FROM {_values(rules, 'k, name, pattern')}),
-rd AS (SELECT doc_id, 0 AS reading, text AS body FROM documents UNION ALL SELECT doc_id, 1, regexp_replace(regexp_replace(text, '{licenses._WRAP}', '\\1 \\2', 'g'), '{licenses._WRAP}', '\\1 \\2', 'g') FROM documents),
+rd AS (SELECT doc_id, 0 AS reading, text AS body FROM documents UNION ALL SELECT doc_id, 1, {body} FROM documents),
 se AS (SELECT doc_id, reading, unnest(regexp_split_to_array(body, '{licenses.SENTENCE_END}')) AS raw, generate_subscripts(regexp_split_to_array(body, '{licenses.SENTENCE_END}'), 1) AS pos FROM rd),
 pl AS (SELECT doc_id, reading, pos, trim(regexp_replace({_lower('raw')}, '[^a-z0-9]+', ' ', 'g')) AS s FROM se),
 ex AS (SELECT doc_id, reading, pos, CASE WHEN starts_with(s, '{licenses.SPDX} ') THEN ['{licenses.SPDX} ' || x FOR x IN regexp_split_to_array(replace(substr(s, {len(licenses.SPDX) + 2}), ' or later', '{licenses.OR_LATER}'), '{licenses.SPDX_JOIN}')] ELSE [s] END AS ss FROM pl),
