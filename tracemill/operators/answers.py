@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions import compare as c
 from ..functions import matching as m
+from ..sources.shared import written
 from .scoring import MEASURE_FIELDS, fold_fields, sequence_similarity
 
 FIELDS = "answer_id long, field string, shape string, listed boolean, unordered boolean, state string, e string, p string"
@@ -176,7 +177,7 @@ def _shares(hits: Column) -> tuple[Column, Column, Column]:
 
 
 def _element_scores(fields: DataFrame) -> DataFrame:
-    elements = field_elements(fields)
+    elements = written(field_elements(fields), "elements")  # read by side, token and shape
     nil = F.lit(0)
     rows = fields.where(F.col("state").isNull() & ~F.col("shape").startswith("scalar")).select(*_ID, "shape", "listed", "unordered")
     rows = rows.join(_bags(elements), _ID, "left").fillna(0, ["expected", "predicted", "hits"])
@@ -212,7 +213,11 @@ def _element_scores(fields: DataFrame) -> DataFrame:
 
 
 def field_scores(fields: DataFrame) -> DataFrame:
-    """Shape, score (four decimals) and label of every field, with the measures of its shape."""
+    """Shape, score (four decimals) and label of every field, with the measures of its shape.
+
+    Fields and their elements are written once: documents are parsed once, elements named once.
+    """
+    fields = written(fields, "fields")
     none = {n: F.lit(None).cast(t) for n, t in (("precision", "double"), ("recall", "double"), ("prefix", "long"), ("similarity", "double"), ("value_accuracy", "double"))}
     lost = fields.where(F.col("state").isNotNull()).select(*_ID, F.lit(0.0).alias("score"), F.col("state").alias("label"))
     scored = _element_scores(fields).unionByName(_scalar_scores(fields).withColumns(none)).unionByName(lost.withColumns(none))
@@ -221,7 +226,7 @@ def field_scores(fields: DataFrame) -> DataFrame:
 
 def answer_scores(answers: DataFrame) -> DataFrame:
     """answer_id, correct, score, label, shapes: the verdict on the whole and the fold of the fields' scores."""
-    scored = field_scores(answer_fields(answers))
+    scored = written(field_scores(answer_fields(answers)), "field-scores")
     folded = fold_fields(scored, verdicts(answers).select("answer_id", "correct"))
     shapes = scored.groupBy("answer_id").agg(F.array_join(F.array_sort(F.collect_set("shape")), ",").alias("shapes"))
     return folded.withColumn("score", F.round("score", 4)).join(shapes, "answer_id")
