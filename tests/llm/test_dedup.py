@@ -193,3 +193,25 @@ def test_crowded_keys_by_all_pairs(spark, make_docs, prose):
         roots = {x.node: x.root for x in sh.connected(found).collect()}
         missed = [p for p in near if roots.get(p[0], p[0]) != roots.get(p[1], p[1])]
         assert len(near) > 300 and not missed, full
+
+
+def test_candidates_of_templates_grow_with_the_texts(spark, make_docs, monkeypatch):
+    """Pages of one template, each with a part of its own of the same length: similar at 0.66 and 0.78, none linked."""
+    counted, similar = [], mh._similar
+
+    def counting(pairs, sets, similarity):
+        counted.append(pairs.distinct().count())
+        return similar(pairs, sets, similarity)
+
+    monkeypatch.setattr(mh, "_similar", counting)
+    for own in (28, 50):
+        rates = []
+        for n in (150, 600):
+            r = random.Random(n)
+            page = [f"t{r.randrange(10**9)}" for _ in range(245 - own)]
+            rows = [(i, " ".join(page + [f"u{r.randrange(10**9)}" for _ in range(own)]), "en", "s") for i in range(n)]
+            counted.clear()
+            assert mh.links(mh._prints(make_docs(rows), "doc_id", "text")).count() == 0
+            rates.append([c / n for c in counted])
+        assert rates[1][1] <= 1.2 and rates[0][1] <= 1.2  # within a family
+        assert rates[1][0] <= 64  # keys of at most 32 texts

@@ -20,6 +20,33 @@ def test_stages_keep_the_columns(spark):
         at += x.n_tokens
 
 
+def _shingles(text):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) or frozenset([tuple(words)])
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """What the second stage keeps of the first one's documents: the least id of each group linked at 0.8."""
+    sf = "/root/testdata/sf0.001"
+    docs = corpus_pipeline.quality_stage(spark, spark.read.parquet(f"{sf}/documents.parquet"), sf).cache()
+    rows = {x.doc_id: x for x in docs.collect()}
+    sets, root = {i: _shingles(x.text) for i, x in rows.items()}, {i: i for i in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                x, y = sorted((top(a), top(b)))
+                root[y] = x
+    kept = {x.doc_id: x for x in corpus_pipeline.near_duplicate_stage(spark, docs, sf).collect()}
+    assert set(kept) == {i for i in rows if root[i] == i} and len(kept) < len(rows)
+    assert all(kept[i] == rows[i] for i in kept)
+
+
 def test_stages_on_empty_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
