@@ -24,7 +24,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, require
+from .common import ascii_lower, require, written
 
 # Sentences of public licences and usual one-line notices, by identifier.
 SENTENCES = {
@@ -350,7 +350,7 @@ def scan_licences(
     """id, licence, licences (all that fit, in rule order), n_sentences, sentence_ids."""
     require(docs, id_col, text_col)
     rules = all_rules(rules)
-    found = licence_sentences(docs, catalogue, id_col, text_col).distinct()
+    found = written(licence_sentences(docs, catalogue, id_col, text_col).distinct(), "licence-sentences")  # texts are read once
     by_reading = found.groupBy("_id", "_text", "reading").agg(F.array_sort(F.collect_list(F.struct("pos", "sentence_id"))).alias("at")).withColumn("ids", F.col("at.sentence_id"))
     told = by_reading.groupBy("_id", "_text").agg(F.max_by("ids", F.struct(F.size("ids"), -F.col("reading"))).alias("sentence_ids"))
     fits = fitting_rules(found, rules).select(F.col("_id").alias("f_id"), F.col("_text").alias("f_text"), "fits")
