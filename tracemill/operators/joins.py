@@ -83,12 +83,15 @@ def caller_hops(edges: DataFrame, cap: int = 6) -> DataFrame:
 
 
 def price_lookup(models: DataFrame, prices: DataFrame, aliases: DataFrame) -> DataFrame:
-    """model, priced_as, rate columns: by alias, else exactly, else by the longest prefix; candidates also without version tails."""
+    """model, priced_as, rate columns: by alias, else exactly, else by the longest prefix; candidates also without version tails.
+
+    Prices and aliases are lists that people keep; they are what is sent to all tasks, never the models.
+    """
     plain = F.lower("model")
     bare = F.regexp_replace(plain, r"(-\d{8}|-v\d+|:.*)$", "")
     asked = models.select("model").distinct().select("model", F.posexplode(F.array_distinct(F.array(plain, bare))).alias("turn", "name"))
-    known = prices.withColumnRenamed("name", "priced_as")
-    by_alias = asked.join(aliases, "name").join(known, F.col("target") == F.col("priced_as")).withColumn("rank", F.lit(0))
+    known = F.broadcast(prices.withColumnRenamed("name", "priced_as"))
+    by_alias = asked.join(F.broadcast(aliases), "name").join(known, F.col("target") == F.col("priced_as")).withColumn("rank", F.lit(0))
     exact = asked.join(known, F.col("name") == F.col("priced_as")).withColumn("rank", F.lit(1))
     starts = F.transform(F.sequence(F.lit(1), F.length("name")), lambda k: F.substring(F.col("name"), F.lit(1), k))
     prefix = asked.withColumn("priced_as", F.explode(starts)).join(known, "priced_as").withColumn("rank", F.lit(2))
