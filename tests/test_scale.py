@@ -2,7 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tracemill.operators import evidence as ev
 from tracemill.operators import joins as jn
+from tracemill.operators import source_code as so
+from tracemill.operators.conformity import conformity
+from tracemill.sources.dealt import dealt
 
 
 def _plan(df):
@@ -18,3 +22,32 @@ def test_models_are_never_broadcast(spark):
     plan = _plan(found)
     assert found.where("priced_as = 'big' and input = 3.0").count() == 2000
     assert "BroadcastHashJoin" in plan and "BuildLeft" not in plan and "SortMergeJoin" not in plan
+
+
+def test_conformity_sends_no_answers_to_all_tasks(spark):
+    """Level by level, however small the packed files look."""
+    answers = spark.range(300).select(F.col("id").alias("answer_id"), F.lit('{"a":[{"b":"int"}]}').alias("template"), F.when(F.col("id") % 3 == 0, '{"a":[{"b":1},2]}').otherwise('{"a":[]}').alias("doc")).coalesce(1)
+    found = conformity(answers)
+    assert "Broadcast" not in _plan(found)
+    assert found.where("not conforms and errors = 1").count() == 100 and found.where("conforms").count() == 200
+
+
+def test_code_of_one_file_goes_to_all_tasks(spark):
+    """One partition of many sources is parsed by as many tasks as there are cores at least, by more if they are many."""
+    one = spark.range(400).select(F.concat(F.lit("m"), F.col("id").cast("string")).alias("path"), F.lit("import os\nfor x in y:\n    z: int = f(x)\n").alias("text")).coalesce(1)
+    cores = spark.sparkContext.defaultParallelism
+    for found in (so.test_features(one), so.functions(one, least=1)):
+        assert found.rdd.getNumPartitions() >= cores
+    assert ev.docstring_lines(one.withColumnRenamed("path", "file")).rdd.getNumPartitions() >= cores
+    assert so.test_features(one).select("source_lines", "imports", "calls").distinct().collect() == [(3, 1, 1)]
+    assert dealt(one, each=10).rdd.getNumPartitions() == 40
+
+
+def test_metrics_in_one_pass(spark):
+    """Counts of a body, without those of inner functions; functions inside statements are known."""
+    text = "def f(a, b):\n    x: int\n    y: int = 1\n    z = y\n    z += g(a)\n    try:\n        while a:\n            for i in b:\n                break\n    except ValueError:\n        raise\n    finally:\n        h()\n    def g(q):\n        return q\n    return x and y\nif f:\n    def h():\n        'doc'\n        return 1\n"
+    row = so.functions(spark.createDataFrame([("m", text)], "path string, text string"), least=4).where("qualname = 'f'").first()
+    want = {"loops": 2, "while_loops": 1, "max_loop_nesting": 2, "excepts": 1, "finallys": 1, "raises": 1, "calls": 2, "num_local_calls": 2, "assigns": 2, "augassigns": 1, "returns": 1, "boolops": 1, "breaks_continues": 1, "n_params": 2}
+    assert {k: row[k] for k in want} == want and row.local_calls == ["g", "h"]
+    docs = ev.docstring_lines(spark.createDataFrame([("m", text), ("n", "x = 1")], "file string, text string")).collect()
+    assert [tuple(x) for x in docs] == [("m", 19)]

@@ -10,10 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.dealt import dealt
 from ..sources.shared import written
 
 # Keys of a template that stand for any key, besides those in angle brackets.
 PLACEHOLDERS = ["str", "int", "float", "number", "bool", "null", "none", "any", "object", "key"]
+#: Answers whose JSON one task takes apart.
+ANSWERS_A_TASK = 20_000
 _NODE = {"node": T.LongType(), "parent": T.LongType(), "step": T.StringType(), "path": T.StringType(), "kind": T.StringType(), "size": T.LongType()}
 
 
@@ -64,6 +67,11 @@ def _placeholder(step: str) -> Column:
     return (key.startswith("<") & key.endswith(">")) | F.lower(key).isin(PLACEHOLDERS)
 
 
+def _merged(side: DataFrame) -> DataFrame:
+    """A side of a join by merging: it grows with the answers, and packed files look small enough to be sent to all tasks."""
+    return side.hint("merge")
+
+
 def conformity(answers: DataFrame, key: str = "answer_id", template: str = "template", doc: str = "doc") -> DataFrame:
     """key, conforms, errors, first_error of every row of (key, template, doc).
 
@@ -74,24 +82,25 @@ def conformity(answers: DataFrame, key: str = "answer_id", template: str = "temp
     down together, one join a level, until the template ends; a level holds each value of
     an answer once. A text that is not JSON does not conform, and has no error. Keys should be distinct.
     """
-    wide = json_nodes(answers, key, template)
+    answers = dealt(answers, each=ANSWERS_A_TASK)
+    wide = written(json_nodes(answers, key, template), "template-nodes")
     above = wide.select(key, F.col("node").alias("parent"), F.col("kind").alias("above"), F.col("size").alias("siblings"))
     first = F.col("node") == F.col("parent") + 1  # the first child follows its parent
-    edges = wide.join(above, [key, "parent"]).select(
+    edges = wide.join(_merged(above), [key, "parent"]).select(
         key, F.col("parent").alias("t"), F.col("node").alias("t_node"), F.col("kind").alias("t_kind"),
         F.when((F.col("above") == "object") & ~((F.col("siblings") == 1) & _placeholder("step")), F.col("step")).alias("step"), (F.col("above") == "array").alias("listed"), first.alias("first"))
     edges = written(edges.where("first or not listed").drop("listed", "first"), "template-edges")
     values = written(json_nodes(answers, key, doc), "answer-nodes")
     below = values.where("parent is not null").select(key, F.col("parent").alias("a"), F.col("node").alias("a_node"), F.col("kind").alias("a_kind"), "path", F.col("step").alias("a_step"))
     roots = wide.where("parent is null").select(key, F.col("node").alias("t_node"), F.col("kind").alias("t_kind")).join(
-        values.where("parent is null").select(key, F.col("node").alias("a_node"), F.col("kind").alias("a_kind"), "path"), key)
+        _merged(values.where("parent is null").select(key, F.col("node").alias("a_node"), F.col("kind").alias("a_kind"), "path")), key)
     level, levels = written(roots, "level"), []
     while not level.isEmpty():
         levels.append(level)
         on = level.where("t_kind <> 'scalar' and t_kind = a_kind").select(key, F.col("t_node").alias("t"), F.col("a_node").alias("a"))
-        steps = on.join(edges, [key, "t"])
-        named = steps.where("step is not null").join(below.withColumnRenamed("a_step", "step"), [key, "a", "step"])
-        every = steps.where("step is null").join(below, [key, "a"])
+        steps = on.join(_merged(edges), [key, "t"])
+        named = steps.where("step is not null").join(_merged(below.withColumnRenamed("a_step", "step")), [key, "a", "step"])
+        every = steps.where("step is null").join(_merged(below), [key, "a"])
         level = written(named.select(*level.columns).unionByName(every.select(*level.columns)), "level")
     met = level
     for one in levels:
@@ -99,5 +108,5 @@ def conformity(answers: DataFrame, key: str = "answer_id", template: str = "temp
     wrong = (F.col("t_kind") != "scalar") & (F.col("t_kind") != F.col("a_kind"))
     told = F.concat("path", F.lit(": expected "), F.when(F.col("t_kind") == "array", "list").otherwise(F.col("t_kind")))
     found = met.groupBy(key).agg(F.count_if(wrong).alias("errors"), F.min_by(told, F.when(wrong, F.col("a_node"))).alias("first_error"))
-    return answers.select(key).join(found, key, "left").select(
+    return answers.select(key).join(_merged(found), key, "left").select(
         key, F.coalesce(F.col("errors") == 0, F.lit(False)).alias("conforms"), F.coalesce("errors", F.lit(0)).alias("errors"), "first_error")
