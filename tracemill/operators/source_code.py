@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import ast
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dealt import dealt
+
 # Folders and beginnings of file names that are never targets; folders of tests.
 EXCLUDED = [
     ".git", "docs", "doc", "examples", "example", "benchmarks", "build", "dist", "node_modules", "vendor", "_vendor", "vendored",
@@ -16,6 +19,8 @@ EXCLUDED = [
 ]
 EXCLUDED_PREFIXES = ["test_", "conftest", "setup"]
 TEST_FOLDERS = ["tests", "test", "testing"]
+#: Files that one task parses.
+FILES_A_TASK = 10_000
 LEAST_LINES, MOST_LINES = 8, 250
 METRICS = ["body_lines", "branches", "loops", "while_loops", "max_loop_nesting", "excepts", "raises", "finallys", "calls", "num_local_calls", "assigns",
            "augassigns", "returns", "boolops", "comprehensions", "with_blocks", "breaks_continues"]
@@ -32,11 +37,23 @@ def is_source(path: Column) -> Column:
 
 _LOOPS, _SCOPES = (ast.For, ast.AsyncFor, ast.While), (ast.FunctionDef, ast.AsyncFunctionDef, ast.Lambda, ast.ClassDef)
 _COUNTED = {
-    "branches": ast.If, "loops": _LOOPS, "while_loops": ast.While, "raises": ast.Raise, "calls": ast.Call, "augassigns": ast.AugAssign, "returns": ast.Return,
-    "boolops": ast.BoolOp, "comprehensions": (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp), "with_blocks": ast.With, "breaks_continues": (ast.Break, ast.Continue),
+    "branches": (ast.If,), "loops": _LOOPS, "while_loops": (ast.While,), "raises": (ast.Raise,), "calls": (ast.Call,), "augassigns": (ast.AugAssign,), "returns": (ast.Return,),
+    "boolops": (ast.BoolOp,), "comprehensions": (ast.ListComp, ast.SetComp, ast.DictComp, ast.GeneratorExp), "with_blocks": (ast.With,), "breaks_continues": (ast.Break, ast.Continue),
 }
 
 
+def statements(tree: ast.AST) -> Iterator[ast.AST]:
+    """A tree and all statements in it; functions and classes stand nowhere else, so expressions are passed over."""
+    todo = [tree]
+    while todo:
+        node = todo.pop()
+        yield node
+        for inner in ("body", "orelse", "finalbody", "handlers", "cases"):
+            below = getattr(node, inner, None)
+            if isinstance(below, list):
+                todo += below
+
+
 def _own_nodes(function: ast.AST) -> list[tuple[ast.AST, int]]:
     """The nodes of a body with the loops around them, without those of inner functions and classes."""
     found, todo = [], [(n, 0) for n in function.body]
@@ -50,15 +67,15 @@ def _own_nodes(function: ast.AST) -> list[tuple[ast.AST, int]]:
 
 def _metrics(function: ast.AST, module_functions: set[str]) -> dict:
     own = _own_nodes(function)
-    nodes = [n for n, _ in own]
-    tries = [n for n in nodes if isinstance(n, ast.Try)]
-    called = {getattr(n.func, "id", getattr(n.func, "attr", None)) for n in nodes if isinstance(n, ast.Call)}
+    kinds = Counter(type(n) for n, _ in own)
+    tries = [n for n, _ in own if type(n) is ast.Try]
+    called = {getattr(n.func, "id", getattr(n.func, "attr", None)) for n, _ in own if type(n) is ast.Call}
     local = sorted(module_functions & called)
-    return {k: sum(isinstance(n, kind) for n in nodes) for k, kind in _COUNTED.items()} | {
+    return {k: sum(map(kinds.__getitem__, of)) for k, of in _COUNTED.items()} | {
         "body_lines": function.end_lineno - function.lineno + 1,
-        "max_loop_nesting": max((d + 1 for n, d in own if isinstance(n, _LOOPS)), default=0),
+        "max_loop_nesting": max((d + 1 for n, d in own if type(n) in _LOOPS), default=0),
         "excepts": sum(len(t.handlers) for t in tries), "finallys": sum(bool(t.finalbody) for t in tries),
-        "assigns": sum(isinstance(n, ast.Assign) or isinstance(n, ast.AnnAssign) and n.value is not None for n in nodes),
+        "assigns": kinds[ast.Assign] + sum(type(n) is ast.AnnAssign and n.value is not None for n, _ in own),
         "num_local_calls": len(local), "local_calls": local,
     }
 
@@ -83,7 +100,7 @@ def functions(files: DataFrame, least: int = LEAST_LINES, most: int = MOST_LINES
                     tree = ast.parse(text or "")
                 except (SyntaxError, ValueError, RecursionError):
                     continue
-                known = {n.name for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
+                known = {n.name for n in statements(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef))}
                 for name, node in _functions(tree):
                     short = name.rsplit(".", 1)[-1]
                     if least <= node.end_lineno - node.lineno + 1 <= most and not (short.startswith("__") and short.endswith("__")):
@@ -91,7 +108,7 @@ def functions(files: DataFrame, least: int = LEAST_LINES, most: int = MOST_LINES
                         rows.append((path, name, node.lineno, node.end_lineno, len(node.args.args), *(found[m] for m in METRICS), found["local_calls"]))
             yield pd.DataFrame(rows, columns=names)
 
-    return files.select("path", "text").mapInPandas(walk, FUNCTIONS)
+    return dealt(files.select("path", "text"), each=FILES_A_TASK).mapInPandas(walk, FUNCTIONS)
 
 
 def structural_score() -> Column:
@@ -110,11 +127,10 @@ def test_features(files: DataFrame) -> DataFrame:
             rows = []
             for path, text in zip(pdf["path"], pdf["text"]):
                 try:
-                    nodes = list(ast.walk(ast.parse(text or "")))
-                    of = lambda *kinds: sum(isinstance(n, kinds) for n in nodes)  # noqa: B023, E731
-                    rows.append((path, len((text or "").splitlines()), of(ast.Import, ast.ImportFrom), of(ast.Call)))
+                    kinds = Counter(map(type, ast.walk(ast.parse(text or ""))))
+                    rows.append((path, len((text or "").splitlines()), kinds[ast.Import] + kinds[ast.ImportFrom], kinds[ast.Call]))
                 except (SyntaxError, ValueError, RecursionError):
                     rows.append((path, 0, 0, 0))
             yield pd.DataFrame(rows, columns=["path", "source_lines", "imports", "calls"])
 
-    return files.select("path", "text").mapInPandas(count, "path string, source_lines int, imports int, calls int")
+    return dealt(files.select("path", "text"), each=FILES_A_TASK).mapInPandas(count, "path string, source_lines int, imports int, calls int")
