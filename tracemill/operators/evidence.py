@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.literals import canonical_json
+from ..sources.dealt import dealt
 from ..sources.shared import shared_path
 from .joins import suffix_pairs
+from .source_code import FILES_A_TASK, statements
 from .trace import path_digest, trace_edges
 
 
@@ -124,11 +126,13 @@ def docstring_lines(files: DataFrame) -> DataFrame:
         for pdf in batches:
             rows = []
             for file, text in zip(pdf["file"], pdf["text"]):
+                if not text or '"' not in text and "'" not in text:  # a docstring is quoted
+                    continue
                 try:
-                    tree = ast.parse(text or "")
+                    tree = ast.parse(text)
                 except (SyntaxError, ValueError, MemoryError, RecursionError):
                     continue
-                for node in ast.walk(tree):
+                for node in statements(tree):
                     if isinstance(node, (ast.Module, ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)) and node.body:
                         first = node.body[0]
                         if isinstance(first, ast.Expr) and isinstance(first.value, ast.Constant) and isinstance(first.value.value, str):
@@ -136,12 +140,12 @@ def docstring_lines(files: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["file", "line"])
 
     kind = files.schema["file"].dataType
-    return files.select("file", "text").mapInPandas(of, T.StructType([T.StructField("file", kind), T.StructField("line", T.LongType())]))
+    return dealt(files.select("file", "text"), each=FILES_A_TASK).mapInPandas(of, T.StructType([T.StructField("file", kind), T.StructField("line", T.LongType())]))
 
 
 def code_lines(files: DataFrame) -> DataFrame:
     """file, line of (file, text): lines, from 1, that are not blank, a comment or part of a docstring."""
-    lines = files.select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "text")).where(~F.col("text").rlike(r"^\s*(#.*)?$"))
+    lines = dealt(files.select("file", "text"), each=FILES_A_TASK).select("file", F.posexplode(F.split("text", "\r\n|\r|\n")).alias("pos", "text")).where(~F.col("text").rlike(r"^\s*(#.*)?$"))
     return lines.select("file", (F.col("pos") + 1).cast("long").alias("line")).join(docstring_lines(files), ["file", "line"], "left_anti")
 
 
