@@ -2,8 +2,11 @@
 
 from pyspark.sql import functions as F
 
+from tests.compare import SF
 from tracemill.operators import evidence as ev
 from tracemill.operators import joins as jn
+from tracemill.operators import reports as rp
+from tracemill.operators import scoring as sc
 from tracemill.operators import source_code as so
 from tracemill.operators.conformity import conformity
 from tracemill.sources.dealt import dealt
@@ -51,3 +54,20 @@ def test_metrics_in_one_pass(spark):
     assert {k: row[k] for k in want} == want and row.local_calls == ["g", "h"]
     docs = ev.docstring_lines(spark.createDataFrame([("m", text), ("n", "x = 1")], "file string, text string")).collect()
     assert [tuple(x) for x in docs] == [("m", 19)]
+
+
+def test_items_are_dealt_by_their_number(spark, monkeypatch):
+    """The window over answers keeps as many tasks as the rows ask for."""
+    from tracemill.sources import fixtures
+
+    monkeypatch.setattr(fixtures, "dealt", lambda rows, *keys: dealt(rows, *keys, each=500))
+    items = fixtures.base_items(spark, SF)
+    assert items.rdd.getNumPartitions() == -(-items.count() // 500) > spark.sparkContext.defaultParallelism
+
+
+def test_answers_are_taken_apart_once(spark):
+    docs = [(1, '{"a":[{"b":"x1"},[2,3]],"c":{"d":[]},"e":null}'), (2, "[[1],[2.5],true]"), (3, "7"), (4, "{broken"), (5, '{"k[":1}')]
+    found = rp.answer_statistics(sc.leaves(spark.createDataFrame(docs, "answer_id long, doc string")))
+    assert _plan(found).split("Initial Plan")[0].count("MapInArrow") == 1
+    got = {x.answer_id: (x.leaves, x.fields, x.depth, x.characters, x.digits, x.lists, x.elements, x.longest_list) for x in found.collect()}
+    assert got == {1: (5, 3, 3, 10, 3, 1, 2, 2), 2: (3, 1, 2, 8, 3, 1, 3, 3), 3: (1, 1, 0, 1, 1, 0, 0, 0), 5: (1, 1, 2, 1, 1, 1, 1, 1)}
