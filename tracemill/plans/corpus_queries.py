@@ -184,13 +184,13 @@ def _goals(s, d):
 
 
 def _accumulated(s, d):
-    """Verdicts that come run by run, merged as a stream of files; the last one has later runs of some and earlier ones of others."""
+    """Verdicts that come run by run, each merged as what a stream of files has new; the last one has later runs of some and earlier ones of others."""
     at = shared_path(s, "runs")
-    runs = verdicts(s, d)
-    for k, part in enumerate((runs.where("run_pos % 3 = 1"), runs.where("run_pos % 3 = 2"), runs.where("run_pos % 3 = 0"))):
-        part.coalesce(1).write.mode("append").parquet(f"{at}/in")
-    source = s.readStream.schema(runs.schema).option("maxFilesPerTrigger", "1").parquet(f"{at}/in")
-    return accumulate(source, ["scope", "instance_id"], "run_pos", f"{at}/table").read()
+    runs = written(verdicts(s, d), "verdicts")
+    for k in (1, 2, 0):  # a run is as many files as it has tasks, and one batch
+        runs.where(F.col("run_pos") % 3 == k).write.mode("append").parquet(f"{at}/in")
+        table_now = accumulate(s.readStream.schema(runs.schema).parquet(f"{at}/in"), ["scope", "instance_id"], "run_pos", f"{at}/table")
+    return table_now.read()
 
 
 def _traced(s, d):
