@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from tests.compare import SF
+from tracemill.operators import calltree as ct
 from tracemill.operators import evidence as ev
 from tracemill.operators import joins as jn
 from tracemill.operators import reports as rp
@@ -10,6 +11,7 @@ from tracemill.operators import scoring as sc
 from tracemill.operators import source_code as so
 from tracemill.operators.conformity import conformity
 from tracemill.sources.dealt import dealt
+from tracemill.streaming.accumulate import accumulate
 
 
 def _plan(df):
@@ -71,3 +73,26 @@ def test_answers_are_taken_apart_once(spark):
     assert _plan(found).split("Initial Plan")[0].count("MapInArrow") == 1
     got = {x.answer_id: (x.leaves, x.fields, x.depth, x.characters, x.digits, x.lists, x.elements, x.longest_list) for x in found.collect()}
     assert got == {1: (5, 3, 3, 10, 3, 1, 2, 2), 2: (3, 1, 2, 8, 3, 1, 3, 3), 3: (1, 1, 0, 1, 1, 0, 0, 0), 5: (1, 1, 2, 1, 1, 1, 1, 1)}
+
+
+def test_runs_are_not_one_task(spark, monkeypatch):
+    """Each run comes in as many files as it has tasks, and is one batch of the table."""
+    from tracemill.plans import corpus_queries as cq
+
+    made = []
+    monkeypatch.setattr(cq, "accumulate", lambda source, *rest: made.append(accumulate(source, *rest)) or made[-1])
+    found = cq.QUERIES["in1_accumulated"][0](spark, SF)
+    assert found.count() > 0
+    assert len(made) == 3 and made[-1].log().where("batch >= 0").count() == 3
+    files = spark.read.parquet(made[-1].path.removesuffix("/table") + "/in").inputFiles()
+    assert len(files) > 3
+
+
+def test_activations_in_one_stream(spark):
+    """Chunks of traces go through a task one after the other, with no group of their own."""
+    events = spark.range(3000).select((F.col("id") % 50).alias("trace_id"), F.col("id").alias("seq"), F.concat(F.lit("f"), (F.col("id") % 7 % 3).cast("string")).alias("func"),
+                                      F.when(F.col("id") % 5 == 0, "call").when(F.col("id") % 5 == 3, "return").otherwise("line").alias("event"))
+    whole, cut = (ct.activations(events, chunk=c, fan=3) for c in (1000, 7))
+    got = [sorted(map(tuple, x.collect()), key=str) for x in (whole, cut)]
+    assert got[0] == got[1] and len(got[0]) > 500
+    assert ct.activations(events.limit(0)).count() == 0

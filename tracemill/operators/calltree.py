@@ -13,18 +13,22 @@ reduce; its summaries are as long as its chunks.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.dealt import dealt
 from ..sources.shared import written
 from .prefix import row_numbers
 
 #: Events of a trace that one worker holds at a time; summaries that are joined in one step.
 ACTIVATION_CHUNK = 100_000
 FAN = 16
+#: Events of a task of the last pass, which holds one stack at a time.
+EVENTS_A_TASK = 200_000
 
 _EVENT = "trace_id long, node long, seq long, func string, event string"
 _OPEN = "trace_id long, node long, func string, call_seq long, parent_seq long, depth int, orphan boolean"
@@ -111,6 +115,33 @@ def _frame(rows: list, schema: str, whole: tuple[str, ...]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=names, dtype=object).astype({c: "Int64" for c in whole})
 
 
+def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The activations that end in each chunk; chunks follow each other, the stack before the events of each."""
+    schema = pa.schema([("trace_id", pa.int64()), ("func", pa.string()), ("call_seq", pa.int64()), ("parent_seq", pa.int64()), ("depth", pa.int32()),
+                        ("end_seq", pa.int64()), ("orphan", pa.bool_()), ("closed", pa.bool_())])
+    now, stack, seq, final, some = None, Stack(), 0, False, False
+
+    def ended() -> list[tuple]:
+        return [(now[0], *e[:4], seq, e[4], False) for e in stack.entries] if final and some else []
+
+    def packed(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(list(zip(*done)) or [[]] * len(schema), schema)], schema=schema)
+
+    for batch in batches:
+        done: list[tuple] = []
+        for trace, node, at, func, event, last, depth, call_seq, parent_seq, orphan in zip(*(c.to_pylist() for c in batch.columns)):
+            if (trace, node) != now:
+                done += ended()
+                now, stack, some = (trace, node), Stack(), False
+            if event is None:
+                stack._push([func, call_seq, parent_seq, depth, orphan])
+            else:
+                seq, final, some = at, last, True
+                done += [(trace, *e[:4], seq, e[4], own) for e, own in stack.take(seq, func, event)]
+        yield packed(done)
+    yield packed(ended())
+
+
 def activations(events: DataFrame, chunk: int = ACTIVATION_CHUNK, fan: int = FAN) -> DataFrame:
     """trace_id, activation, func, parent, depth, call_seq, end_seq, orphan, closed: one row an activation.
 
@@ -147,20 +178,14 @@ def activations(events: DataFrame, chunk: int = ACTIVATION_CHUNK, fan: int = FAN
         opened = begun.withColumn("parent", F.col("node"))
         begun = written(opened.groupBy("trace_id", "parent").cogroup(below.groupBy("trace_id", "parent")).applyInPandas(down, _OPEN), "stacks")
     ends = placed.groupBy("trace_id").agg(F.max("node").alias("last_node"))
-
-    def resolve(key: tuple, opened: pd.DataFrame, pdf: pd.DataFrame) -> pd.DataFrame:
-        if not len(pdf):  # a node without events of its own
-            return _frame([], _DONE, ("call_seq", "parent_seq", "depth", "end_seq"))
-        trace, node = key
-        stack, done, seq = _stack(opened), [], 0
-        for seq, func, event in _rows(pdf):
-            done += [[trace, *e[:4], seq, e[4], own] for e, own in stack.take(seq, func, event)]
-        if pdf["last_node"].iloc[0] == node:
-            done += [[trace, *e[:4], seq, e[4], False] for e in stack.entries]
-        return _frame(done, _DONE, ("call_seq", "parent_seq", "depth", "end_seq"))
-
-    last = placed.join(ends, "trace_id")
-    found = begun.groupBy("trace_id", "node").cogroup(last.groupBy("trace_id", "node")).applyInPandas(resolve, _DONE)
+    last = placed.join(ends, "trace_id") if top else placed.withColumn("last_node", F.lit(0).cast("long"))
+    # the stack with which a chunk begins stands before its events
+    entries = begun.select("trace_id", "node", F.lit(None).cast("long").alias("seq"), "func", F.lit(None).cast("string").alias("event"), F.lit(False).alias("last"), "depth", "call_seq", "parent_seq", "orphan")
+    own = last.select("trace_id", "node", "seq", "func", "event", (F.col("last_node") == F.col("node")).alias("last"),
+                      *[F.lit(None).cast(kind).alias(c) for c, kind in (("depth", "int"), ("call_seq", "long"), ("parent_seq", "long"), ("orphan", "boolean"))])
+    lined = dealt(entries.unionByName(own), "trace_id", "node", counted=placed, each=EVENTS_A_TASK)
+    lined = lined.sortWithinPartitions("trace_id", "node", F.col("event").isNotNull(), "depth", "seq", "func", "event")
+    found = lined.mapInArrow(_resolved, _DONE)
     numbered = written(row_numbers(found, ["trace_id"], [F.asc("call_seq")], "activation"), "activations")
     parents = numbered.select("trace_id", F.col("call_seq").alias("parent_seq"), F.col("activation").alias("parent"))
     return numbered.join(parents, ["trace_id", "parent_seq"], "left").select(
