@@ -185,7 +185,7 @@ def activations(events: DataFrame, chunk: int = ACTIVATION_CHUNK, fan: int = FAN
                       *[F.lit(None).cast(kind).alias(c) for c, kind in (("depth", "int"), ("call_seq", "long"), ("parent_seq", "long"), ("orphan", "boolean"))])
     lined = dealt(entries.unionByName(own), "trace_id", "node", counted=placed, each=EVENTS_A_TASK)
     lined = lined.sortWithinPartitions("trace_id", "node", F.col("event").isNotNull(), "depth", "seq", "func", "event")
-    found = lined.mapInArrow(_resolved, _DONE)
+    found = written(lined.mapInArrow(_resolved, _DONE), "ended")  # dealing by ranges reads it twice
     numbered = written(row_numbers(found, ["trace_id"], [F.asc("call_seq")], "activation"), "activations")
     parents = numbered.select("trace_id", F.col("call_seq").alias("parent_seq"), F.col("activation").alias("parent"))
     return numbered.join(parents, ["trace_id", "parent_seq"], "left").select(
