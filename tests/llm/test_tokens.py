@@ -187,6 +187,34 @@ def test_scores_do_not_hang_on_buckets(spark, make_docs, prose):
         assert one[i] == pytest.approx(many[i], rel=1e-6)
 
 
+def test_recall_by_definition(monkeypatch):
+    monkeypatch.setattr(ct, "_RECALLED_AT_ONCE", 40)
+    monkeypatch.setattr(ct, "RECALL_BYTES", 30)
+    r = random.Random(8)
+    texts = ["".join(r.choice("ab") for _ in range(n)).encode() for n in (25, 0, 1, 29, 30, 100)]
+    logs = np.log10([r.uniform(0.1, 0.9) for t in texts for _ in range(len(t) + 1)])
+    recall = {1: 5.0, 3: 2.0}
+    want = []
+    for t in texts:
+        data = b"\xff" * 3 + t + b"\xff"
+        for i in range(len(t) + 1):
+            p = 10 ** logs[len(want)]
+            for k, weight in recall.items():
+                before = [data[j + 3] for j in range(i // 30 * 30, i) if data[j + 3 - k : j + 3] == data[i + 3 - k : i + 3]]
+                p = (before.count(data[i + 3]) + weight * p) / (len(before) + weight)
+            want.append(math.log10(p))
+    assert ct._recalled(texts, logs, recall) == pytest.approx(want, rel=1e-9)
+    assert ct._recalled(texts, logs, {}) is logs and len(ct._recalled([], logs[:0], recall)) == 0
+
+
+def test_held_out_scores_are_not_far_below_the_words(spark):
+    from tracemill.llm import queries
+
+    held = queries.op4_context_tree_score(spark, "/root/testdata/sf0.001").where("held_out").toPandas()
+    assert np.isfinite(held.score).all() and (held.score < 0).all()
+    assert held.score.sum() > 1.03 * held.base_score.sum()  # 1.12 times without what texts say themselves
+
+
 def test_scores_of_odd_rows(odd_docs):
     assert ct.score_texts(odd_docs, ct.held_out(F.col("doc_id"))).count() == odd_docs.count()
     assert ct.score_texts(odd_docs.limit(0), ct.held_out(F.col("doc_id"))).count() == 0
