@@ -59,3 +59,14 @@ def test_final_json(spark):
     texts = ['{"a": 1}', 'so\n```json\n{"b": 2}\n```\nend', 'x {"c": {"d": 3}} y', "none", None]
     got = [r.x for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(sc.final_json("t").alias("x")).collect()]
     assert got == ['{"a": 1}', '{"b": 2}', '{"c": {"d": 3}}', None, None]
+
+
+def test_overlap_stays_where_the_answers_are_dealt(spark):
+    from tracemill.sources.dealt import dealt
+
+    item = "answer_id long, token string"
+    e = spark.createDataFrame([(1, "a"), (1, "a"), (1, None), (None, "a"), (2, "b")], item)
+    p = spark.createDataFrame([(1, "a"), (1, None), (None, "a"), (3, "b"), (3, "b")], item)
+    got = sc.multiset_overlap(dealt(e, "answer_id", each=1), dealt(p, "answer_id", each=1))
+    assert {tuple(r) for r in got.collect()} == {(1, 3, 2, 1), (None, 1, 1, 0), (2, 1, 0, 0), (3, 0, 2, 0)}
+    assert got._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2  # one a side
