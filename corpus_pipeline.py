@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracemill.llm import decontaminate, minhash, mixing, quality, token_files
+from tracemill.llm import decontaminate, minhash, mixing, quality, simhash, token_files
 from tracemill.llm.common import shared_dir, table
 from tracemill.llm.queries import mix_weights, source_domain
 
@@ -17,7 +17,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return minhash.keep_one(docs)
+    """op6's fingerprints and links; texts further apart, of one Jaccard similarity, by minimum hashes."""
+    return minhash.keep_one(docs, max_bits=simhash.MAX_BITS)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

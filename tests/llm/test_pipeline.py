@@ -47,6 +47,18 @@ def test_near_duplicates_against_all_pairs(spark):
     assert all(kept[i] == rows[i] for i in kept)
 
 
+def test_near_duplicates_by_fingerprints(spark, make_docs, prose):
+    """A fingerprint counts every shingle, a set each once: one passage over and over with another end is linked by the former alone."""
+    from tracemill.llm import minhash, simhash
+
+    passage = " ".join(prose(61).split()) + " "  # an odd number of shingles: no bit is a tie
+    docs = make_docs([(1, passage * 99 + prose(40), "en", "s"), (2, passage * 99 + prose(40), "en", "s"), (3, prose(60), "en", "s"), (4, "", "en", "s")])
+    near = {x.doc_id: x.component_id for x in simhash.near_duplicates(docs).collect()}
+    assert near == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert {x.doc_id for x in minhash.keep_one(docs).collect()} == {1, 2, 3, 4}
+    assert {x.doc_id for x in corpus_pipeline.near_duplicate_stage(spark, docs, "").collect()} == {1, 3, 4}
+
+
 def test_stages_on_empty_documents(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)

@@ -28,6 +28,9 @@ So a family of texts that differ from their template each in their own way gives
 candidates at all, and rows grow with the points. What still costs a product are points
 of a family that are close to the limit and share the same rare differences.
 
+``keep_one`` can link by SimHash fingerprints as well (``max_bits``): then a group is what
+is connected by links of either kind.
+
 Defined results: null and blank texts are equal; of each group the least id stays, as
 in ``simhash.keep_one``. Sets are compared by 32-bit hashes of the shingles.
 """
@@ -45,6 +48,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import require, written
+from . import simhash
 from .simhash import SEED, connected
 
 SHINGLE = 5
@@ -86,22 +90,24 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _prints(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, text_hash, point, keys and the set of every row."""
+def _prints(docs: DataFrame, id_col: str, text_col: str, fingerprint: bool = False) -> DataFrame:
+    """id, text_hash, point, keys and the set of every row; its SimHash fingerprint if asked for, else null."""
     own = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("body"))
-    schema = T.StructType([*own.schema.fields[:2], T.StructField("point", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType())])
+    schema = T.StructType([*own.schema.fields[:2], T.StructField("point", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType())), T.StructField("grams", T.BinaryType()), T.StructField("fp", T.LongType())])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            points, keys, grams = [], [], []
+            points, keys, grams, prints = [], [], [], []
             for text in batch.column("body").to_pylist():
                 h = shingle_hashes(text)
                 points.append(xxhash.xxh64_intdigest(h.tobytes(), SEED))
                 keys.append(band_keys(h))
                 grams.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).tobytes())
+                prints.append(simhash.text_fingerprint(text) if fingerprint else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), pa.array(np.array(points, np.uint64).view(np.int64)),
-                 pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.binary())], names=schema.names)
+                 pa.array(keys, pa.list_(pa.int64())), pa.array(grams, pa.binary()),
+                 pa.array([simhash._signed(p) if fingerprint else None for p in prints], pa.int64())], names=schema.names)
 
     return written(own.mapInArrow(of, schema), "prints")
 
@@ -242,12 +248,25 @@ def links(prints: DataFrame, similarity: float = SIMILARITY, full: int = FULL) -
     return near.union(_similar(_family_pairs(families, roots, sets, similarity), sets, similarity))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
-    """One document of each group of linked texts, in the columns of ``docs``."""
+def fingerprint_links(prints: DataFrame, max_bits: int = simhash.MAX_BITS) -> DataFrame:
+    """Pairs a < b of points, enough to connect all whose fingerprints are linked at ``max_bits``."""
+    held = written(prints.select("point", "fp").distinct(), "fingerprints")
+    roots = connected(simhash.links(written(held.select("fp").distinct(), "points"), max_bits))
+    named = held.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("point", F.coalesce("root", "fp").alias("root"))
+    several = named.groupBy("root").agg(F.min("point").alias("a"), F.max("point").alias("last")).where("a <> last").select("root", "a")
+    return written(named.join(several, "root").where("point <> a").select("a", F.col("point").alias("b")), "links")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float = SIMILARITY, max_bits: int | None = None) -> DataFrame:
+    """One document of each group of linked texts, in the columns of ``docs``.
+
+    With ``max_bits``, texts whose SimHash fingerprints differ in no more bits are linked too.
+    """
     require(docs, id_col, text_col)
     own = docs.columns
-    prints = _prints(docs, id_col, text_col)
-    roots = connected(links(prints, similarity))
+    prints = _prints(docs, id_col, text_col, max_bits is not None)
+    found = links(prints, similarity)
+    roots = connected(found if max_bits is None else found.union(fingerprint_links(prints, max_bits)))
     named = prints.select("id", "text_hash", "point").join(roots.withColumnRenamed("node", "point"), "point", "left")
     chosen = named.groupBy(F.coalesce("root", "point").alias("root")).agg(F.min(F.struct(F.col("id").isNull(), "id", "text_hash")).alias("k"))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in own]).alias("row"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"))
