@@ -22,6 +22,23 @@ def test_rank_of_one_row(spark):
     assert got == {("a", 1.0): 5.0, ("b", 1.0): 0.0, ("b", 2.0): 7.5}
 
 
+def test_effort_of_frequent_and_rare_values(spark, monkeypatch):
+    monkeypatch.setattr(rk, "FREQUENT", 4, raising=False)
+    rows = [(i, "ab"[i % 2], float(i), 1.0 if i % 3 else float(-i)) for i in range(40)] + [(40, "a", 1.0, None), (41, None, 1.0, 1.0)]
+    data = spark.createDataFrame(rows, "k int, m string, x double, y double")
+    effort = rk.weighted_effort(data, "m", {"x": 0.25, "y": 0.75}, "k")
+    assert not effort._jdf.queryExecution().executedPlan().toString().count("Join")  # written, so labels do not rank anew
+    want = {}
+    for k, m, x, y in rows[:40]:
+        group = [r for r in rows if r[1] == m]
+        ranks = []
+        for v, all_v in ((x, [r[2] for r in group]), (y, [-1e9 if r[3] is None else r[3] for r in group])):
+            ranks.append(round(10 * (sum(o < v for o in all_v) + (all_v.count(v) - 1) / 2) / (len(group) - 1), 3))
+        want[k] = 0.25 * ranks[0] + 0.75 * ranks[1]
+    got = {r.k: r.effort for r in effort.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 0.00051 for k in want)
+
+
 def test_kappa_of_equal_labels(spark):
     rows = spark.createDataFrame([(x, x) for x in ["easy", "hard", "medium", "easy"]], "a string, b string")
     row = st.agreement(rows).first()

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.dealt import dealt
 from ..sources.shared import written
 from .prefix import row_numbers, running_total
 
@@ -74,17 +75,40 @@ def percentile_ranks(rows: DataFrame, by: list[str], value: str, name: str = "ra
     return rows.join(counts.withColumn(name, rank).drop("_n"), [*by, value])
 
 
+#: A value that as large a part of all rows has is a frequent one.
+FREQUENT = 10_000
+
+
 def weighted_effort(rows: DataFrame, by: str, weights: dict[str, float], key: str) -> DataFrame:
     """key, by, effort: weighted sum of the percentile ranks of the components, all to three digits.
 
-    All components are ranked at once, in long form. A row with a null component has none.
+    A row with a null component has none. Values are counted and ranked over ranges. The
+    ranks of frequent values, of which a component has no more than ``FREQUENT``, are broadcast;
+    only the others are joined, and none of these is so frequent that it fills a task.
     """
-    parts = F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("v"), F.lit(str(w)).cast("decimal(5,4)").alias("w")) for m, w in weights.items()])
-    long = rows.select(key, by, F.explode(parts).alias("m")).select(key, by, "m.*")
-    ranked = percentile_ranks(long, [by, "metric"], "v", "_rank")
-    exact = F.sum(F.round("_rank", 3).cast("decimal(9,3)") * F.col("w"))  # so that halves round alike
-    summed = ranked.groupBy(key, by).agg(exact.alias("effort"), F.count("*").alias("_n")).where(F.col("_n") == len(weights))
-    return summed.select(key, by, F.round("effort", 3).cast("double").alias("effort"))
+    names = list(weights)
+    base = written(rows.where(F.col(by).isNotNull()).select(key, by, *[F.col(m).cast("double").alias(m) for m in names]), "components")
+    long = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("v"), F.lit(str(w)).cast("decimal(5,4)").alias("w")) for m, w in weights.items()])).alias("_m")
+    counts = base.select(by, long).groupBy(by, "_m.metric", "_m.v", "_m.w").agg(F.count("*").alias("_n"))
+    placed = written(running_total(counts, [by, "metric"], [F.asc("v")], F.col("_n"), "_below"), "values")
+    totals = placed.groupBy(by, "metric").agg(F.sum("_n").alias("_total"))
+    rank = F.when(F.col("_total") == 1, 5.0).otherwise(10.0 * (F.col("_below") + (F.col("_n") - 1) / 2) / (F.col("_total") - 1))
+    exact = F.round(rank, 3).cast("decimal(9,3)") * F.col("w")  # so that halves round alike
+    ranked = written(placed.join(totals, [by, "metric"]).select(by, "metric", "v", "_n", exact.cast("decimal(20,7)").alias("_part")), "ranks")
+    frequent = F.col("_n") * FREQUENT >= base.count()
+    told = base
+    for k, m in enumerate(names):
+        own = ranked.where(frequent & (F.col("metric") == m)).select(by, F.col("v").alias(m), F.col("_part").alias(f"_part_{k}"))
+        told = told.join(F.broadcast(own), [by, m], "left")
+    parts = [F.col(f"_part_{k}") for k in range(len(names))]
+    none = F.lit(0).cast("decimal(20,7)")
+    of_frequent = told.select(key, by, reduce(lambda x, y: x + y, [F.coalesce(c, none) for c in parts]).cast("decimal(20,7)").alias("_part"),
+                              reduce(lambda x, y: x + y, [c.isNotNull().cast("long") for c in parts]).alias("_found"))
+    left = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.when(c.isNull(), F.col(m)).alias("v")) for m, c in zip(names, parts)])).alias("_m")
+    others = dealt(told.select(key, by, left).where("_m.v is not null").select(key, by, "_m.*"), by, "metric", "v", counted=base)
+    of_others = others.join(ranked.where(~frequent), [by, "metric", "v"]).select(key, by, "_part", F.lit(1).cast("long").alias("_found"))
+    summed = dealt(of_frequent.union(of_others), key, counted=base).groupBy(key, by).agg(F.sum("_part").alias("effort"), F.sum("_found").alias("_found"))
+    return written(summed.where(F.col("_found") == len(names)).select(key, by, F.round("effort", 3).cast("double").alias("effort")), "efforts")
 
 
 def relabel_by_outcome(rows: DataFrame, by: str, outcome: str, key: str, label: str = "label") -> DataFrame:
