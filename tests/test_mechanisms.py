@@ -1,6 +1,7 @@
 """Operators over ranges, trees, logs and streams against plain code."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tests.compare import SF
 from tests.test_brute_force import _slow_activations
 from tracemill.operators import calltree as ct
 from tracemill.operators import checkpoints as ck
@@ -18,7 +20,8 @@ from tracemill.operators import trace as tr
 from tracemill.operators.conformity import conformity
 from tracemill.operators.prefix import row_numbers, running_total
 from tracemill.operators.ranges import innermost
-from tracemill.sources.artifacts import log_lines, read_traces
+from tracemill.plans.more_queries import QUERIES
+from tracemill.sources.artifacts import log_lines, read_traces, write_packed
 from tracemill.streaming.accumulate import LatestTable, accumulate
 
 EVENTS = st.lists(st.tuples(st.sampled_from("abc"), st.sampled_from(["call", "line", "return", "exception"])), max_size=25)
@@ -123,6 +126,45 @@ def test_logs_in_small_splits(spark, tmp_path):
     assert got == want and len(got) == 360
 
 
+def test_logs_of_many_traces_share_files(spark, tmp_path):
+    """Lines come back in order whatever a trace is named; a long trace goes over files, a short one takes none of its own."""
+    r = random.Random(4)
+    names = [None, "a b/c=%\t+", "-7", "x\ny", *(str(i) for i in range(200))]
+    rows = []
+    for n in names:
+        for i in range(900 if n == "-7" else r.randrange(1, 9)):
+            rows.append((n, i, r.choice(["[TRACE][START]", "", " \t", "\ttab", f"2026-01-01 00:00:00.0 /m.py:{i} f event=line locals={{'x': {i}}}", "é more\r"])))
+    r.shuffle(rows)
+    lines = spark.createDataFrame(rows, "trace_id string, pos long, text string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_packed(lines, str(tmp_path / "logs"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = list((tmp_path / "logs").glob("*.txt"))
+    holders = [f for f in files if any(x.startswith("-7\t") for x in f.read_bytes().decode().split("\n"))]
+    assert len(files) <= 4 and len(holders) > 1
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = sorted(((x.trace_id, x.pos, x.text) for x in log_lines(spark, str(tmp_path / "logs"), "*.txt", packed=True).collect()), key=str)
+        events = sorted(((x.trace_id, x.seq, x.line, x.tail) for x in read_traces(spark, str(tmp_path / "logs"), "*.txt", packed=True).collect()), key=str)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == sorted(rows, key=str)
+    assert events == sorted(((x.trace_id, x.seq, x.line, x.tail) for x in tr.parse_records(tr.join_continuations(lines)).collect()), key=str)
+    write_packed(spark.createDataFrame([("t", 0, "one\ntwo"), ("t", 1, None)], lines.schema), str(tmp_path / "two"))
+    assert sorted((x.trace_id, x.pos, x.text) for x in log_lines(spark, str(tmp_path / "two"), "*.txt", packed=True).collect()) == [("t", 0, "one"), ("t", 1, "two"), ("t", 2, "")]
+
+
+def test_trace_logs_of_a_table_are_few_files(spark):
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.glob("logs-*/**/*.txt"))
+    traces = QUERIES["io3_trace_logs"][0](spark, SF).count()
+    assert 0 < len(set(shared.glob("logs-*/**/*.txt")) - before) <= 4 < traces
+
+
 def test_digests_of_paths(spark):
     paths = {1: [10, 11, 12, 11], 2: [10, 11, 12, 11], 3: [10, 12, 11, 11], 4: [10, 11, 12], 5: [], 6: [10, 11, 12, 11, 11]}
     rows = [(t, 7 * i + t, "a.py", n, "f", "line") for t, p in paths.items() for i, n in enumerate(p)] + [(5, 1, "a.py", 1, "f", "call"), (1, 3, "a.py", 1, "f", "call")]

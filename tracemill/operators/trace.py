@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from ..sources.shared import written
 from .prefix import row_numbers, running_total
 
-#: One event: time, path:line, function, kind, tail.
-RECORD = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) (\S+):(\d+) (\S+) event=(call|line|return|exception)(.*)$"
+#: One event: time, path:line, function, kind; then its tail, over any number of lines.
+HEAD = r"^(\d{4}-\d\d-\d\d \d\d:\d\d:\d\d\.\d+) (\S+):(\d+) (\S+) event=(call|line|return|exception)"
+TAIL = r"(?s)" + HEAD + "(.*)$"  # [\s\S]* takes four times as long
 MARKER = "[TRACE]"
 
 
@@ -47,11 +48,10 @@ def join_continuations(lines: DataFrame) -> DataFrame:
 
 def parse_records(records: DataFrame) -> DataFrame:
     """trace_id, pos, record -> events with ts, file, line, func, event, tail; other records are dropped."""
-    pattern = RECORD.replace("(.*)$", r"([\s\S]*)$")
-    part = lambda k: F.regexp_extract("record", pattern, k)
-    return records.where(F.col("record").rlike(pattern)).select(
+    part = lambda k, pattern=HEAD: F.regexp_extract("record", pattern, k)
+    return records.where(F.col("record").rlike(HEAD)).select(
         "trace_id", F.col("pos").alias("seq"), part(1).alias("ts"), part(2).alias("file"), part(3).cast("int").alias("line"),
-        part(4).alias("func"), part(5).alias("event"), part(6).alias("tail"))
+        part(4).alias("func"), part(5).alias("event"), part(6, TAIL).alias("tail"))
 
 
 def split_tail(events: DataFrame) -> DataFrame:
@@ -80,8 +80,8 @@ def split_tail(events: DataFrame) -> DataFrame:
     split = events.withColumn("_p", parts("tail"))
     some = lambda c: F.when(c != "", c)
     return split.select(
-        *events.columns, some(F.regexp_extract("_p.prefix", r"retval=([\s\S]*)", 1)).alias("retval"),
-        some(F.regexp_extract("_p.prefix", r"exc=([\s\S]*)", 1)).alias("exc"), F.col("_p.locals").alias("locals"))
+        *events.columns, some(F.regexp_extract("_p.prefix", r"(?s)retval=(.*)", 1)).alias("retval"),
+        some(F.regexp_extract("_p.prefix", r"(?s)exc=(.*)", 1)).alias("exc"), F.col("_p.locals").alias("locals"))
 
 
 def target_filter(file_part: str, name: str) -> Column:

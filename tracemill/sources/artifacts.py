@@ -39,23 +39,41 @@ def answer_keys(files: DataFrame) -> DataFrame:
     return parts
 
 
-def log_lines(spark: SparkSession, path: str, names: str = "*.log") -> DataFrame:
-    """trace_id, pos, text: the lines of all logs, a file is a trace.
+def log_lines(spark: SparkSession, path: str, names: str = "*.log", packed: bool = False) -> DataFrame:
+    """trace_id, pos, text: the lines of all logs; a file is a trace, or holds many as ``write_packed`` leaves them.
 
     Files are cut into splits of ``spark.sql.files.maxPartitionBytes``, so a log of any
     size is read by many tasks. A line's place comes from where its split begins in the
     file and its place in the split, counted over ranges.
     """
     files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", names).option("lineSep", "\n").text(path)
-    lines = files.select(F.col("_metadata.file_path").alias("trace_id"), F.col("_metadata.file_block_start").alias("split"),
-                         F.monotonically_increasing_id().alias("row"), F.col("value").alias("text"))
-    placed = row_numbers(lines, ["trace_id"], [F.asc("split"), F.asc("row")], "pos")
+    place = [F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("row")]
+    order = [F.asc("split"), F.asc("row")]
+    if packed:  # a trace may go on in the file that is next by name
+        name = F.nullif(F.url_decode(F.substring_index("value", "\t", 1)), F.lit(""))
+        lines = files.select(name.alias("trace_id"), F.col("_metadata.file_path").alias("file"), *place, F.expr("substring(value, instr(value, '\t') + 1)").alias("text"))
+        order = [F.asc("file"), *order]
+    else:
+        lines = files.select(F.col("_metadata.file_path").alias("trace_id"), *place, F.col("value").alias("text"))
+    placed = row_numbers(lines, ["trace_id"], order, "pos")
     return placed.select("trace_id", (F.col("pos") - 1).alias("pos"), "text")
 
 
-def read_traces(spark: SparkSession, path: str, names: str = "*.log") -> DataFrame:
-    """Events of all trace logs; a trace is a file, ``seq`` its line order."""
-    return split_tail(parse_records(join_continuations(log_lines(spark, path, names))))
+def write_packed(lines: DataFrame, path: str) -> None:
+    """trace_id, pos, text -> logs of many traces, each line after the name of its trace and a tab.
+
+    To make, list and open a file for each trace costs more than its lines do where traces
+    are short and many; here files grow in number with the lines. Lines are dealt by ranges
+    of (trace_id, pos), so a trace of any length is written by many tasks. The null trace has no name.
+    """
+    name = F.concat(F.coalesce(F.url_encode(F.col("trace_id").cast("string")), F.lit("")), F.lit("\t"))
+    text = F.replace(F.coalesce("text", F.lit("")), F.lit("\n"), F.concat(F.lit("\n"), name))  # its further lines are named too
+    lines.repartitionByRange("trace_id", "pos").sortWithinPartitions("trace_id", "pos").select(F.concat(name, text).alias("value")).write.text(path)
+
+
+def read_traces(spark: SparkSession, path: str, names: str = "*.log", packed: bool = False) -> DataFrame:
+    """Events of all trace logs; ``seq`` is the line order of a trace."""
+    return split_tail(parse_records(join_continuations(log_lines(spark, path, names, packed))))
 
 
 def flat_verdicts(reports: DataFrame) -> DataFrame:
