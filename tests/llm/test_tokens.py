@@ -7,6 +7,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tracemill.llm import context_tree as ct
@@ -207,6 +208,58 @@ def test_recall_by_definition(monkeypatch):
     assert ct._recalled(texts, logs, {}) is logs and len(ct._recalled([], logs[:0], recall)) == 0
 
 
+@pytest.mark.parametrize("recall", [ct.RECALL, {2: 3.0, 9: 1.0, 17: 4.0}, {8: 2.0}])
+def test_recall_of_windows_that_begin_alike(monkeypatch, recall):
+    monkeypatch.setattr(ct, "_RECALLED_AT_ONCE", 70)
+    monkeypatch.setattr(ct, "RECALL_BYTES", 30)
+    r = random.Random(9)
+    deepest = max(recall)
+    texts = [b"", b"abcdefghijklmnopqrstu" * 7, *(bytes(r.choice(s) for _ in range(90)) for s in (b"a", b"ab", b"abcdef"))]
+    logs = np.log10([r.uniform(0.1, 0.9) for t in texts for _ in range(len(t) + 1)])
+    want = []
+    for t in texts:
+        data = b"\xff" * deepest + t + b"\xff"
+        for i in range(deepest, len(data)):
+            p = 10 ** logs[len(want)]
+            for k in sorted(recall):
+                before = [data[j] for j in range((i - deepest) // 30 * 30 + deepest, i) if data[j - k : j] == data[i - k : i]]
+                p = (before.count(data[i]) + recall[k] * p) / (len(before) + recall[k])
+            want.append(math.log10(p))
+    assert ct._recalled(texts, logs, recall) == pytest.approx(want, rel=1e-9)
+
+
+def test_recall_looks_at_repeated_places_only(monkeypatch, prose):
+    r = random.Random(10)
+    texts = [prose(400, r).encode() for _ in range(20)]
+    n, sorted_, sort = sum(len(t) + 1 for t in texts), [], np.sort
+    monkeypatch.setattr(np, "sort", lambda a, *args, **more: sorted_.append(len(a)) or sort(a, *args, **more))
+    unlike = bytes(range(128)) + bytes(range(127, -1, -1))  # no three bytes stand in it twice
+    ct._recalled([unlike], np.full(257, -1.0), ct.RECALL)
+    assert sum(sorted_) == 2 * 257  # 6 * 257 when each order looked at all places
+    sorted_.clear()
+    ct._recalled(texts, np.full(n, -1.0), ct.RECALL)
+    assert 0 < sum(sorted_) < 5 * n
+
+
+def test_words_of_a_block():
+    texts = [b"", b" \t\n", b" a\x0bb\x0cc\r\n\ta  e ", b"a", "\x1cx\x1d é\x85z\xa0q a".encode(), b"\x00 \x00\x00"]
+    keys, real, which, starts = ct._words(pa.array(texts, pa.large_binary()))
+    got = [[int(keys[w]) for w in x if real[w]] for x in np.split(which, starts[1:])]
+    assert got == [[int(np.uint64(xxhash.xxh64_intdigest(w)).astype(np.int64)) for w in t.split()] for t in texts]
+    assert len(set(keys.tolist())) == len(keys)
+
+
+def test_values_of_grams():
+    r = np.random.default_rng(11)
+    for depth in (2, 5, 6):
+        known = np.unique(r.integers(0, 1 << 8 * (depth + 1), 3000))
+        values, at = r.random(len(known)), r.integers(0, len(known), 150_000)
+        assert (ct._told(known[at], known, values, depth) == values[at]).all()
+        with pytest.raises(RuntimeError, match="not counted"):
+            ct._told(np.append(known[at], known[-1] + 1), known, values, depth)
+        assert len(ct._told(known[:0], known, values, depth)) == 0
+
+
 def test_held_out_scores_are_not_far_below_the_words(spark):
     from tracemill.llm import queries
 
